@@ -103,8 +103,13 @@ def well_block(c: Column) -> Column:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Fixed rounding of reported doubles; also turns -0.0 into 0.0."""
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    """Fixed rounding of reported doubles, never -0.0.
+
+    Values within a ten-thousandth of the middle of two results go up, so the last bits of a
+    sum cannot decide.
+    """
+    scale = float(10 ** digits)
+    return F.floor(c.cast("double") * scale + 0.5001) / scale
 
 
 def order_bucket(c: Column, resolution: int = 512) -> Column:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from depthlog.functions import columns as C
-from depthlog.operators.series import BLOCK_ROWS, as_list, over_frame, renumber
-from depthlog.schema import (BASE_FEATURES, INPUT_CURVES, KEY, LABEL_CANDIDATES, MIN_VALID, ROW, STEP,
-                             STEP_ATOL, STEP_RTOL, TRUE, WINDOWS, feature_names)
+from depthlog.operators.series import BLOCK_ROWS, as_list, attach, over_frame, renumber
+from depthlog.schema import (BASE_FEATURES, FINE_WINDOWS, INPUT_CURVES, KEY, LABEL_CANDIDATES, MIN_VALID, ROW, STEP,
+                             STEP_ATOL, STEP_RTOL, TRUE,
+                             WINDOWS, feature_names, rolling_names)
 
 
 # --- schema ---------------------------------------------------------------------------------
@@ -48,9 +49,8 @@ def choose_depth(df: DataFrame, key=KEY, order: str = ROW, out: str = "DEPT") ->
 
 def depth_or_row(df: DataFrame, key=KEY, depth: str = "DEPT", order: str = ROW) -> DataFrame:
     """Row position as depth for keys that have no depth at all."""
-    from depthlog.operators.series import attach
-    known = df.groupBy(*as_list(key)).agg(F.count(depth).alias("__depths"))
-    return (attach(df, known, key, spread=order)
+    known = df.groupBy(*as_list(key)).agg(F.count(depth).alias("__depths"), F.max(order).alias("__last"))
+    return (attach(df, known, key, spread=order, last="__last")
             .withColumn(depth, F.when(F.col("__depths") == 0, F.col(order).cast("double"))
                         .otherwise(F.col(depth))).drop("__depths"))
 
@@ -177,7 +177,6 @@ def forward_gradient(df: DataFrame, columns: Sequence[str] = BASE_FEATURES, key=
 
 def feature_sets() -> dict[str, list[str]]:
     """Named inputs for ablation runs, by number of features."""
-    from depthlog.schema import FINE_WINDOWS, rolling_names
     base, flags = list(BASE_FEATURES), [f"{c}_MISSING" for c in BASE_FEATURES]
     prev_next = [f"{c}_{s}" for c in BASE_FEATURES for s in ("PREV", "NEXT", "GRADIENT")]
     grad = [f"{c}_GRAD" for c in BASE_FEATURES]

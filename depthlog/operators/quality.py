@@ -31,10 +31,11 @@ def crop_to_labels(df: DataFrame, key=KEY, depth: str = "DEPT", label: str = TRU
     """Samples inside the labelled depth range of their key and inside [top, base]."""
     keys = as_list(key)
     labelled = F.when(F.col(label).isNotNull(), F.col(depth))
-    ranges = df.groupBy(*keys).agg(F.min(labelled).alias("__top"), F.max(labelled).alias("__base"))
+    ranges = df.groupBy(*keys).agg(F.min(labelled).alias("__top"), F.max(labelled).alias("__base"),
+                                    F.max(order).alias("__last"))
     lo = F.greatest("__top", F.lit(top if top is not None else float("-inf")))
     hi = F.least("__base", F.lit(base if base is not None else float("inf")))
-    return (attach(df, ranges.filter(F.col("__top").isNotNull()), keys, spread=order)
+    return (attach(df, ranges.filter(F.col("__top").isNotNull()), keys, spread=order, last="__last")
             .filter(F.col(depth).between(lo, hi)).drop("__top", "__base"))
 
 
@@ -325,6 +326,7 @@ def gap_context(df: DataFrame, label: str = TRUE, logs: Sequence[str] = (), key=
 def around_nearest(df: DataFrame, target: float, rows: int = 20, key=KEY, order: str = ROW, depth: str = "DEPT") -> DataFrame:
     """Up to `rows` samples either side of the sample nearest to a depth; the first wins ties."""
     keys = as_list(key)
-    nearest = df.groupBy(*keys).agg(F.min_by(order, F.struct(F.abs(F.col(depth) - target), F.col(order))).alias("__near"))
-    return (attach(df, nearest, keys, spread=order)
+    nearest = df.groupBy(*keys).agg(F.min_by(order, F.struct(F.abs(F.col(depth) - target), F.col(order))).alias("__near"),
+                                     F.max(order).alias("__last"))
+    return (attach(df, nearest, keys, spread=order, last="__last")
             .filter(F.col(order).between(F.col("__near") - rows, F.col("__near") + rows)).drop("__near"))

@@ -195,14 +195,21 @@ def number_runs(table: DataFrame, key, out: str = "run", block_rows: int = BLOCK
 
 # --- joining a small per-key result back ---------------------------------------------------
 
-def attach(rows: DataFrame, stats: DataFrame, key, how: str = "inner", spread: str = ROW,
-           salts: int = 32) -> DataFrame:
-    """Join per-key results to the rows of the series, a heavy key spread over `salts` tasks.
-
-    The per-key side is replicated `salts` times, so nothing is broadcast by force: adaptive
-    execution still broadcasts it when its measured size allows.
+def attach(rows: DataFrame, stats: DataFrame, key, how: str = "inner", spread: str | Column = ROW,
+           last: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Join per-key results to the rows of the series without collecting a key in one task.
+
+    Both sides carry a piece number: the block of the position `spread`, or `spread` itself
+    when it is a column expression. The per-key side is repeated once per piece its key really
+    has: from `last`, a column of `stats` with the greatest position of the key (dropped), or
+    from one pass over the rows. Nothing is broadcast by force; adaptive execution does so
+    when the measured size allows.
     """
     key = as_list(key)
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*key, "__salt"], how).drop("__salt")
+    piece = block_of(spread, block_rows) if isinstance(spread, str) else spread
+    left = rows.withColumn("__piece", piece)
+    if last is not None:
+        right = stats.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), block_of(last, block_rows)))).drop(last)
+    else:
+        right = left.select(*key, "__piece").distinct().join(stats, key)
+    return left.join(right, [*key, "__piece"], how).drop("__piece")

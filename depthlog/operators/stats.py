@@ -91,9 +91,9 @@ def depth_composition(df: DataFrame, code: str, key=KEY, depth: str = "DEPT", or
     """Share of each class in equal-width depth bins, zeros included; the last bin is closed."""
     keys = as_list(key)
     rows = df.filter(F.col(code).isNotNull() & F.col(depth).isNotNull()).select(*keys, order, depth, F.col(code).alias("code"))
-    ends = rows.groupBy(*keys).agg(F.min(depth).alias("__lo"), F.max(depth).alias("__hi"))
+    ends = rows.groupBy(*keys).agg(F.min(depth).alias("__lo"), F.max(depth).alias("__hi"), F.max(order).alias("__last"))
     at = F.try_divide((F.col(depth) - F.col("__lo")) * bins, F.col("__hi") - F.col("__lo"))
-    counts = (attach(rows, ends, keys, spread=order)
+    counts = (attach(rows, ends, keys, spread=order, last="__last")
               .withColumn("bin", F.coalesce(F.least(F.floor(at), F.lit(bins - 1)), F.lit(0)).cast("int"))
               .groupBy(*keys, "bin", "code").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "bin"))))
@@ -267,10 +267,10 @@ def insert_gap_rows(df: DataFrame, columns: Sequence[str], key=KEY, order: str =
     """After a step above `factor` typical steps, one extra row with NULL columns (`is_gap` = 1)."""
     keys = as_list(key)
     typical = (sample_step(df, keys, order, depth, True, block_rows).withColumnRenamed("step", "__typical")
-               .join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys))
+               .join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(order).alias("__last")), keys))
     ahead = over_frame(df.select(*keys, order, depth, *columns), keys, order, 0, 1,
                        lambda w: {"__step": F.lead(depth).over(w) - F.col(depth)}, block_rows)
-    rows = attach(ahead, typical, keys, spread=order)
+    rows = attach(ahead, typical, keys, spread=order, last="__last", block_rows=block_rows)
     types = dict(df.dtypes)
     own = F.struct(F.col(depth).alias(depth), *[F.col(c).alias(c) for c in columns], F.lit(0).alias("is_gap"))
     gap = F.struct((F.col(depth) + F.col("__typical")).alias(depth),
