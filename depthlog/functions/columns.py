@@ -112,11 +112,11 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.floor(c.cast("double") * scale + 0.5001) / scale
 
 
-def order_bucket(c: Column, resolution: int = 512) -> Column:
+def order_bucket(c: Column, resolution: int) -> Column:
     """Non-decreasing integer function of a double, independent of the data.
 
-    Buckets have equal width on a log scale, so any group of real measurements spreads over
-    hundreds of them; equal values always share one.
+    Buckets have equal width on a log scale, `resolution` of them per factor e; equal values
+    always share one.
     """
     magnitude = F.floor(F.ln(F.abs(c)) * resolution) + F.lit(800 * resolution)
     return F.when(c == 0, F.lit(0)).otherwise(F.signum(c).cast("long") * magnitude).cast("long")

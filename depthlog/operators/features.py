@@ -107,12 +107,15 @@ def rolling(df: DataFrame, columns: Sequence[str] = BASE_FEATURES, windows: Sequ
         for c in columns:
             for width in windows:
                 frame = w.rowsBetween(-(width // 2), (width - 1) // 2)
-                enough = F.count(c).over(frame) >= min_valid
-                out[f"{c}_ROLLMEAN_{width}"] = F.when(enough, F.avg(c).over(frame))
-                out[f"{c}_ROLLSTD_{width}"] = F.when(enough, F.stddev_samp(c).over(frame))
+                out[f"__n_{c}_{width}"] = F.count(c).over(frame)
+                out[f"{c}_ROLLMEAN_{width}"] = F.avg(c).over(frame)
+                out[f"{c}_ROLLSTD_{width}"] = F.stddev_samp(c).over(frame)
         return out
 
-    return over_frame(df, key, order, reach, reach, build, block_rows)
+    framed = over_frame(df, key, order, reach, reach, build, block_rows)
+    gated = [F.when(F.col(f"__n_{c}_{width}") >= min_valid, F.col(name)).alias(name)
+             for c in columns for width in windows for name in (f"{c}_ROLLMEAN_{width}", f"{c}_ROLLSTD_{width}")]
+    return framed.select(*df.columns, *gated)
 
 
 def feature_table(df: DataFrame, key=KEY, order: str = ROW, keep: Sequence[str] = (),

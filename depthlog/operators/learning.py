@@ -24,16 +24,21 @@ from depthlog.schema import CODES, KEY, ROW
 
 # --- imputation and weights -----------------------------------------------------------------
 
-def impute_medians(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing values become the median of the training rows; add flags before calling."""
-    fitted = medians(train, columns).agg(F.map_from_entries(F.collect_list(F.struct("curve", "median")))).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), F.try_element_at(fitted, F.lit(c))) for c in columns})
+def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact training median of each column: one number per column reaches the driver."""
+    return {r["curve"]: r["median"] for r in medians(train, columns).collect()}
+
+
+def impute(df: DataFrame, fitted: dict[str, float]) -> DataFrame:
+    """Missing values become the fitted medians; add the missing flags before calling."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in fitted.items()})
 
 
 def add_class_weights(df: DataFrame, label: str, alpha: float = 0.5, out: str = "weight") -> DataFrame:
-    """Sample weights (N / (K n_class)) ** alpha; at most one row per class is looked up."""
-    table = M.class_weights(df, label, (alpha,)).agg(F.map_from_entries(F.collect_list(F.struct("code", "weight")))).scalar()
-    return df.withColumn(out, F.try_element_at(table, F.col(label)))
+    """Sample weights (N / (K n_class)) ** alpha; the class table has one row per class."""
+    table = {r["code"]: r["weight"] for r in M.class_weights(df, label, (alpha,)).collect()}
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return df.withColumn(out, F.try_element_at(pairs, F.col(label)))
 
 
 # --- training -------------------------------------------------------------------------------

@@ -27,7 +27,9 @@ def positions_of_counts(counts: DataFrame, key) -> DataFrame:
     """`below` and `total` for distinct `value`s that already carry their counts `n`."""
     key = as_list(key)
     part = [*key, "__b"]
-    counts = counts.withColumn("__b", order_bucket(F.col("value")))
+    # Enough buckets that one group can occupy every task of a shuffle, and no more.
+    resolution = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.withColumn("__b", order_bucket(F.col("value"), resolution))
     group = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
     offsets = (counts.groupBy(*part).agg(F.sum("n").alias("__n"))
                .withColumn("total", F.sum("__n").over(group))

@@ -23,6 +23,7 @@ from depthlog.schema import KEY, ROW
 
 BLOCK = "__block"
 BLOCK_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -85,7 +86,7 @@ def rank_rows(df: DataFrame, key, order: Sequence[str], out: str) -> DataFrame:
                .withColumn("__off", F.coalesce(
                    F.sum("__n").over(w.orderBy("__part").rowsBetween(*ALL_BEFORE)), F.lit(0)))
                .drop("__n"))
-    return (rows.join(offsets, [*key, "__part"])
+    return (attach(rows, offsets, [*key, "__part"], spread=F.shiftright("__slot", 20))
             .withColumn(out, (F.col("__off") + F.col("__slot") - F.col("__first")).cast("long"))
             .drop("__part", "__slot", "__first", "__off"))
 
@@ -196,18 +197,21 @@ def number_runs(table: DataFrame, key, out: str = "run", block_rows: int = BLOCK
 # --- joining a small per-key result back ---------------------------------------------------
 
 def attach(rows: DataFrame, stats: DataFrame, key, how: str = "inner", spread: str | Column = ROW,
-           last: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Join per-key results to the rows of the series without collecting a key in one task.
-
-    Both sides carry a piece number: the block of the position `spread`, or `spread` itself
-    when it is a column expression. The per-key side is repeated once per piece its key really
-    has: from `last`, a column of `stats` with the greatest position of the key (dropped), or
-    from one pass over the rows. Nothing is broadcast by force; adaptive execution does so
-    when the measured size allows.
+           last: str | None = None, block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join per-key results to the rows of the series, without moving the rows if possible.
+
+    The per-key table is staged and counted. Up to `broadcast_rows` rows it is broadcast.
+    Beyond that both sides carry a piece number, so that no key is collected in one task: the
+    block of the position `spread`, or `spread` itself when it is a column expression. The
+    per-key side is then repeated once per piece its key really has: from `last`, a column
+    with the greatest position of the key (dropped), or from one pass over the rows.
     """
     key = as_list(key)
-    piece = block_of(spread, block_rows) if isinstance(spread, str) else spread
-    left = rows.withColumn("__piece", piece)
+    stats = stage(stats)
+    if stats.count() <= broadcast_rows:
+        small = stats.drop(last) if last is not None else stats
+        return rows.join(F.broadcast(small), key, how)
+    left = rows.withColumn("__piece", block_of(spread, block_rows) if isinstance(spread, str) else spread)
     if last is not None:
         right = stats.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), block_of(last, block_rows)))).drop(last)
     else:

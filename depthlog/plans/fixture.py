@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depthlog.operators.features import clean_curves
-from depthlog.operators.series import by_depth, number_rows
+from depthlog.operators.series import by_depth, rank_rows
 from depthlog.schema import CODES
 
 MODELS = {"a": "pred_a", "b": "pred_b", "c": "pred_c"}
@@ -16,16 +16,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_PREPARED: dict[tuple, DataFrame] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
+    """Tables every query starts from are sorted and written once per session, then reused."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    if at not in _PREPARED:
+        _PREPARED[at] = make()
+    return _PREPARED[at]
+
+
+def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    items = (read(spark, sf_dir, "lineitem")
+             .select(F.col("l_suppkey").cast("int").alias("well"), *order, "l_quantity", "l_discount", "l_tax"))
+    return rank_rows(items, "well", order, "pos").withColumn("pos", F.col("pos") + 1)
+
+
 def wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """well, pos, dept, five raw curves, true_code, three predictions, one confidence."""
-    items = (read(spark, sf_dir, "lineitem")
-             .select(F.col("l_suppkey").cast("int").alias("well"), "l_orderkey", "l_linenumber", "l_partkey",
-                     "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
-    # (ship date, order range) follows the row order and cuts even one busy day into pieces.
-    placed = number_rows(
-        items, "well",
-        [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")],
-        [F.col("l_shipdate"), F.shiftright("l_orderkey", 30)], "pos", start=1)
+    placed = prepared(spark, sf_dir, "items", lambda: numbered_items(spark, sf_dir))
     code = F.array(*[F.lit(c) for c in sorted(CODES)])
 
     def lith(index):
@@ -55,10 +66,9 @@ def clean_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wells_by_depth(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """`columns` of the clean table, numbered from 0 by depth within the well as `at`."""
-    df = clean_wells(spark, sf_dir)
-    keep = list(dict.fromkeys(["well", "pos", "dept", *columns]))
-    return by_depth(df.select(*keep), "well", "dept", "pos", "at")
+    """`columns` of the well table, numbered from 0 by depth within the well as `at`."""
+    df = prepared(spark, sf_dir, "depth", lambda: by_depth(wells(spark, sf_dir), "well", "dept", "pos", "at"))
+    return df.select(*dict.fromkeys(["well", "pos", "dept", "at", *columns]))
 
 
 def split_of(well):

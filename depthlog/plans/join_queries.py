@@ -130,7 +130,7 @@ _MEDIANS = "md AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for
     f"round(coalesce({c}, m_{c}), 6) AS {c}, CAST({c} IS NULL AS INT) AS {c}_MISSING" for c in BASE_FEATURES) + " FROM base, md"))
 def impute_medians(spark, sf_dir):
     df = J.attach_split(X.base_features(clean_wells(spark, sf_dir)), split_manifest(spark, sf_dir), "well", "split", "pos")
-    out = L.impute_medians(X.missing_flags(df), J.split_rows(df, "TRAIN", "split"), BASE_FEATURES)
+    out = L.impute(X.missing_flags(df), L.fit_medians(J.split_rows(df, "TRAIN", "split"), BASE_FEATURES))
     flags = [f"{c}_MISSING" for c in BASE_FEATURES]
     return r6(out.select("well", "pos", *BASE_FEATURES, *flags), *BASE_FEATURES)
 
@@ -138,7 +138,7 @@ def impute_medians(spark, sf_dir):
 @query("restore_missing", on_wells("SELECT well, pos, " + ", ".join(f"round({c}, 6) AS {c}" for c in BASE_FEATURES) + " FROM base"))
 def restore_missing(spark, sf_dir):
     df = X.missing_flags(X.base_features(clean_wells(spark, sf_dir)))
-    out = X.restore_missing(L.impute_medians(df, df, BASE_FEATURES)).select("well", "pos", *BASE_FEATURES)
+    out = X.restore_missing(L.impute(df, L.fit_medians(df, BASE_FEATURES))).select("well", "pos", *BASE_FEATURES)
     return r6(out, *BASE_FEATURES)
 
 

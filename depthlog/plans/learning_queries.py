@@ -18,9 +18,9 @@ TREES, DEPTH, LEAF = 10, 8, 5
 def prepared(spark, sf_dir):
     """Feature table with split, imputed from the training medians and staged for the learners."""
     df = X.feature_table(clean_wells(spark, sf_dir), "well", "pos", keep=["true_code"])
-    df = df.withColumn("split", split_of(F.col("well")))
+    df = stage(df.withColumn("split", split_of(F.col("well"))))
     numeric = [c for c in feature_names() if not c.endswith("_MISSING")]
-    return stage(L.impute_medians(df, J.split_rows(df, "TRAIN", "split"), numeric))
+    return L.impute(df, L.fit_medians(J.split_rows(df, "TRAIN", "split"), numeric))
 
 
 def fitted(df, features=None, alpha=0.5):

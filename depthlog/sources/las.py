@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from depthlog.functions import columns as C
 from depthlog.operators.series import attach, number_rows
+from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, LABEL_CURVE, LAS_NULL, LOCATION_CURVES
 
 DEFAULT_CURVES = (*INPUT_CURVES, *LOCATION_CURVES, LABEL_CURVE)
@@ -42,9 +43,12 @@ def _sections(lines: DataFrame) -> DataFrame:
 
 
 def las_headers(lines: DataFrame) -> DataFrame:
-    """One row per header line: file, well, section, position, mnemonic, unit, value, descr."""
-    own = lines.filter(~F.col("text").startswith("#") & ~F.col("text").startswith("~") & (F.col("text") != ""))
-    placed = (attach(own, _sections(lines), "file", spread=F.col("at.split"))
+    """One row per header line: file, well, section, position, mnemonic, unit, value, descr.
+
+    Header lines carry a colon, data lines do not, so few lines meet the section marks.
+    """
+    own = lines.filter(F.col("text").contains(":") & ~F.col("text").startswith("#") & ~F.col("text").startswith("~"))
+    placed = (own.join(_sections(lines), "file")
               .filter(F.col("data_at").isNull() | (F.col("at") < F.col("data_at")))
               .withColumn("section", F.element_at(F.filter("marks", lambda m: m["at"] < F.col("at")), -1)["letter"]))
     pattern = r"^\s*([^.]*?)\s*\.([^\s:]*)\s*(.*?)\s*:\s*([^:]*)$"
@@ -57,6 +61,25 @@ def las_headers(lines: DataFrame) -> DataFrame:
             .select("file", "well", "section", "position", "mnemonic", "unit", "value", "descr"))
 
 
+def las_files(lines: DataFrame) -> DataFrame:
+    """Per file: well, null value, curve positions, start of the data, and why it is unreadable."""
+    heads = stage(las_headers(lines))
+
+    def of(section, mnemonic):
+        return F.max(F.when((F.col("section") == section) & (F.col("mnemonic") == mnemonic), F.col("value")))
+    named = (heads.filter(F.col("section") == "C").groupBy("file", "mnemonic")
+             .agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n")))
+    columns = named.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", "position"))).alias("positions"),
+                                        F.max("n").alias("most"), F.sum("n").alias("curves"))
+    general = heads.groupBy("file").agg(F.max("well").alias("WELL"), C.number(of("W", "NULL")).alias("null_value"), of("V", "WRAP").alias("wrap"))
+    starts = lines.groupBy("file").agg(F.min(F.when(F.upper(F.substring("text", 1, 2)) == "~A", F.col("at"))).alias("data_at"))
+    return stage(starts.join(general, "file", "left").join(columns, "file", "left")
+                 .withColumn("error", F.when(F.col("data_at").isNull(), "no data section")
+                             .when(F.col("curves").isNull(), "no curve section")
+                             .when(F.col("most") > 1, "duplicate curve name")
+                             .when(F.upper("wrap") == "YES", "wrapped lines")))
+
+
 def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES) -> tuple[DataFrame, DataFrame]:
     """(samples, rejects).
 
@@ -64,37 +87,22 @@ def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES) -> tuple[
     NULL. rejects: file and error of every file that cannot be read; its rows are left out and
     all others kept.
     """
-    every = lines.select("file").distinct()
-    heads = las_headers(lines)
-    named = (heads.filter(F.col("section") == "C").groupBy("file", "mnemonic")
-             .agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n")))
-    columns = named.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", "position"))).alias("positions"),
-                                        F.max("n").alias("__most"), F.sum("n").alias("__curves"))
-
-    def of(section, mnemonic):
-        return F.max(F.when((F.col("section") == section) & (F.col("mnemonic") == mnemonic), F.col("value")))
-    general = heads.groupBy("file").agg(F.max("well").alias("WELL"), C.number(of("W", "NULL")).alias("__null"), of("V", "WRAP").alias("__wrap"))
-    files = (every.join(_sections(lines).select("file", "data_at"), "file", "left").join(general, "file", "left")
-             .join(columns, "file", "left")
-             .withColumn("error", F.when(F.col("data_at").isNull(), "no data section")
-                         .when(F.col("__curves").isNull(), "no curve section")
-                         .when(F.col("__most") > 1, "duplicate curve name")
-                         .when(F.upper("__wrap") == "YES", "wrapped lines")))
+    files = las_files(lines)
+    split = F.col("at.split")
     data = lines.filter((F.col("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").startswith("~"))
-    rows = (attach(data, files.filter(F.col("error").isNull()), "file", spread=F.col("at.split"))
-            .filter(F.col("at") > F.col("data_at")).withColumn("__v", F.split("text", r"\s+")))
-    uneven = (rows.groupBy("file").agg(F.count_if(F.size("__v") != F.col("__curves")).alias("__bad"))
-              .filter(F.col("__bad") > 0).select("file", F.lit("data line with wrong number of values").alias("error")))
-    good = attach(rows, uneven.select("file", F.lit(1).alias("__reject")), "file", "left", spread=F.col("at.split")).filter(F.col("__reject").isNull())
-    placed = number_rows(good, "file", [F.col("at")], [F.col("at.split")], "SOURCE_ROW")
+    rows = (attach(data, files.filter(F.col("error").isNull()).drop("error", "most", "wrap"), "file", spread=split)
+            .filter(F.col("at") > F.col("data_at")).withColumn("values", F.split("text", r"\s+")))
+    uneven = stage(rows.groupBy("file").agg(F.count_if(F.size("values") != F.col("curves")).alias("bad"))
+                   .filter(F.col("bad") > 0).select("file", F.lit("data line with wrong number of values").alias("error")))
+    good = attach(rows, uneven, "file", "left", spread=split).filter(F.col("error").isNull())
+    placed = number_rows(good, "file", [F.col("at")], [split], "SOURCE_ROW")
 
     def pick(index):
-        v = C.number(F.try_element_at("__v", index + 1))
-        return F.when(v != F.coalesce("__null", F.lit(LAS_NULL)), C.drop_las_null(v))
+        v = C.number(F.try_element_at("values", index + 1))
+        return F.when(v != F.coalesce("null_value", F.lit(LAS_NULL)), C.drop_las_null(v))
     samples = placed.select("WELL", "SOURCE_ROW", pick(F.lit(0)).alias("DEPT"),
                             *[pick(F.try_element_at("positions", F.lit(c))).alias(c) for c in curves])
-    rejects = files.filter(F.col("error").isNotNull()).select("file", "error").unionByName(uneven)
-    return samples, rejects
+    return samples, files.filter(F.col("error").isNotNull()).select("file", "error").unionByName(uneven)
 
 
 def null_census(headers: DataFrame) -> DataFrame:
