@@ -175,9 +175,10 @@ def transitions(df: DataFrame, code: str, key=KEY, order: str = "DEPTH_ROW", bri
             .filter(F.col("contacts") >= min_count))
 
 
-def transition_order(table: DataFrame) -> DataFrame:
-    """Most contacts first, then display order of both classes."""
-    return table.orderBy(F.desc("contacts"), C.code_to_display(F.col("from_code")), C.code_to_display(F.col("to_code")))
+def ranked_transitions(table: DataFrame) -> DataFrame:
+    """Most contacts first, then display order of both classes; at most one row per class pair."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("contacts"), C.code_to_display(F.col("from_code")), C.code_to_display(F.col("to_code")))
+    return table.withColumn("rank", F.row_number().over(order))
 
 
 def transition_matrix(table: DataFrame, codes: Sequence[int] = CODES) -> DataFrame:

@@ -241,6 +241,26 @@ def las_header_table(spark, sf_dir):
     return las_headers(las_lines(spark, path, glob=None)).select("well", "section", "position", "mnemonic")
 
 
+@query("las_null_census", on_wells("SELECT -999.25::DOUBLE AS null_value, count(DISTINCT well) AS files FROM wells"))
+def las_null_census(spark, sf_dir):
+    from depthlog.sources.las import las_headers, las_lines, null_census, write_las
+    path = _folder(spark)
+    write_las(raw_named(spark, sf_dir), path, INPUT_CURVES, key="well", order="pos", depth="dept")
+    return null_census(las_headers(las_lines(spark, path, glob=None)))
+
+
+@query("training_tables", on_wells(f"""
+SELECT split, count(*) AS "rows", count(DISTINCT well) AS wells, round(avg(coalesce(RHOB, m_RHOB)), 6) AS mean_RHOB
+FROM base JOIN manifest USING (well), (SELECT quantile_cont(RHOB, 0.5) AS m_RHOB FROM base JOIN manifest USING (well)
+     WHERE split = 'TRAIN' AND true_code IS NOT NULL) WHERE true_code IS NOT NULL GROUP BY split"""))
+def training_tables(spark, sf_dir):
+    """Builds and stores the training tables, then summarises what was stored."""
+    from depthlog.plans.dataset import build_training_tables
+    table = build_training_tables(clean_wells(spark, sf_dir), split_manifest(spark, sf_dir), _folder(spark), "well", "pos", "true_code", "split")
+    return r6(table.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("well").alias("wells"),
+                                         F.avg("RHOB").alias("mean_RHOB")), "mean_RHOB")
+
+
 @query("csv_scan", on_wells("""
 SELECT well, pos, round(dept, 6) AS dept, round(gr_raw, 6) AS gr_raw, round(rhob_raw, 6) AS rhob_raw, true_code FROM wells"""))
 def csv_scan(spark, sf_dir):
@@ -258,10 +278,9 @@ def csv_scan(spark, sf_dir):
 @query("split_partitions", on_wells("SELECT well, pos, split, round(gr_raw, 6) AS gr_raw FROM wells JOIN manifest USING (well) WHERE split = 'PUBLIC'"))
 def split_partitions(spark, sf_dir):
     """Written by split and well, read back with partition pruning."""
-    from depthlog.sources.sinks import write_parquet
+    from depthlog.sources.sinks import write_splits
     path = _folder(spark)
-    df = J.attach_split(wells(spark, sf_dir).select("well", "pos", "gr_raw"), split_manifest(spark, sf_dir), "well", "split", "pos")
-    write_parquet(df, path, ["split", "well"])
+    write_splits(wells(spark, sf_dir).select("well", "pos", "gr_raw"), split_manifest(spark, sf_dir), path, "well", "split", "pos")
     return r6(spark.read.parquet(path).filter(F.col("split") == "PUBLIC"), "gr_raw")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from depthlog.functions.columns import rounded
 from depthlog.operators import features as X, joins as J, learning as L, metrics as M
 from depthlog.operators.staging import stage
-from depthlog.plans.fixture import clean_wells, on_wells, split_of
+from depthlog.plans.fixture import clean_wells, on_wells, prepared, split_of
 from depthlog.plans.metric_queries import _class_sql, probabilities, r6, wells
 from depthlog.plans.registry import query
 from depthlog.schema import BASE_FEATURES, CODES, feature_names
@@ -15,12 +15,16 @@ from depthlog.schema import BASE_FEATURES, CODES, feature_names
 TREES, DEPTH, LEAF = 10, 8, 5
 
 
-def prepared(spark, sf_dir):
-    """Feature table with split, imputed from the training medians and staged for the learners."""
+def training_input(spark, sf_dir):
+    """Feature table with split, imputed from the training medians; built once per session."""
+    return prepared(spark, sf_dir, "features", lambda: _training_input(spark, sf_dir))
+
+
+def _training_input(spark, sf_dir):
     df = X.feature_table(clean_wells(spark, sf_dir), "well", "pos", keep=["true_code"])
     df = stage(df.withColumn("split", split_of(F.col("well"))))
     numeric = [c for c in feature_names() if not c.endswith("_MISSING")]
-    return L.impute(df, L.fit_medians(J.split_rows(df, "TRAIN", "split"), numeric))
+    return stage(L.impute(df, L.fit_medians(J.split_rows(df, "TRAIN", "split"), numeric)))
 
 
 def fitted(df, features=None, alpha=0.5):
@@ -34,7 +38,7 @@ def unseen(df):
 
 @query("forest_scores")
 def forest_scores(spark, sf_dir):
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     out = L.predict(unseen(df), {"forest": fitted(df)}, feature_names())
     return out.select("well", "pos", "split", "true_code", "forest_CODE", "forest_NAME", rounded(F.col("forest_CONFIDENCE")).alias("forest_CONFIDENCE"))
 
@@ -42,7 +46,7 @@ def forest_scores(spark, sf_dir):
 @query("boosted_scores")
 def boosted_scores(spark, sf_dir):
     """Base features only: twelve one-against-rest boosters are slow to train."""
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     train = J.split_rows(df, "TRAIN", "split")
     model = L.train_boosted(train, BASE_FEATURES, "true_code", rounds=2, depth=3)
     out = L.score(model, unseen(df), BASE_FEATURES, "boosted")
@@ -51,7 +55,7 @@ def boosted_scores(spark, sf_dir):
 
 @query("forest_metrics")
 def forest_metrics(spark, sf_dir):
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     scored = L.score(fitted(df), unseen(df), feature_names(), "forest")
     return r6(M.overall(M.pair_counts(scored, {"forest": "forest_CODE"}, "true_code", ["split"]), ["split"]),
               "accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "cost_score")
@@ -59,20 +63,20 @@ def forest_metrics(spark, sf_dir):
 
 @query("impurity_importance")
 def impurity_importance(spark, sf_dir):
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     return L.impurity_importance(fitted(df), feature_names())
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     return r6(L.permutation_importance(fitted(df, BASE_FEATURES), J.split_rows(df, "PUBLIC", "split"), BASE_FEATURES, "true_code",
                                        ("well", "pos"), repeats=2), "importance", "deviation")
 
 
 @query("probability_study")
 def probability_study(spark, sf_dir):
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     scored = stage(L.score(fitted(df), unseen(df), feature_names(), "forest", probabilities=True)
                    .select("true_code", "forest_CODE", "forest_P"))
     return L.probability_study(scored, "forest_P", "forest_CODE", "true_code", 65030)
@@ -85,7 +89,7 @@ def rival_classes(spark, sf_dir):
 
 @query("feature_set_leaderboard")
 def feature_set_leaderboard(spark, sf_dir):
-    df = prepared(spark, sf_dir)
+    df = training_input(spark, sf_dir)
     results = {}
     for name in ("base_5", "rolling_mean_20", "full_41"):
         features = X.feature_sets()[name]

@@ -121,6 +121,17 @@ def transitions(spark, sf_dir):
     return D.transitions(df, "true_code", "well", "at")
 
 
+@query("transition_ranking", on_wells(f"""
+, {_BRIDGED}, {_CONTACTS.format(by='')}
+SELECT from_code, to_code, contacts, CAST(row_number() OVER (ORDER BY contacts DESC, f.display_order, t.display_order) AS INT) AS rank
+FROM ct JOIN lith f ON f.code = from_code JOIN lith t ON t.code = to_code"""))
+def transition_ranking(spark, sf_dir):
+    """Contacts over all wells, most first, then in display order of the classes."""
+    df = holed(wells_by_depth(spark, sf_dir, "true_code"))
+    total = D.transitions(df, "true_code", "well", "at").groupBy("from_code", "to_code").agg(F.sum("contacts").alias("contacts"))
+    return D.ranked_transitions(total)
+
+
 @query("transition_matrix", on_wells(f"""
 , {_BRIDGED}, {_CONTACTS.format(by='')}, s AS (SELECT from_code FROM ct UNION SELECT to_code FROM ct)
 SELECT s.from_code, """ + ", ".join(f"CAST(coalesce(sum(contacts) FILTER (to_code = {c}), 0) AS BIGINT) AS to_{c}" for c in sorted(CODES))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from depthlog.operators.joins import absent_in, attach_split
 
 
 def export_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -19,6 +21,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_splits(df: DataFrame, manifest: DataFrame, path: str, key: str = "WELL", split: str = "SPLIT", order: str = "SOURCE_ROW") -> None:
+    """Samples by split and well, after checking that every listed well has data."""
+    absent = [r[0] for r in absent_in(manifest, df, key).limit(20).collect()]
+    if absent:
+        raise ValueError(f"wells of the manifest without data: {absent}")
+    write_parquet(attach_split(df, manifest, key, split, order).filter(F.col(split).isNotNull()), path, [split, key])
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, sep=sep)
 
