@@ -1,6 +1,6 @@
 """Time the headline queries: prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2) and
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1) and
 BENCH_QUERIES (comma-separated names) can be set. Each query is built and fully computed into
 a sink that discards rows; the reported time is the median of the runs, building included.
 """
@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("depthlog-bench")
              .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", cpus)

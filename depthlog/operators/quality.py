@@ -27,15 +27,22 @@ def infinity_counts(long: DataFrame) -> DataFrame:
 
 
 def crop_to_labels(df: DataFrame, key=KEY, depth: str = "DEPT", label: str = TRUE, order: str = ROW,
-                   top: float | None = None, base: float | None = None) -> DataFrame:
-    """Samples inside the labelled depth range of their key and inside [top, base]."""
+                   top: float | None = None, base: float | None = None, on_empty: str = "drop") -> DataFrame:
+    """Samples inside the labelled depth range of their key and inside [top, base].
+
+    A key whose two ranges do not meet is left out, or fails the job with on_empty="error".
+    """
     keys = as_list(key)
     labelled = F.when(F.col(label).isNotNull(), F.col(depth))
     ranges = df.groupBy(*keys).agg(F.min(labelled).alias("__top"), F.max(labelled).alias("__base"),
                                     F.max(order).alias("__last"))
     lo = F.greatest("__top", F.lit(top if top is not None else float("-inf")))
     hi = F.least("__base", F.lit(base if base is not None else float("inf")))
-    return (attach(df, ranges.filter(F.col("__top").isNotNull()), keys, spread=order, last="__last")
+    ranges = ranges.filter(F.col("__top").isNotNull())
+    if on_empty == "error":
+        apart = F.raise_error(F.concat(F.lit("no labelled depth in the interval: "), F.to_json(F.struct(*keys)))).cast("boolean")
+        ranges = ranges.filter(F.when(lo <= hi, True).otherwise(apart))
+    return (attach(df, ranges, keys, spread=order, last="__last")
             .filter(F.col(depth).between(lo, hi)).drop("__top", "__base"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depthlog.operators.features import clean_curves
@@ -22,11 +23,20 @@ _PREPARED: dict[tuple, DataFrame] = {}
 def prepared(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
     """Tables every query starts from are sorted and written once per session, then reused."""
     at = (spark.sparkContext.applicationId, sf_dir, kind)
-    if at not in _PREPARED:
+    if at not in _PREPARED or not still_there(spark, _PREPARED[at]):
         _PREPARED[at] = make()
     return _PREPARED[at]
 
 
+def still_there(spark: SparkSession, df: DataFrame) -> bool:
+    try:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            spark.read.parquet(folder)
+    except AnalysisException:
+        return False
+    return True
+
+
 def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     items = (read(spark, sf_dir, "lineitem")
