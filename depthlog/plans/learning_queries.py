@@ -8,7 +8,7 @@ from depthlog.functions.columns import rounded
 from depthlog.operators import features as X, joins as J, learning as L, metrics as M
 from depthlog.operators.staging import stage
 from depthlog.plans.fixture import clean_wells, on_wells, prepared, split_of
-from depthlog.plans.metric_queries import _class_sql, probabilities, r6, wells
+from depthlog.plans.metric_queries import _class_ctes, probabilities, r6, wells
 from depthlog.plans.registry import query
 from depthlog.schema import BASE_FEATURES, CODES, feature_names
 
@@ -121,7 +121,7 @@ def specialist_decision(spark, sf_dir):
          (1 - coalesce(rhob_raw - 2.0, 0.3)) * (1.0 - conf_a) AS p1 FROM wells),
 dec AS ({_gate_sql('pred_a IN (30000, 65000, 65030)', 'group')} UNION ALL {_gate_sql('pred_a = 65030', 'special')}),
 pairs AS (SELECT strategy AS model, true_code, final_code AS pred_code, count(*) AS n FROM dec WHERE true_code IS NOT NULL GROUP BY ALL),
-{_class_sql().split('),', 1)[1]}
+{_class_ctes()}
 SELECT model AS strategy, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(r) FILTER (support > 0), 6) AS balanced_accuracy,
   round(avg(f) FILTER (support > 0), 6) AS macro_f1, (SELECT count(*) FROM dec JOIN wells USING (well, pos) WHERE strategy = model AND final_code <> pred_a) AS changed
 FROM classes GROUP BY model"""))

@@ -30,9 +30,9 @@ def _pairs_sql(by=""):
     return f"pairs AS (SELECT {by} model, true_code, pred_code, count(*) AS n FROM samples WHERE true_code IS NOT NULL GROUP BY ALL)"
 
 
-def _class_sql(by=""):
+def _class_ctes(by=""):
+    """Per-class sums and ratios from a CTE named pairs."""
     return f"""
-{_pairs_sql(by)},
 sides AS (SELECT {by} model, true_code AS code, n AS support, 0 AS predicted, CASE WHEN true_code = pred_code THEN n ELSE 0 END AS hits FROM pairs
           UNION ALL SELECT {by} model, pred_code, 0, n, 0 FROM pairs),
 sums AS (SELECT {by} model, code, CAST(sum(support) AS BIGINT) AS support, CAST(sum(predicted) AS BIGINT) AS predicted,
@@ -42,15 +42,19 @@ classes AS (SELECT *, CASE WHEN predicted = 0 THEN 0 ELSE hits / predicted END A
                    CASE WHEN support + predicted = 0 THEN 0 ELSE 2 * hits / (support + predicted) END AS f FROM sums)"""
 
 
+def _class_sql(by=""):
+    return f"{_pairs_sql(by)}, {_class_ctes(by)}"
+
+
 def _overall_sql(by="", table=PENALTY_COARSE, macro="avg(CASE WHEN support > 0 THEN f END)"):
-    on = "".join(f"c.{b.strip(', ')} = s.{b.strip(', ')} AND " for b in ([by] if by else []))
+    on = "c.well = s.well AND" if by else ""
     return on_wells(f"""
 , {_penalties(table)}, {_class_sql(by)},
 cost AS (SELECT {by} model, -sum(n * penalty) / sum(n) AS cost FROM pairs JOIN pen USING (true_code, pred_code) GROUP BY ALL)
-SELECT {('s.' + by) if by else ''} s.model, CAST(sum(support) AS BIGINT) AS samples, round(sum(hits) / sum(support), 6) AS accuracy,
+SELECT {'s.well,' if by else ''} s.model, CAST(sum(support) AS BIGINT) AS samples, round(sum(hits) / sum(support), 6) AS accuracy,
        round(avg(CASE WHEN support > 0 THEN r END), 6) AS balanced_accuracy, round({macro}, 6) AS macro_f1,
        round(sum(f * support) / sum(support), 6) AS weighted_f1, round(any_value(cost), 6) AS cost_score
-FROM classes s JOIN cost c ON {on} c.model = s.model GROUP BY {('s.' + by) if by else ''} s.model""")
+FROM classes s JOIN cost c ON {on} c.model = s.model GROUP BY {'s.well,' if by else ''} s.model""")
 
 
 _OVERALL = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "cost_score")
@@ -66,14 +70,12 @@ def confusion_counts(spark, sf_dir):
 
 
 @query("confusion_grid", on_wells(f"""
-, few AS (SELECT * FROM pairs0 WHERE true_code <> 93000 AND pred_code <> 93000 OR pred_code = 93000 AND true_code <> 93000),
+, {_pairs_sql()}, few AS (SELECT * FROM pairs WHERE true_code <> 93000),
 seen AS (SELECT DISTINCT true_code AS code FROM few UNION SELECT DISTINCT pred_code FROM few),
-ms AS (SELECT DISTINCT model FROM few),
-grid AS (SELECT ms.model, t.code AS true_code, p.code AS pred_code FROM ms, seen t, seen p),
+grid AS (SELECT ms.model, t.code AS true_code, p.code AS pred_code FROM (SELECT DISTINCT model FROM few) ms, seen t, seen p),
 cells AS (SELECT grid.*, coalesce(n, 0) AS n FROM grid LEFT JOIN few USING (model, true_code, pred_code))
-SELECT model, true_code, pred_code, n,
-       CASE WHEN sum(n) OVER r = 0 THEN 0 ELSE round(n / sum(n) OVER r, 6) END AS share
-FROM cells WINDOW r AS (PARTITION BY model, true_code)""".replace(", few", f", {_pairs_sql()}, pairs0 AS (SELECT * FROM pairs), few", 1)))
+SELECT model, true_code, pred_code, n, CASE WHEN sum(n) OVER r = 0 THEN 0 ELSE round(n / sum(n) OVER r, 6) END AS share
+FROM cells WINDOW r AS (PARTITION BY model, true_code)"""))
 def confusion_grid(spark, sf_dir):
     """Basement never occurs as true class here, so its row is empty."""
     cells = M.confusion(pairs(spark, sf_dir).filter(F.col("true_code") != 93000), shared=True)
@@ -81,12 +83,9 @@ def confusion_grid(spark, sf_dir):
 
 
 @query("fixed_class_confusion", on_wells(f"""
-, {_pairs_sql("well,")}, ms AS (SELECT DISTINCT well, model FROM pairs)
-SELECT ms.well, ms.model, t.code AS true_code, p.code AS pred_code, coalesce(n, 0) AS n
-FROM ms, lith t, lith p LEFT JOIN pairs ON pairs.well = ms.well AND pairs.model = ms.model AND true_code = t.code AND pred_code = p.code""".replace(
-    "FROM ms, lith t, lith p LEFT", "FROM (SELECT ms.well, ms.model, t.code AS tc, p.code AS pc FROM ms, lith t, lith p) ms LEFT")
-    .replace("t.code AS true_code, p.code AS pred_code, coalesce", "ms.tc AS true_code, ms.pc AS pred_code, coalesce")
-    .replace("true_code = t.code AND pred_code = p.code", "true_code = tc AND pred_code = pc")))
+, {_pairs_sql("well,")},
+grid AS (SELECT ms.*, t.code AS true_code, p.code AS pred_code FROM (SELECT DISTINCT well, model FROM pairs) ms, lith t, lith p)
+SELECT grid.*, coalesce(n, 0) AS n FROM grid LEFT JOIN pairs USING (well, model, true_code, pred_code)"""))
 def fixed_class_confusion(spark, sf_dir):
     return M.confusion(pairs(spark, sf_dir, ["well"]), ["well"], sorted(CODES))
 
@@ -322,12 +321,8 @@ def sweep(spark, sf_dir):
     return M.threshold_sweep(three, "true_code", probabilities(), 65030, _THRESHOLDS)
 
 
-def _sweep_classes():
-    return _class_sql().replace(_pairs_sql() + ",", "")
-
-
 @query("threshold_sweep", on_wells(f"""
-, {_SPECIAL}, {_sweep_classes()}
+, {_SPECIAL}, {_class_ctes()}
 SELECT round(model, 6) AS threshold, round(sum(hits) / sum(support), 6) AS accuracy,
        round(avg(CASE WHEN support > 0 THEN r END), 6) AS balanced_accuracy, round(avg(f), 6) AS macro_f1,
        round(max(p) FILTER (code = 65030), 6) AS special_precision, round(max(r) FILTER (code = 65030), 6) AS special_recall,
@@ -342,7 +337,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 @query("best_thresholds", on_wells(f"""
-, {_SPECIAL}, {_sweep_classes()},
+, {_SPECIAL}, {_class_ctes()},
 g AS (SELECT model, avg(f) AS m, max(f) FILTER (code = 65030) AS s FROM classes GROUP BY model)
 SELECT (SELECT round(model, 6) FROM g ORDER BY round(s, 9) DESC, model LIMIT 1) AS best_special, (SELECT round(max(s), 6) FROM g) AS special_f1,
        (SELECT round(model, 6) FROM g ORDER BY round(m, 9) DESC, model LIMIT 1) AS best_macro, (SELECT round(max(m), 6) FROM g) AS macro_f1"""))

@@ -87,6 +87,7 @@ def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES) -> tuple[
     NULL. rejects: file and error of every file that cannot be read; its rows are left out and
     all others kept.
     """
+    lines = stage(lines)  # one pass over the text; places of lines are fixed from here on
     files = las_files(lines)
     split = F.col("at.split")
     data = lines.filter((F.col("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").startswith("~"))
