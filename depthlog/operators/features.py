@@ -140,7 +140,8 @@ def feature_table(df: DataFrame, key=KEY, order: str = ROW, keep: Sequence[str]
     full = drop_empty(rolled.withColumn("RESISTIVITY_SEPARATION", F.col("RDEP_LOG10") - F.col("RMED_LOG10")))
     names = feature_names() if tuple(windows) == WINDOWS else [
         c for c in full.columns if c not in {*keys, order, at, *keep}]
-    return full.select(*keys, order, *[k for k in keep if k not in keys and k != order], *names)
+    others = [k for k in keep if k not in {*keys, order, *names}]
+    return full.select(*keys, order, *others, *names)
 
 
 # --- gradients ------------------------------------------------------------------------------
