@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depthlog.llm import classifier, packing, simhash, tree_bpe, weak_rules
+from depthlog.llm import classifier, line_dedup, neighbours, packing, simhash, tree_bpe, warc, weak_rules
+from depthlog.operators.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +54,37 @@ def op7(spark, sf_dir):
 @query("op8_pattern_packing")
 def op8(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_nn_descent")
+def op3(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_warc_chunks")
+def op4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(pages, folder)
+    return warc.read_archive(spark, folder).select(
+        F.col("page").cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), F.col("refers").cast(pages.schema["page_id"].dataType).alias("refers_to"))
+
+
+@query("op9_winnowed_lines", """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM cut),
+c AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c WHERE t <> ''),
+w AS (SELECT doc_id, k, t || chr(10) || lead(t, 1) OVER d || chr(10) || lead(t, 2) OVER d AS run
+      FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM w WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT k.doc_id, k.i FROM r JOIN k ON k.doc_id = r.doc_id AND k.k BETWEEN r.k AND r.k + 2 WHERE r.n > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+       md5(coalesce(string_agg(CASE WHEN gone.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_md5
+FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id""")
+def op9(spark, sf_dir):
+    out = line_dedup.marked(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+                      F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+                      F.md5(F.coalesce(line_dedup.without_lines("text", "__gone"), F.lit(""))).alias("kept_md5"))
