@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depthlog.llm import classifier, line_dedup, neighbours, packing, simhash, tree_bpe, warc, weak_rules
+from depthlog.llm import classifier, line_dedup, neighbours, packing, simhash, suffix_dedup, tree_bpe, warc, weak_rules
 from depthlog.operators.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op9(spark, sf_dir):
     return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
                       F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
                       F.md5(F.coalesce(line_dedup.without_lines("text", "__gone"), F.lit(""))).alias("kept_md5"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
