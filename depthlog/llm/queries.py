@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depthlog.llm import classifier, line_dedup, neighbours, packing, simhash, suffix_dedup, tree_bpe, warc, weak_rules
+from depthlog.llm import classifier, line_dedup, neighbours, packing, quotes, simhash, suffix_dedup, tree_bpe, warc, weak_rules
 from depthlog.operators.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,21 @@ def op9(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+#: The mails made of the conversations: a message answers the first one of its conversation with the text it quotes.
+@query("op1_quotation_links", r"""
+WITH RECURSIVE n AS (SELECT *, regexp_replace(trim(lower(text), ' ' || chr(10)), '\s+', ' ', 'g') AS t,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+f AS (SELECT *, min(pos) OVER (PARTITION BY conv_id, t) AS same FROM n),
+p AS (SELECT c.*, b.same AS up FROM n c LEFT JOIN f b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1),
+r AS (SELECT conv_id, pos, pos AS root, 0 AS depth FROM p WHERE up IS NULL
+      UNION ALL SELECT p.conv_id, p.pos, r.root, r.depth + 1 FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos = p.up)
+SELECT p.conv_id, p.turn, p.role, u.turn AS parent_turn, h.turn AS thread_turn, r.depth,
+       row_number() OVER (PARTITION BY p.conv_id ORDER BY r.root, r.depth, p.pos) - 1 AS place, md5(p.text) AS own_md5
+FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos = p.pos JOIN n h ON h.conv_id = p.conv_id AND h.pos = r.root
+LEFT JOIN n u ON u.conv_id = p.conv_id AND u.pos = p.up""")
+def op1(spark, sf_dir):
+    mails = quotes.as_mail(table(spark, sf_dir, "conversations"))
+    return quotes.threads(mails).select(
+        "conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "place", F.md5("own").alias("own_md5"))
