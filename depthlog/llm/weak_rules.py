@@ -17,7 +17,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 #: How often a rule votes against, for, or abstains (Dirichlet means), on good and on bad documents: a rule is believed
 #: to be better than chance, so that the two classes cannot change places. Then the prior's weight in documents.
-ON_GOOD, ON_BAD, PRIOR_WEIGHT, PRIOR_QUALITY = (0.02, 0.78, 0.2), (0.4, 0.35, 0.25), 20.0, 0.85
+ON_GOOD, ON_BAD, PRIOR_WEIGHT, PRIOR_QUALITY = (0.01, 0.79, 0.2), (0.25, 0.55, 0.2), 20.0, 0.85
 AGAINST, FOR, ABSTAINS = 0, 1, 2
 
 
@@ -96,7 +96,8 @@ def posterior(ballot: Column, evidence: list[float], prior: float) -> Column:
 
 def fit_accuracies(patterns: DataFrame, rules: int, rounds: int = 12) -> tuple[list[float], float]:
     """Expectation-maximisation over vote patterns (`ballot` and its count `n`; at most 3 ** rules rows): how often each
-    rule votes each way on good and on bad documents. At most 3 * rules sums reach the driver each round."""
+    rule votes each way on good and on bad documents. At most 3 * rules sums reach the driver each round. Documents that
+    fail the base are decided already and left out: they would teach what the base knows."""
     good, bad, prior = [list(ON_GOOD)] * rules, [list(ON_BAD)] * rules, PRIOR_QUALITY
 
     def evidence():
@@ -120,7 +121,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     posterior reaches the threshold."""
     rules = votes()
     voted = stage(document_counts(docs).select("*", F.array(*rules).alias("ballot")))
-    patterns = stage(voted.groupBy("ballot").agg(F.count("*").cast("double").alias("n")).coalesce(1))
+    patterns = stage(voted.filter(~base_failed()).groupBy("ballot").agg(F.count("*").cast("double").alias("n")).coalesce(1))
     evidence, prior = fit_accuracies(patterns, len(rules))
     judged = voted.select("*", base_failed().alias("base_failed"), posterior(F.col("ballot"), evidence, prior).alias("posterior"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
