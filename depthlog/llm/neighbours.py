@@ -162,7 +162,8 @@ def descend(points: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = 4, enough: float = 0.01) -> DataFrame:
-    """node, nbr, sim: rounds of NN-descent until fewer than `enough` of the edges are new."""
+    """node, nbr, sim: rounds of NN-descent until fewer than `enough` of the edges are new; then each node is also linked
+    from its strongest neighbours, so that one which is nobody's neighbour can be found."""
     points = stage(levelled(nodes))
     graph = first_graph(points, degree)
     for _ in range(rounds):
@@ -170,7 +171,8 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = 4, enough:
         fresh, all_edges = graph.select(F.sum("fresh"), F.count("*")).first()
         if (fresh or 0) <= enough * all_edges:
             break
-    return graph.select("node", "nbr", "sim")
+    back = strongest(graph, degree // 2).select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
+    return stage(graph.select("node", "nbr", "sim").union(back).dropDuplicates(["node", "nbr"]))
 
 
 def search(members: DataFrame, nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
