@@ -103,13 +103,9 @@ def well_block(c: Column) -> Column:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Fixed rounding of reported doubles, never -0.0.
-
-    Values within a ten-thousandth of the middle of two results go up, so the last bits of a
-    sum cannot decide.
-    """
-    scale = float(10 ** digits)
-    return F.floor(c.cast("double") * scale + 0.5001) / scale
+    """Rounding of reported doubles to the nearest, halves away from zero, never -0.0; NaN and infinities stay."""
+    c = c.cast("double")
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(F.round(c, digits) + 0.0)
 
 
 def order_bucket(c: Column, resolution: int) -> Column:

@@ -23,7 +23,7 @@ from depthlog.schema import KEY, ROW
 
 BLOCK = "__block"
 BLOCK_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -38,6 +38,14 @@ def block_of(order: str | Column, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(order / F.lit(block_rows)).cast("long")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on key columns of one name, NULL meeting NULL; the key columns of the left side stay."""
+    names = {k: f"__right_{k}" for k in key}
+    other = right.withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(F.broadcast(other) if small else other, on, how).drop(*names.values())
+
+
 # --- positions -----------------------------------------------------------------------------
 
 def number_rows(df: DataFrame, key, order: Sequence[Column], bucket: Sequence[Column],
@@ -46,7 +54,7 @@ def number_rows(df: DataFrame, key, order: Sequence[Column], bucket: Sequence[Co
 
     `bucket` is a coarse, non-decreasing function of `order` (for example the leading order
     column). Rows are numbered inside (key, bucket); the offset of a bucket comes from counts
-    summed before any shuffle. Keys and buckets must not be NULL.
+    summed before any shuffle. A NULL key is a key like any other.
     """
     key = as_list(key)
     names = [f"__b{i}" for i in range(len(bucket))]
@@ -58,7 +66,7 @@ def number_rows(df: DataFrame, key, order: Sequence[Column], bucket: Sequence[Co
                                      .rowsBetween(*ALL_BEFORE)), F.lit(0)))
                .drop("__n"))
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    return (rows.withColumn("__rn", local).join(offsets, part)
+    return (join_null_safe(rows.withColumn("__rn", local), offsets, part)
             .withColumn(out, (F.col("__off") + F.col("__rn") - 1 + start).cast("long"))
             .drop(*names, "__off", "__rn"))
 
@@ -135,7 +143,7 @@ def running_totals(df: DataFrame, key, order: str, totals: dict[str, Column],
                .withColumns({f"__o_{n}": F.coalesce(F.sum(f"__o_{n}").over(earlier), F.lit(0))
                              for n in totals}))
     return (rows.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
-            .join(offsets, [*key, BLOCK])
+            .transform(join_null_safe, offsets, [*key, BLOCK])
             .withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"__o_{n}") for n in totals})
             .drop(BLOCK, *[f"__o_{n}" for n in totals]))
 
@@ -197,10 +205,10 @@ def number_runs(table: DataFrame, key, out: str = "run", block_rows: int = BLOCK
 # --- joining a small per-key result back ---------------------------------------------------
 
 def attach(rows: DataFrame, stats: DataFrame, key, how: str = "inner", spread: str | Column = ROW,
-           last: str | None = None, block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           last: str | None = None, block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join per-key results to the rows of the series, without moving the rows if possible.
 
-    The per-key table is staged and counted. Up to `broadcast_rows` rows it is broadcast.
+    The per-key table is staged. Up to `broadcast_rows` rows and `broadcast_bytes` it is broadcast.
     Beyond that both sides carry a piece number, so that no key is collected in one task: the
     block of the position `spread`, or `spread` itself when it is a column expression. The
     per-key side is then repeated once per piece its key really has: from `last`, a column
@@ -208,12 +216,12 @@ def attach(rows: DataFrame, stats: DataFrame, key, how: str = "inner", spread: s
     """
     key = as_list(key)
     stats = stage(stats)
-    if stats.count() <= broadcast_rows:
-        small = stats.drop(last) if last is not None else stats
-        return rows.join(F.broadcast(small), key, how)
+    written = int(str(stats._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if written <= broadcast_bytes and stats.count() <= broadcast_rows:
+        return join_null_safe(rows, stats.drop(last) if last is not None else stats, key, how, small=True)
     left = rows.withColumn("__piece", block_of(spread, block_rows) if isinstance(spread, str) else spread)
     if last is not None:
         right = stats.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), block_of(last, block_rows)))).drop(last)
     else:
-        right = left.select(*key, "__piece").distinct().join(stats, key)
-    return left.join(right, [*key, "__piece"], how).drop("__piece")
+        right = join_null_safe(left.select(*key, "__piece").distinct(), stats, key)
+    return join_null_safe(left, right, [*key, "__piece"], how).drop("__piece")

@@ -1,27 +1,56 @@
-"""Cut lineage by writing a table to the shared folder the cluster names."""
+"""Cut lineage by writing tables to the shared folder the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}  # application -> folder made for a local session that names none
+_WRITTEN: dict[str, list[str]] = {}  # application -> staged tables that are still there
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only in local mode without one."""
+    """spark.checkpoint.dir of the session; a folder of this process only in local mode without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="depthlog-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="depthlog-"))
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write once, read back: later plans neither recompute the input nor see it change."""
-    path = f"{shared_folder(df.sparkSession)}/depthlog/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/depthlog/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staged(spark: SparkSession) -> list[str]:
+    """Folders of the staged tables that were not released."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the staged tables, from number `since` on; results read from them must be computed by then."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths[since:]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del paths[since:]
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables staged inside are deleted at the end."""
+    before = len(staged(spark))
+    try:
+        yield
+    finally:
+        release(spark, before)

@@ -225,7 +225,8 @@ SELECT CAST(well AS VARCHAR) AS well, pos - 1 AS source_row, round(dept, 6) AS d
 def las_scan(spark, sf_dir):
     from depthlog.sources.las import las_lines, read_las, write_las
     path = _folder(spark)
-    write_las(raw_named(spark, sf_dir), path, INPUT_CURVES, key="well", order="pos", depth="dept")
+    named = raw_named(spark, sf_dir).withColumn("pos", F.col("pos") - 1)
+    write_las(named, path, INPUT_CURVES, key="well", order="pos", depth="dept", block_rows=250)  # several files for each well
     samples, _ = read_las(las_lines(spark, path, glob=None), INPUT_CURVES)
     out = samples.withColumnsRenamed({"WELL": "well", "SOURCE_ROW": "source_row", "DEPT": "dept"})
     return r6(out, "dept", *INPUT_CURVES)
@@ -233,7 +234,7 @@ def las_scan(spark, sf_dir):
 
 @query("las_headers", on_wells("""
 SELECT CAST(well AS VARCHAR) AS well, section, CAST(position AS INT) AS position, mnemonic FROM (SELECT DISTINCT well FROM wells),
- (VALUES ('V',0,'VERS'),('V',1,'WRAP'),('W',0,'NULL'),('W',1,'WELL'),('C',0,'DEPT'),('C',1,'GR'),('C',2,'RDEP'),('C',3,'RMED'),('C',4,'DTC'),('C',5,'RHOB')) h(section, position, mnemonic)"""))
+ (VALUES ('V',0,'VERS'),('V',1,'WRAP'),('W',0,'NULL'),('W',1,'WELL'),('W',2,'FIRSTROW'),('C',0,'DEPT'),('C',1,'GR'),('C',2,'RDEP'),('C',3,'RMED'),('C',4,'DTC'),('C',5,'RHOB')) h(section, position, mnemonic)"""))
 def las_header_table(spark, sf_dir):
     from depthlog.sources.las import las_headers, las_lines, write_las
     path = _folder(spark)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,27 +10,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def steady_rounding(sql: str) -> str:
-    """Write out round(x, digits) as the rule of `functions.columns.rounded`."""
-    out, rest = "", sql
-    while (found := re.search(r"\bround\(", rest)) is not None:
-        depth, end = 1, found.end()
-        while depth:
-            depth += {"(": 1, ")": -1}.get(rest[end], 0)
-            end += 1
-        body, digits = rest[found.end():end - 1].rsplit(",", 1)
-        scale = f"1e{int(digits)}"
-        out += rest[:found.start()]
-        rest = f"(floor(CAST(({body}) AS DOUBLE) * {scale} + 0.5001) / {scale})" + rest[end:]
-    return out + rest
-
-
 def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = steady_rounding(sql)
+            ORACLES[name] = sql
         return fn
     return register

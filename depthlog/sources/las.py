@@ -16,6 +16,7 @@ from depthlog.operators.series import attach, number_rows
 from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, LABEL_CURVE, LAS_NULL, LOCATION_CURVES
 
+FIRST_ROW = "FIRSTROW"
 DEFAULT_CURVES = (*INPUT_CURVES, *LOCATION_CURVES, LABEL_CURVE)
 
 
@@ -45,10 +46,15 @@ def _sections(lines: DataFrame) -> DataFrame:
 def las_headers(lines: DataFrame) -> DataFrame:
     """One row per header line: file, well, section, position, mnemonic, unit, value, descr.
 
-    Header lines carry a colon, data lines do not, so few lines meet the section marks.
+    The lines are staged: their places are compared, and must be the same in both uses.
     """
+    return _headers(stage(lines))
+
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """las_headers of staged lines. Header lines carry a colon, data lines rarely do, so few lines meet the section marks."""
     own = lines.filter(F.col("text").contains(":") & ~F.col("text").startswith("#") & ~F.col("text").startswith("~"))
-    placed = (own.join(_sections(lines), "file")
+    placed = (attach(own, _sections(lines), "file", spread=F.col("at.split"))
               .filter(F.col("data_at").isNull() | (F.col("at") < F.col("data_at")))
               .withColumn("section", F.element_at(F.filter("marks", lambda m: m["at"] < F.col("at")), -1)["letter"]))
     pattern = r"^\s*([^.]*?)\s*\.([^\s:]*)\s*(.*?)\s*:\s*([^:]*)$"
@@ -62,8 +68,8 @@ def las_headers(lines: DataFrame) -> DataFrame:
 
 
 def las_files(lines: DataFrame) -> DataFrame:
-    """Per file: well, null value, curve positions, start of the data, and why it is unreadable."""
-    heads = stage(las_headers(lines))
+    """Per file of staged lines: well, null value, curve positions, start of the data, and why it is unreadable."""
+    heads = stage(_headers(lines))
 
     def of(section, mnemonic):
         return F.max(F.when((F.col("section") == section) & (F.col("mnemonic") == mnemonic), F.col("value")))
@@ -71,7 +77,7 @@ def las_files(lines: DataFrame) -> DataFrame:
              .agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n")))
     columns = named.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", "position"))).alias("positions"),
                                         F.max("n").alias("most"), F.sum("n").alias("curves"))
-    general = heads.groupBy("file").agg(F.max("well").alias("WELL"), C.number(of("W", "NULL")).alias("null_value"), of("V", "WRAP").alias("wrap"))
+    general = heads.groupBy("file").agg(F.max("well").alias("WELL"), F.coalesce(of("W", FIRST_ROW).try_cast("long"), F.lit(0).cast("long")).alias(FIRST_ROW), C.number(of("W", "NULL")).alias("null_value"), of("V", "WRAP").alias("wrap"))
     starts = lines.groupBy("file").agg(F.min(F.when(F.upper(F.substring("text", 1, 2)) == "~A", F.col("at"))).alias("data_at"))
     return stage(starts.join(general, "file", "left").join(columns, "file", "left")
                  .withColumn("error", F.when(F.col("data_at").isNull(), "no data section")
@@ -80,12 +86,15 @@ def las_files(lines: DataFrame) -> DataFrame:
                              .when(F.upper("wrap") == "YES", "wrapped lines")))
 
 
-def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES) -> tuple[DataFrame, DataFrame]:
+def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES, pieces: bool = False) -> tuple[DataFrame, DataFrame]:
     """(samples, rejects).
 
     samples: WELL, SOURCE_ROW, DEPT (the first curve) and `curves`; a curve the file lacks is
-    NULL. rejects: file and error of every file that cannot be read; its rows are left out and
-    all others kept.
+    NULL. A well may be cut into several files: SOURCE_ROW counts on from the row that a file
+    states in its well section (0 if it states none). With `pieces`, FILE and FIRSTROW come too.
+    rejects: file and error of every file that cannot be read, also of one whose rows another
+    file of the well (with an earlier first row, or name) has already; its rows are left out
+    and all others kept.
     """
     lines = stage(lines)  # one pass over the text; places of lines are fixed from here on
     files = las_files(lines)
@@ -95,13 +104,18 @@ def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES) -> tuple[
             .filter(F.col("at") > F.col("data_at")).withColumn("values", F.split("text", r"\s+")))
     uneven = stage(rows.groupBy("file").agg(F.count_if(F.size("values") != F.col("curves")).alias("bad"))
                    .filter(F.col("bad") > 0).select("file", F.lit("data line with wrong number of values").alias("error")))
+    counts = rows.groupBy("file", "WELL", FIRST_ROW).agg(F.count(F.lit(1)).alias("n")).join(uneven, "file", "left_anti")
+    pieces_of = Window.partitionBy("WELL").orderBy(FIRST_ROW, "file").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.max(F.col(FIRST_ROW) + F.col("n")).over(pieces_of)
+    double = counts.withColumn("taken", taken).filter(F.col("taken") > F.col(FIRST_ROW))
+    uneven = stage(uneven.unionByName(double.select("file", F.lit("rows of the well are in another file").alias("error"))))
     good = attach(rows, uneven, "file", "left", spread=split).filter(F.col("error").isNull())
     placed = number_rows(good, "file", [F.col("at")], [split], "SOURCE_ROW")
 
     def pick(index):
         v = C.number(F.try_element_at("values", index + 1))
         return F.when(v != F.coalesce("null_value", F.lit(LAS_NULL)), C.drop_las_null(v))
-    samples = placed.select("WELL", "SOURCE_ROW", pick(F.lit(0)).alias("DEPT"),
+    samples = placed.select("WELL", (F.col("SOURCE_ROW") + F.col(FIRST_ROW)).alias("SOURCE_ROW"), *([F.col("file").alias("FILE"), FIRST_ROW] if pieces else []), pick(F.lit(0)).alias("DEPT"),
                             *[pick(F.try_element_at("positions", F.lit(c))).alias(c) for c in curves])
     return samples, files.filter(F.col("error").isNotNull()).select("file", "error").unionByName(uneven)
 
@@ -125,10 +139,11 @@ def las_text(df: DataFrame, curves: Sequence[str], key: str = "WELL", order: str
     body = df.select(file.alias("file"), F.col(order).cast("long").alias("place"),
                      F.concat_ws(" ", *[cell(c) for c in (depth, *curves)]).alias("text"))
     fixed = ["~Version", " VERS. 2.0 : version", " WRAP. NO : one line per step", "~Well", f" NULL. {null_value} : null value"]
+    first = F.concat(F.lit(f" {FIRST_ROW}. "), F.col("first").cast("string"), F.lit(" : row of the well in the first data line"))
     after = ["~Curve", f" {depth}.M : depth", *[f" {c}. : {c}" for c in curves], "~ASCII"]
-    names = df.select(file.alias("file"), F.col(key).cast("string").alias("well")).distinct()
+    names = df.groupBy(file.alias("file"), F.col(key).cast("string").alias("well")).agg(F.min(F.col(order).cast("long")).alias("first"))
     head = names.select("file", F.posexplode(F.concat(
-        F.array(*[F.lit(x) for x in fixed]), F.array(F.concat(F.lit(" WELL. "), F.col("well"), F.lit(" : well"))),
+        F.array(*[F.lit(x) for x in fixed]), F.array(F.concat(F.lit(" WELL. "), F.col("well"), F.lit(" : well")), first),
         F.array(*[F.lit(x) for x in after]))).alias("p", "text")).select("file", (F.col("p") - 1000).cast("long").alias("place"), "text")
     return head.unionByName(body)
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depthlog.functions import columns as C
-from depthlog.operators.features import add_absent_curves, choose_depth, detect_label_column, normalise_columns
-from depthlog.operators.series import number_rows
+from depthlog.operators.features import detect_label_column
+from depthlog.operators.series import attach, number_rows
+from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, LABEL_CURVE
 from depthlog.sources.las import las_lines, read_las
 
@@ -24,31 +25,87 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
+def read_csv_by_header(spark: SparkSession, path: str, sep: str = ",", glob: str | None = "*.{csv,CSV}") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files, each read by its own header line.
+
+    rows: FILE, SOURCE_ROW (from 0 in each file), `cells`, a map from the upper-case column name to the text of the cell
+    (NULL where it is empty). rejects: file and error of files without a header, with a name twice, or with a data line
+    of another number of cells. Cells may be quoted; a line feed ends a row even inside quotes. The names of all columns
+    and nothing else reach the driver.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", glob) if glob and not path.lower().endswith(".csv") else reader
+    lines = stage(reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "[\r\ufeff]", "").alias("text")).filter(F.trim("text") != ""))
+    first = lines.groupBy("file").agg(F.min(F.struct("split", "line", "text")).alias("head"))
+    width = first.select(F.max(F.size(F.split(F.col("head.text"), _literal(sep))))).first()[0] or 0
+    if not width:
+        none = spark.createDataFrame([], "FILE string, SOURCE_ROW long, cells map<string,string>")
+        return none, spark.createDataFrame([], "file string, error string")
+    schema = ", ".join(f"c{i} string" for i in range(width + 1))  # one more shows a line that is too long
+
+    def cells(text):
+        parsed = F.from_csv(text, schema, {"sep": sep, "mode": "PERMISSIVE"})
+        return F.array(*[parsed[f"c{i}"] for i in range(width + 1)])
+
+    names = first.select("file", F.struct("head.split", "head.line").alias("head_at"),
+                         F.filter(F.transform(cells(F.col("head.text")), lambda c: F.upper(F.trim(c))), lambda c: c.isNotNull()).alias("names"))
+    files = names.withColumn("error", F.when(F.size("names") == 0, "no header")
+                             .when(F.size(F.array_distinct("names")) < F.size("names"), "duplicate column name"))
+    placed = attach(lines, files, "file", spread=F.col("split"))
+    data = placed.filter(F.col("error").isNull() & (F.struct("split", "line") > F.col("head_at"))).withColumn("cells", cells(F.col("text")))
+    given = F.size(F.split("text", _literal(sep)))
+    uneven = stage(data.filter(F.when(F.col("text").contains('"'), F.get("cells", F.size("names")).isNotNull()).otherwise(given != F.size("names")))
+                   .select("file").distinct().withColumn("error", F.lit("data line with wrong number of cells")))
+    good = attach(data.drop("error"), uneven, "file", "left", spread=F.col("split")).filter(F.col("error").isNull())
+    numbered = number_rows(good, "file", [F.col("split"), F.col("line")], [F.col("split")], "SOURCE_ROW")
+    rows = numbered.select(F.col("file").alias("FILE"), "SOURCE_ROW",
+                           F.map_from_arrays("names", F.slice("cells", 1, F.size("names"))).alias("cells"))
+    return rows, files.filter(F.col("error").isNotNull()).select("file", "error").unionByName(uneven)
+
+
+def _literal(sep: str) -> str:
+    return "\\Q" + sep + "\\E"
+
+
 def csv_wells(spark: SparkSession, path: str, curves: Sequence[str] = INPUT_CURVES, sep: str = ",",
-              label: str | None = None) -> DataFrame:
-    """Samples of CSV files, the file stem as well: WELL, SOURCE_ROW, DEPT, curves, LABEL."""
-    raw = read_csv(spark, path, sep)
-    placed = raw.select("*", F.col("_metadata.file_path").alias("__file"),
-                        F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__line"))
-    placed = number_rows(placed, "__file", [F.col("__split"), F.col("__line")], [F.col("__split")], "__row").drop("__split", "__line")
-    label = (label or detect_label_column(raw.columns) or "").strip().upper()
+              label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejects) of CSV files, the file stem as well: WELL, SOURCE_ROW, DEPT, curves, LABEL.
+
+    Each file is read by its own header, so files may differ in columns and in their order; a curve a file lacks is NULL.
+    """
+    rows, rejects = read_csv_by_header(spark, path, sep)
+    columns = [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().collect()]
+    label = (label or detect_label_column(sorted(columns)) or "").strip().upper()
     if label in curves:
         raise ValueError(f"{label} is an input curve and cannot be the label")
-    df = choose_depth(add_absent_curves(normalise_columns(placed), curves))
-    if label and label not in df.columns:
+    if label and label not in columns:
         raise ValueError(f"no label column {label}")
-    text = F.col(label).cast("string") if label else F.lit(None).cast("string")
-    return df.select(C.file_stem(F.col("__FILE")).alias("WELL"), F.col("__ROW").alias("SOURCE_ROW"), "DEPT", *curves, text.alias("LABEL"))
+    cell = lambda name: F.try_element_at("cells", F.lit(name))
+    depth = F.coalesce(*[C.number(cell(n)) for n in ("DEPT", "DEPTH")])
+    text = cell(label).cast("string") if label else F.lit(None).cast("string")
+    samples = rows.select(C.file_stem(F.col("FILE")).alias("WELL"), "SOURCE_ROW", depth.alias("DEPT"),
+                          *[C.number(cell(c)).alias(c) for c in curves], text.alias("LABEL"))
+    return samples, rejects
+
+
+def ingest(spark: SparkSession, path: str, fmt: str | None = None, curves: Sequence[str] = INPUT_CURVES) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejects) of a LAS or CSV file, or of all such files of a folder."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    suffix = (fmt or (name.rsplit(".", 1)[-1] if "." in name else "folder")).lower()
 
+    def las():
+        samples, rejects = read_las(las_lines(spark, path, None if name.lower().endswith(".las") else "*.{las,LAS}"), (*curves, LABEL_CURVE))
+        return samples.withColumn("LABEL", F.col(LABEL_CURVE).cast("string")).drop(LABEL_CURVE), rejects
 
-def ingest(spark: SparkSession, path: str, fmt: str | None = None, curves: Sequence[str] = INPUT_CURVES) -> DataFrame:
-    """Samples of a LAS or CSV path, told apart by its suffix."""
-    suffix = (fmt or path.rsplit(".", 1)[-1]).lower()
     if suffix == "csv":
         return csv_wells(spark, path, curves)
     if suffix == "las":
-        samples, _ = read_las(las_lines(spark, path), (*curves, LABEL_CURVE))
-        return samples.withColumn("LABEL", F.col(LABEL_CURVE).cast("string")).drop(LABEL_CURVE)
+        return las()
+    if suffix == "folder":
+        (a, bad_a), (b, bad_b) = las(), csv_wells(spark, path, curves)
+        return a.unionByName(b), bad_a.unionByName(bad_b)
     raise ValueError(f"unsupported file type: {path}")
 
 

@@ -9,27 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 
 from depthlog.operators.features import clean_curves, feature_table
 from depthlog.schema import INPUT_CURVES
-from depthlog.sources.las import place_lines, read_las
+from depthlog.operators.staging import scope, stage
+from depthlog.sources.las import FIRST_ROW, place_lines, read_las
 
 
 def score_landing(spark: SparkSession, folder: str, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
                   rejects: str | None = None, glob: str = "*.las", files_per_batch: int = 1000) -> StreamingQuery:
-    """Read new LAS files, build features, apply `score`, write one partition per well.
-
-    Wells arrive as whole files, so no state and no watermark is needed. A well that arrives
-    again replaces its partition. Centred row windows are not available on a stream, hence
-    the batch function.
+    """Read new LAS files, keep their samples, build features of the wells they belong to, apply `score`, write one
+    partition per well.
+
+    A well may arrive in several files (pieces, told apart by their first row) and in any batches: samples are kept by
+    well and piece in `out`/_samples, and a well is scored anew, from all its pieces, in each batch that brings one of
+    them, so results do not depend on how files fall into batches. A piece that arrives again replaces the one before.
+    Rejects are kept by batch, so a repeated batch replaces its own. Centred row windows are not available on a stream,
+    hence the batch function.
     """
+    store = out.rstrip("/") + "_samples"
     lines = (spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", files_per_batch).text(folder).selectExpr("value", "_metadata"))
 
-    def handle(batch: DataFrame, _: int) -> None:
-        samples, bad = read_las(place_lines(batch), INPUT_CURVES)
-        features = feature_table(clean_curves(samples), keep=["DEPT", *INPUT_CURVES])
-        (score(features).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .option("maxRecordsPerFile", 5_000_000).partitionBy("WELL").parquet(out))
-        if rejects:
-            bad.write.mode("append").parquet(rejects)
+    def write(df: DataFrame, path: str, parts: list[str]) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000)
+         .partitionBy(*parts).parquet(path))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        with scope(spark):
+            samples, bad = read_las(place_lines(batch), INPUT_CURVES, pieces=True)
+            samples = stage(samples)
+            write(samples.drop("FILE"), store, ["WELL", FIRST_ROW])
+            wells = samples.select("WELL").distinct()
+            kind = "WELL string, FIRSTROW long, " + ", ".join(
+                f"{f.name} {f.dataType.simpleString()}" for f in samples.schema if f.name not in ("WELL", FIRST_ROW, "FILE"))
+            if wells.limit(1).count():
+                known = spark.read.schema(kind).parquet(store).join(wells, "WELL", "left_semi").drop(FIRST_ROW)
+                write(score(feature_table(clean_curves(known), keep=["DEPT", *INPUT_CURVES])), out, ["WELL"])
+            if rejects:
+                bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
     return (lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

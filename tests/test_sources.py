@@ -86,11 +86,11 @@ def test_csv_scan(spark, tmp_path):
     path = tmp_path / "c"
     path.mkdir()
     (path / "w9.csv").write_text("gr;Depth;rhob;Lithology\n50;1.5;x;Shale\n-1;2.5;2.3;\n")
-    rows = csv_wells(spark, str(path), sep=";").orderBy("SOURCE_ROW").collect()
+    rows = csv_wells(spark, str(path), sep=";")[0].orderBy("SOURCE_ROW").collect()
     assert [(r["WELL"], r["SOURCE_ROW"], r["DEPT"], r["GR"], r["RHOB"], r["LABEL"]) for r in rows] == [
         ("w9", 0, 1.5, 50.0, None, "Shale"), ("w9", 1, 2.5, -1.0, 2.3, None)]
     (path / "no_depth.csv").write_text("gr\n1\n2\n")
-    alone = ingest(spark, str(path / "no_depth.csv"))
+    alone, _ = ingest(spark, str(path / "no_depth.csv"))
     filled = X.depth_or_row(alone, "WELL", "DEPT", "SOURCE_ROW").orderBy("SOURCE_ROW").collect()
     assert [r["DEPT"] for r in filled] == [0.0, 1.0]
     with pytest.raises(ValueError):
@@ -103,8 +103,37 @@ def test_las_write_and_read_back_in_several_files(spark, tmp_path):
     write_las(df, str(tmp_path / "out"), INPUT_CURVES, block_rows=50)
     samples, rejects = read_las(las_lines(spark, str(tmp_path / "out"), None), INPUT_CURVES)
     assert rejects.count() == 0
-    columns = ["WELL", "DEPT", *INPUT_CURVES]
-    assert samples.select(columns).exceptAll(df.select(columns)).count() == 0 and samples.count() == df.count()
+    columns = ["WELL", "SOURCE_ROW", "DEPT", *INPUT_CURVES]
+    assert samples.select(columns).exceptAll(df.select(columns)).count() == 0
+    assert df.select(columns).exceptAll(samples.select(columns)).count() == 0
+
+
+def test_a_row_in_two_files_of_a_well_is_rejected(spark, tmp_path):
+    d = str(tmp_path / "w")
+    las(d, "a.las", "w", ["DEPT", "GR"], ["1 2", "2 3"])
+    las(d, "b.las", "w", ["DEPT", "GR"], ["1 9"])
+    samples, rejects = read_las(las_lines(spark, d), INPUT_CURVES)
+    assert [r["GR"] for r in samples.orderBy("SOURCE_ROW").collect()] == [2, 3]
+    assert [(os.path.basename(r["file"]), r["error"]) for r in rejects.collect()] == [("b.las", "rows of the well are in another file")]
+
+
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    d = tmp_path / "c"
+    d.mkdir()
+    (d / "w1.csv").write_text("DEPT,GR,RHOB\n1,50,2.5\n2,,2.6\n")
+    (d / "w2.csv").write_text("RHOB,DEPT,GR,EXTRA\r\n2.1,7,70,\"a,b\"\r\n2.2,8,80,c\r\n")
+    (d / "w3.csv").write_text("depth,gr\n3,30\n")
+    (d / "broken.csv").write_text("DEPT,GR\n1,2\n1,2,3\n")
+    (d / "twice.csv").write_text("DEPT,GR,gr\n1,2,3\n")
+    las(str(d), "l.las", "wl", ["DEPT", "GR"], ["5 6"])
+    samples, rejects = ingest(spark, str(d))
+    got = {(r["WELL"], r["SOURCE_ROW"]): (r["DEPT"], r["GR"], r["RHOB"]) for r in samples.collect()}
+    assert got == {("w1", 0): (1, 50, 2.5), ("w1", 1): (2, None, 2.6), ("w2", 0): (7, 70, 2.1), ("w2", 1): (8, 80, 2.2),
+                   ("w3", 0): (3, 30, None), ("wl", 0): (5, 6, None)}
+    assert {os.path.basename(r["file"]): r["error"] for r in rejects.collect()} == {
+        "broken.csv": "data line with wrong number of cells", "twice.csv": "duplicate column name"}
+    (tmp_path / "none").mkdir()
+    assert csv_wells(spark, str(tmp_path / "none"))[0].count() == 0
 
 
 def test_parameters_round_trip(spark, tmp_path):
@@ -143,6 +172,45 @@ def test_permutation_keeps_the_values(training):
     assert once.join(training.select("WELL", "SOURCE_ROW", F.col("GR").alias("g")), ["WELL", "SOURCE_ROW"]).filter("GR <> g").count() > 0
 
 
+@pytest.mark.parametrize("files", [1, 1000])
+def test_pieces_of_a_well_land_in_any_batches(spark, tmp_path, files):
+    df = spark.createDataFrame([("w", i, 1000.0 + i, 40.0 if i < 10 else 90.0) for i in range(20)], "WELL string, SOURCE_ROW long, DEPT double, GR double")
+    write_las(df, str(tmp_path / "land"), ["GR"], block_rows=10)
+    q = score_landing(spark, str(tmp_path / "land"), str(tmp_path / "out"), str(tmp_path / "check"), lambda x: x, str(tmp_path / "bad"), "*.txt", files)
+    q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("SOURCE_ROW").collect()
+    assert [r["SOURCE_ROW"] for r in rows] == list(range(20))
+    assert [r["GR_ROLLMEAN_5"] for r in rows[8:12]] == [50, 60, 70, 80]
+
+
+def test_staged_tables_are_released(spark):
+    from depthlog.operators.staging import scope, stage, staged
+    before = staged(spark)
+    with scope(spark):
+        stage(spark.range(5).toDF("a")).count()
+        assert len(staged(spark)) == len(before) + 1
+        path = staged(spark)[-1]
+    assert staged(spark) == before and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_rounding_keeps_large_and_odd_numbers(spark):
+    from depthlog.functions.columns import rounded
+    values = [1e13, 2e10, float("inf"), float("-inf"), None, -0.0, 0.5, 1.0000005, -1.0000005]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 6)).collect()]
+    assert got[:5] == values[:5] and str(got[5]) == "0.0" and got[6] == 0.5 and got[7] == -got[8]
+    assert spark.range(1).select(rounded(F.lit(float("nan"))).alias("x")).filter("isnan(x)").count() == 1
+
+
+def test_null_keys_are_numbered_and_kept(spark):
+    from depthlog.operators.series import attach, number_rows
+    df = spark.createDataFrame([(None, 1), ("a", 1), (None, 2)], "k string, v int")
+    got = number_rows(df, "k", [F.col("v")], [F.col("v")], "n")
+    assert sorted((str(r["k"]), r["n"]) for r in got.collect()) == [("None", 0), ("None", 1), ("a", 0)]
+    stats = df.groupBy("k").agg(F.sum("v").alias("s"))
+    assert sorted(r["s"] for r in attach(df, stats, "k", spread="v").collect()) == [1, 3, 3]
+    assert sorted(r["s"] for r in attach(df, stats, "k", spread="v", broadcast_rows=0).collect()) == [1, 3, 3]
+
+
 def test_landing_folder_is_scored_and_a_well_is_replaced(spark, tmp_path):
     land, out = str(tmp_path / "land"), str(tmp_path / "out")
     line = lambda i, gr: f"{1000 + i} {gr} 1.5 2.5 80 2.3"
