@@ -9,8 +9,9 @@ node with its neighbours' neighbours: the members of a node's neighbourhood (nei
 their vectors, and a pair is passed on if it beats the weakest neighbour of one of the two and one of its edges is
 new. Nodes with many incoming edges are dealt into blocks, each with all outgoing ones, so no neighbourhood is large.
 
-A query starts from its own node and a few fixed entry nodes, and expands the best unexpanded nodes of its beam until
-the beam stands. Scores are sums of products in double precision of the original vectors.
+A query starts from its own node and a few fixed entry nodes (the longest vectors, and some by hash), and expands the
+best unexpanded nodes of its beam until all are expanded. The graph and the beam are made in half precision; the
+beam's final scores are sums of products in double precision of the original vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, neither do rows
 without an id; of rows that repeat an id one is taken (the smallest vector); all vectors must have one length; a query
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from depthlog.operators.staging import stage
 
 DEGREE, TABLES, BLOCK, BITS, HUB = 20, 6, 128, 24, 24
-BEAM, EXPAND, ENTRIES = 64, 12, 8
+BEAM, EXPAND, ENTRIES = 64, 16, 8
 SEED = 11
 
 
@@ -161,55 +162,62 @@ def descend(points: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     return stage(strongest(once, degree))
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = 4, enough: float = 0.01) -> DataFrame:
-    """node, nbr, sim: rounds of NN-descent until fewer than `enough` of the edges are new; then each node is also linked
-    from its strongest neighbours, so that one which is nobody's neighbour can be found."""
-    points = stage(levelled(nodes))
+def build_graph(points: DataFrame, degree: int = DEGREE, rounds: int = 4, enough: float = 0.01) -> DataFrame:
+    """node, nbr of the points (staged): rounds of NN-descent until fewer than `enough` of the edges are new; then each
+    node is also linked from its strongest neighbours, so that one which is nobody's neighbour can be found."""
     graph = first_graph(points, degree)
     for _ in range(rounds):
         graph = descend(points, graph, degree)
         fresh, all_edges = graph.select(F.sum("fresh"), F.count("*")).first()
         if (fresh or 0) <= enough * all_edges:
             break
-    back = strongest(graph, degree // 2).select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
-    return stage(graph.select("node", "nbr", "sim").union(back).dropDuplicates(["node", "nbr"]))
+    back = strongest(graph.select("node", "nbr", "sim"), degree // 2).select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))
+    return stage(graph.select("node", "nbr").union(back).distinct())
 
 
-def search(members: DataFrame, nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products found for each query (query_id), itself left out.
+def greedy(points: DataFrame, graph: DataFrame, asked: DataFrame, entries: list[int]) -> DataFrame:
+    """q, at: the beam of each asked node (column q) when all of it is expanded. Each round expands the best ones of the
+    beam that are not, and is one staged table."""
+    def products(batches):
+        for b in batches:
+            x, y = matrix(b["v"].tolist()), matrix(b["w"].tolist())
+            yield pd.DataFrame({"q": b["q"], "at": b["at"], "score": (x[:, :-1] * y[:, :-1]).sum(axis=1)})
 
-    Queries with equal vectors are searched once."""
-    asked = stage(queries.join(members.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "node"))
-    starts = asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), F.col("vec").alias("q_vec"))
-    starts = stage(starts)
-    entries = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
+    wanted = stage(points.join(asked.select(F.col("q").alias("node")), "node", "left_semi").select(F.col("node").alias("q"), F.col("v").alias("w")))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        near = nodes.withColumnRenamed("node", "at")
-        return (pairs.join(near, "at").join(starts, "q")
-                .select("q", "at", dot(F.col("q_vec"), F.col("vec")).alias("score"), F.lit(False).alias("done")))
-
-    def beam(state: DataFrame, size: int) -> DataFrame:
-        w = Window.partitionBy("q").orderBy(F.desc("score"), "at")
-        return state.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= size).drop("place")
-
-    own = starts.select("q", F.explode(F.array_distinct(F.array(F.col("q"), *map(F.lit, entries)))).alias("at"))
-    state = stage(scored(own))
-    first = True
-    while True:
-        todo = stage(beam(state.filter(~F.col("done")), BEAM if first else EXPAND).select("q", "at"))
-        if not todo.limit(1).count():
-            break
-        reached = (todo.join(graph.select(F.col("node").alias("at"), "nbr"), "at").select("q", F.col("nbr").alias("at")).distinct()
-                   .join(state.select("q", "at"), ["q", "at"], "left_anti"))
-        expanded = state.join(todo.withColumn("now", F.lit(True)), ["q", "at"], "left").select(
-            "q", "at", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        state = stage(beam(expanded.unionByName(scored(reached)), BEAM))
-        first = False
+        met = pairs.join(points.withColumnRenamed("node", "at"), "at").join(wanted, "q")
+        return met.select("q", "at", "v", "w").mapInPandas(products, "q bigint, at bigint, score float").withColumn("done", F.lit(False))
+
+    def beam(state: DataFrame) -> DataFrame:
+        by_score = Window.partitionBy("q").orderBy(F.desc("score"), "at")
+        left = Window.partitionBy("q").orderBy("done", F.desc("score"), "at")
+        best_ones = state.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= BEAM).drop("place")
+        return stage(best_ones.withColumn("todo", ~F.col("done") & (F.row_number().over(left) <= EXPAND)))
+
+    state = beam(scored(asked.select("q", F.explode(F.array_distinct(F.array(F.col("q"), *map(F.lit, entries)))).alias("at"))))
+    while state.filter("todo").limit(1).count():
+        reached = (state.filter("todo").select("q", F.col("at").alias("node")).join(graph, "node").select("q", F.col("nbr").alias("at"))
+                   .distinct().join(state.select("q", "at"), ["q", "at"], "left_anti"))
+        state = beam(state.select("q", "at", "score", (F.col("done") | F.col("todo")).alias("done")).unionByName(scored(reached)))
+    return state.select("q", "at")
+
+
+def search(members: DataFrame, nodes: DataFrame, points: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest inner products found for each query (query_id), itself left out.
+
+    Queries with equal vectors are searched once; the beam is scored anew in double precision."""
+    asked = stage(queries.join(members.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "node"))
+    by_norm = F.desc(dot(F.col("vec"), F.col("vec")))
+    entries = [r["node"] for order in (F.xxhash64("node"), by_norm) for r in nodes.select("node", "vec").orderBy(order, "node")
+               .limit(ENTRIES).select("node").collect()]
+    found = greedy(points, graph, asked.select(F.col("node").alias("q")).distinct(), entries)
+    exact = (found.join(nodes.select(F.col("node").alias("at"), "vec"), "at")
+             .join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("q_vec")), "q")
+             .select("q", "at", dot(F.col("q_vec"), F.col("vec")).alias("score")))
     w = Window.partitionBy("node").orderBy("vec_id")
     smallest = members.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k + 1).select(F.col("node").alias("at"), "vec_id")
-    found = state.join(smallest, "at").select("q", "vec_id", "score")
-    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
+    ranked = exact.join(smallest, "at").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
     shortlist = ranked.filter(F.col("place") <= k + 1).select("q", "vec_id", "score")
     answers = asked.withColumnRenamed("node", "q").join(shortlist, "q").filter("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -220,5 +228,6 @@ def search(members: DataFrame, nodes: DataFrame, graph: DataFrame, queries: Data
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """search() for the rows whose id is divisible by `every`, on a graph of all rows."""
     members, nodes = classes(usable(embeddings))
+    points = stage(levelled(nodes))
     queries = members.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"))
-    return search(members, nodes, build_graph(nodes), queries, k)
+    return search(members, nodes, points, build_graph(points), queries, k)
