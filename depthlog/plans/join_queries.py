@@ -14,10 +14,22 @@ from depthlog.schema import BASE_FEATURES, INPUT_CURVES
 from depthlog.functions.columns import rounded
 
 
-@query("split_attach", on_wells("SELECT wells.well, pos, split FROM wells LEFT JOIN manifest ON manifest.well = wells.well AND manifest.well % 7 <> 3"))
+def with_absent_wells(manifest):
+    """The manifest and, below zero, a well without data for each of its wells."""
+    return manifest.unionByName(manifest.withColumn("well", -1 - F.col("well")))
+
+
+_ABSENT = "listed AS (SELECT well, split FROM manifest UNION ALL SELECT -1 - well, split FROM manifest)"
+
+
+@query("split_attach", on_wells(f"""
+, {_ABSENT}, w AS (SELECT CASE WHEN well % 7 = 3 THEN well + 1000000 ELSE well END AS well, pos FROM wells)
+SELECT w.well, pos, split FROM w LEFT JOIN listed ON listed.well = w.well"""))
 def split_attach(spark, sf_dir):
-    manifest = split_manifest(spark, sf_dir).filter(F.col("well") % 7 != 3)
-    return J.attach_split(wells(spark, sf_dir).select("well", "pos"), manifest, "well", "split", "pos")
+    """Every seventh well goes by a name that the manifest lacks, and the manifest lists wells without data."""
+    well = F.when(F.col("well") % 7 == 3, F.col("well") + 1_000_000).otherwise(F.col("well"))
+    df = wells(spark, sf_dir).select(well.alias("well"), "pos")
+    return J.attach_split(df, with_absent_wells(split_manifest(spark, sf_dir)), "well", "split", "pos")
 
 
 @query("gradient_attach", on_wells("""
@@ -32,36 +44,35 @@ def gradient_attach(spark, sf_dir):
 
 @query("positional_join", on_wells("""
 , a AS (SELECT well, pos, row_number() OVER (PARTITION BY well ORDER BY pos) - 1 AS sample FROM wells WHERE true_code IS NOT NULL),
-b AS (SELECT well, pred_b, row_number() OVER (PARTITION BY well ORDER BY pos) - 1 AS sample FROM wells WHERE pos % 3 <> 0)
+b AS (SELECT well, pred_b, row_number() OVER (PARTITION BY well ORDER BY pos) - 1 AS sample FROM wells)
 SELECT well, sample, pos, pred_b FROM a JOIN b USING (well, sample)"""))
 def positional_join(spark, sf_dir):
     df = wells(spark, sf_dir)
     left = df.filter(F.col("true_code").isNotNull()).select("well", "pos")
-    right = df.filter(F.col("pos") % 3 != 0).select("well", F.col("pos").alias("at"), "pred_b")
+    right = df.select("well", F.col("pos").alias("at"), "pred_b")
     return J.attach_by_position(left, right, "well", "pos", "at")
 
 
-_SOME = "have AS (SELECT DISTINCT well FROM wells WHERE well % 3 <> 0)"
-
-
-@query("wells_without_data", on_wells(f", {_SOME} SELECT well FROM manifest WHERE well NOT IN (SELECT well FROM have)"))
+@query("wells_without_data", on_wells(f", {_ABSENT} SELECT well FROM listed WHERE well NOT IN (SELECT well FROM wells)"))
 def wells_without_data(spark, sf_dir):
-    return J.absent_in(split_manifest(spark, sf_dir), wells(spark, sf_dir).filter(F.col("well") % 3 != 0), "well")
+    return J.absent_in(with_absent_wells(split_manifest(spark, sf_dir)), wells(spark, sf_dir), "well")
 
 
-@query("wells_found", on_wells(f", {_SOME} SELECT well FROM manifest WHERE well IN (SELECT well FROM have)"))
+@query("wells_found", on_wells(f", {_ABSENT} SELECT well FROM listed WHERE well IN (SELECT well FROM wells)"))
 def wells_found(spark, sf_dir):
-    return J.present_in(split_manifest(spark, sf_dir), wells(spark, sf_dir).filter(F.col("well") % 3 != 0), "well")
+    return J.present_in(with_absent_wells(split_manifest(spark, sf_dir)), wells(spark, sf_dir), "well")
 
 
-@query("split_changes", on_wells("""
-, n AS (SELECT well, CASE WHEN well % 4 = 0 THEN 'PUBLIC' ELSE split END AS split FROM manifest WHERE well % 9 <> 5)
+@query("split_changes", on_wells(f"""
+, {_ABSENT}, n AS (SELECT well, CASE WHEN well % 4 = 0 THEN 'PUBLIC' ELSE split END AS split FROM manifest)
 SELECT coalesce(m.well, n.well) AS well, m.split AS old_split, n.split AS new_split
-FROM (SELECT * FROM manifest WHERE well % 8 <> 6) m FULL JOIN n ON n.well = m.well WHERE m.split IS DISTINCT FROM n.split"""))
+FROM (SELECT CASE WHEN well % 8 = 6 THEN well + 1000000 ELSE well END AS well, split FROM listed) m FULL JOIN n ON n.well = m.well WHERE m.split IS DISTINCT FROM n.split"""))
 def split_changes(spark, sf_dir):
+    """The old manifest lists wells that the new one lacks, and knows others by another name."""
     old = split_manifest(spark, sf_dir)
-    new = old.filter(F.col("well") % 9 != 5).withColumn("split", F.when(F.col("well") % 4 == 0, "PUBLIC").otherwise(F.col("split")))
-    return J.split_changes(old.filter(F.col("well") % 8 != 6), new, "well", "split")
+    new = old.withColumn("split", F.when(F.col("well") % 4 == 0, "PUBLIC").otherwise(F.col("split")))
+    renamed = F.when(F.col("well") % 8 == 6, F.col("well") + 1_000_000).otherwise(F.col("well"))
+    return J.split_changes(with_absent_wells(old).withColumn("well", renamed), new, "well", "split")
 
 
 @query("stack_wells", on_wells("""
@@ -88,25 +99,24 @@ def split_overlap(spark, sf_dir):
     return J.split_rows(s, "TRAIN", "split").select("well").intersect(J.split_rows(s, "PUBLIC", "split").select("well"))
 
 
-@query("classes_seen", on_wells("SELECT true_code AS code FROM wells WHERE true_code IS NOT NULL UNION SELECT pred_code FROM samples WHERE well % 2 = 0"))
+@query("classes_seen", on_wells("SELECT true_code AS code FROM wells WHERE true_code IS NOT NULL UNION SELECT pred_code FROM samples"))
 def classes_seen(spark, sf_dir):
     df = wells(spark, sf_dir)
-    codes = F.array("true_code", *[F.when(F.col("well") % 2 == 0, F.col(c)) for c in MODELS.values()])
+    codes = F.array("true_code", *MODELS.values())
     return df.select(F.explode(codes).alias("code")).filter(F.col("code").isNotNull()).distinct()
 
 
-@query("split_audit", on_wells("""
-, s AS (SELECT well, split FROM manifest UNION ALL SELECT well, 'PUBLIC' FROM manifest WHERE well % 5 = 2),
+@query("split_audit", on_wells(f"""
+, {_ABSENT}, s AS (SELECT well, split FROM listed UNION ALL SELECT well, 'PUBLIC' FROM manifest WHERE well % 5 = 2),
 l AS (SELECT well, count(DISTINCT split) AS n FROM s GROUP BY well)
-SELECT split, count(DISTINCT s.well) AS wells, count(CASE WHEN s.well IN (SELECT well FROM wells WHERE well % 3 <> 0) THEN 1 END) AS with_data,
+SELECT split, count(DISTINCT s.well) AS wells, count(CASE WHEN s.well IN (SELECT well FROM wells) THEN 1 END) AS with_data,
        count(*) FILTER (n > 1) AS in_other_split, any_value(CASE split WHEN 'TRAIN' THEN 8 WHEN 'PUBLIC' THEN 1 ELSE 1 END)::BIGINT AS expected,
        CAST(count(*) FILTER (n > 1) = 0 AND count(DISTINCT s.well) = any_value(CASE split WHEN 'TRAIN' THEN 8 ELSE 1 END) AS INT) AS ok
 FROM s JOIN l ON l.well = s.well GROUP BY split"""))
 def split_audit(spark, sf_dir):
     m = split_manifest(spark, sf_dir)
-    s = m.unionByName(m.filter(F.col("well") % 5 == 2).withColumn("split", F.lit("PUBLIC")))
-    data = wells(spark, sf_dir).filter(F.col("well") % 3 != 0)
-    return J.split_audit(data, s, {"TRAIN": 8, "PUBLIC": 1, "BLIND_TEST": 1}, "well", "split")
+    s = with_absent_wells(m).unionByName(m.filter(F.col("well") % 5 == 2).withColumn("split", F.lit("PUBLIC")))
+    return J.split_audit(wells(spark, sf_dir), s, {"TRAIN": 8, "PUBLIC": 1, "BLIND_TEST": 1}, "well", "split")
 
 
 @query("random_split", """
@@ -122,7 +132,7 @@ def well_chunks(spark, sf_dir):
     return J.well_chunks(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well")), 20, "well")
 
 
-_MEDIANS = "md AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in BASE_FEATURES) + \
+_MEDIANS = "md AS MATERIALIZED (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in BASE_FEATURES) + \
            " FROM base JOIN manifest USING (well) WHERE split = 'TRAIN')"
 
 
@@ -262,18 +272,44 @@ def training_tables(spark, sf_dir):
                                          F.avg("RHOB").alias("mean_RHOB")), "mean_RHOB")
 
 
+def write_csv_pieces(spark, sf_dir):
+    """The wells as CSV files of two layouts (another order of columns, and one curve less), a folder for each well and
+    the rows in order; folder, columns."""
+    path = _folder(spark)
+    df = wells(spark, sf_dir).select(F.col("well").alias("folder"), "well", F.col("pos").alias("at"), F.col("dept").alias("DEPT"),
+                                     F.col("gr_raw").alias("GR"), F.col("rhob_raw").alias("RHOB"), F.col("true_code").alias("LITHOLOGY"))
+    layouts = {0: ["well", "at", "DEPT", "GR", "RHOB", "LITHOLOGY"], 1: ["LITHOLOGY", "GR", "at", "DEPT", "well"]}
+    for layout, columns in layouts.items():
+        (df.filter(F.col("well") % 2 == layout).select("folder", *columns).repartition("folder").sortWithinPartitions("folder", "at")
+         .write.mode("append").partitionBy("folder").csv(path, header=True))
+    return path
+
+
 @query("csv_scan", on_wells("""
-SELECT well, pos, round(dept, 6) AS dept, round(gr_raw, 6) AS gr_raw, round(rhob_raw, 6) AS rhob_raw, true_code FROM wells"""))
+SELECT well, pos - 1 AS source_row, pos, round(dept, 6) AS dept, round(gr_raw, 6) AS gr_raw,
+       CASE WHEN well % 2 = 0 THEN round(rhob_raw, 6) END AS rhob_raw, true_code FROM wells"""))
 def csv_scan(spark, sf_dir):
+    """Files of two layouts in one folder, each read by its own header."""
     from depthlog.functions.columns import number
-    from depthlog.sources.sinks import write_csv
-    from depthlog.sources.tabular import read_csv
-    path = _folder(spark)
-    write_csv(wells(spark, sf_dir).select("well", "pos", "dept", "gr_raw", "rhob_raw", "true_code"), path, ";")
-    raw = read_csv(spark, path, ";")
-    doubles = ("dept", "gr_raw", "rhob_raw")
-    return r6(raw.withColumns({**{c: number(F.col(c)) for c in doubles},
-                               **{c: F.col(c).try_cast("int") for c in ("well", "pos", "true_code")}}), *doubles)
+    from depthlog.sources.tabular import read_csv_by_header
+    rows, _ = read_csv_by_header(spark, write_csv_pieces(spark, sf_dir))
+    cell = lambda n: number(F.try_element_at("cells", F.lit(n)))
+    out = rows.select(cell("WELL").cast("int").alias("well"), F.col("SOURCE_ROW").alias("source_row"), cell("AT").cast("int").alias("pos"),
+                      cell("DEPT").alias("dept"), cell("GR").alias("gr_raw"), cell("RHOB").alias("rhob_raw"), cell("LITHOLOGY").cast("int").alias("true_code"))
+    return r6(out, "dept", "gr_raw", "rhob_raw")
+
+
+@query("csv_rejects", on_wells("""
+SELECT s_name AS "text", 'data line with wrong number of cells' AS error FROM supplier"""))
+def csv_rejects(spark, sf_dir):
+    """A broken file for each supplier among those of the wells; the wells' files stay."""
+    from depthlog.sources.tabular import read_csv_by_header
+    path = write_csv_pieces(spark, sf_dir)
+    bad = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("folder"), F.explode(F.array(F.lit("a,b"), F.lit("1,2,3"))).alias("line"))
+    (bad.repartition("folder").sortWithinPartitions("folder", F.desc("line")).write.mode("append")
+     .partitionBy("folder").text(path))
+    _, rejects = read_csv_by_header(spark, path, glob="*.*")
+    return rejects.select(F.url_decode(F.regexp_extract("file", "folder=([^/]*)/", 1)).alias("text"), "error")
 
 
 @query("split_partitions", on_wells("SELECT well, pos, split, round(gr_raw, 6) AS gr_raw FROM wells JOIN manifest USING (well) WHERE split = 'PUBLIC'"))

@@ -148,11 +148,11 @@ def lithology_distribution(spark, sf_dir):
 
 
 @query("class_presence", on_wells("SELECT well, " + ", ".join(
-    f"CAST(count(*) FILTER (true_code = {c}) > 0 AS INT) AS has_{c}" for c in sorted(CODES))
-    + " FROM wells WHERE well % 2 = 0 OR pos < 200 GROUP BY well"))
+    f"CAST(count(*) FILTER (true_code = {c}) > 0 AS INT) AS has_{c}" for c in (*sorted(CODES), 12345))
+    + " FROM wells GROUP BY well"))
 def class_presence(spark, sf_dir):
-    df = wells(spark, sf_dir).filter((F.col("well") % 2 == 0) | (F.col("pos") < 200))
-    return A.class_presence(df, sorted(CODES), "true_code", "well")
+    """One of the classes asked for occurs nowhere."""
+    return A.class_presence(wells(spark, sf_dir), [*sorted(CODES), 12345], "true_code", "well")
 
 
 @query("class_by_split", on_wells("""
