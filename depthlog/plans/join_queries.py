@@ -309,7 +309,7 @@ def csv_rejects(spark, sf_dir):
     (bad.repartition("folder").sortWithinPartitions("folder", F.desc("line")).write.mode("append")
      .partitionBy("folder").text(path))
     _, rejects = read_csv_by_header(spark, path, glob="*.*")
-    return rejects.select(F.url_decode(F.regexp_extract("file", "folder=([^/]*)/", 1)).alias("text"), "error")
+    return rejects.select(F.url_decode(F.url_decode(F.regexp_extract("file", "folder=([^/]*)/", 1))).alias("text"), "error")
 
 
 @query("split_partitions", on_wells("SELECT well, pos, split, round(gr_raw, 6) AS gr_raw FROM wells JOIN manifest USING (well) WHERE split = 'PUBLIC'"))

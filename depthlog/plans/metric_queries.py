@@ -258,11 +258,11 @@ def log_curve_histogram(spark, sf_dir):
 
 @query("model_summary", on_wells("""
 SELECT s.well, model, count(*) AS samples, count(DISTINCT pred_code) AS classes,
-       CASE WHEN model = 'a' THEN round(avg(conf_a), 6) END AS mean_confidence,
-       round(avg(CAST(s.true_code = pred_code AS INT)), 6) AS accuracy
+       CASE WHEN model = 'a' THEN round(avg(conf_a), 9) END AS mean_confidence,
+       round(avg(CAST(s.true_code = pred_code AS INT)), 9) AS accuracy
 FROM samples s JOIN wells w ON w.well = s.well AND w.pos = s.pos GROUP BY s.well, model"""))
 def model_summary(spark, sf_dir):
-    return r6(K.model_summary(wells(spark, sf_dir), MODELS, CONF, "true_code", ["well"]), "mean_confidence", "accuracy")
+    return r6(K.model_summary(wells(spark, sf_dir), MODELS, CONF, "true_code", ["well"]), "mean_confidence", "accuracy", digits=9)
 
 
 @query("agreement_share", on_wells("""

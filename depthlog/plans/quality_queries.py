@@ -176,11 +176,11 @@ def classes_absent_in_split(spark, sf_dir):
 
 
 @query("describe_curves", on_wells("""
-SELECT well, curve, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
-       round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median,
-       round(quantile_cont(value, 0.75), 6) AS q75 FROM logs GROUP BY well, curve"""))
+SELECT well, curve, count(value) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, round(min(value), 9) AS min,
+       round(max(value), 9) AS max, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.5), 9) AS median,
+       round(quantile_cont(value, 0.75), 9) AS q75 FROM logs GROUP BY well, curve"""))
 def describe_curves(spark, sf_dir):
-    return r6(A.describe(clean_wells(spark, sf_dir), INPUT_CURVES, ["well"]), "mean", "std", "min", "max", "q25", "median", "q75")
+    return r6(A.describe(clean_wells(spark, sf_dir), INPUT_CURVES, ["well"]), "mean", "std", "min", "max", "q25", "median", "q75", digits=9)
 
 
 @query("class_feature_spread", on_wells("""
@@ -295,10 +295,10 @@ mix AS (SELECT well, source, code, count(*) AS samples, count(*) * 1.0 / sum(cou
 
 
 @query("lithology_mix", on_wells(f"""
-, {_MIX} SELECT mix.well, source, code, samples, round(fraction, 6) AS fraction, round(samples * typical, 6) AS thickness FROM mix JOIN typical USING (well)"""))
+, {_MIX} SELECT mix.well, source, code, samples, round(fraction, 9) AS fraction, round(samples * typical, 9) AS thickness FROM mix JOIN typical USING (well)"""))
 def lithology_mix(spark, sf_dir):
     df = wells_by_depth(spark, sf_dir, "true_code", *MODELS.values())
-    return r6(D.lithology_mix(df, MODELS, "true_code", "well", "at", "dept"), "fraction", "thickness")
+    return r6(D.lithology_mix(df, MODELS, "true_code", "well", "at", "dept"), "fraction", "thickness", digits=9)
 
 
 @query("mix_entropy", on_wells(f"""
