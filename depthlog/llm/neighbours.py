@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.operators.staging import stage
 
-DEGREE, TABLES, BLOCK, BITS, HUB = 20, 6, 128, 24, 24
-BEAM, EXPAND, ENTRIES = 64, 16, 8
+DEGREE, TABLES, BLOCK, BITS, HUB = 36, 8, 192, 24, 48
+BEAM, EXPAND, ENTRIES = 96, 24, 8
 SEED = 11
 
 
