@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from depthlog.operators.staging import stage
 
 DEGREE, TABLES, BLOCK, BITS, HUB = 36, 8, 192, 24, 48
-BEAM, EXPAND, ENTRIES = 96, 24, 8
+BEAM, EXPAND, ENTRIES = 128, 32, 8
 SEED = 11
 
 
@@ -162,7 +162,7 @@ def descend(points: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     return stage(strongest(once, degree))
 
 
-def build_graph(points: DataFrame, degree: int = DEGREE, rounds: int = 4, enough: float = 0.01) -> DataFrame:
+def build_graph(points: DataFrame, degree: int = DEGREE, rounds: int = 8, enough: float = 0.005) -> DataFrame:
     """node, nbr of the points (staged): rounds of NN-descent until fewer than `enough` of the edges are new; then each
     node is also linked from its strongest neighbours, so that one which is nobody's neighbour can be found."""
     graph = first_graph(points, degree)
