@@ -73,7 +73,7 @@ class Model:
         return np.hstack([waves, np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.weights
+        return np.concatenate([np.zeros(0), *[self.features(part) @ self.weights for part in in_parts(stats)]])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         if not len(self.knots):
@@ -81,6 +81,11 @@ class Model:
         return np.interp(self.raw(stats), self.knots, self.levels)
 
 
+def in_parts(rows: np.ndarray, size: int = 1024):
+    """Some rows at a time: their features are far wider than their statistics."""
+    return (rows[i:i + size] for i in range(0, len(rows), size))
+
+
 def pool_adjacent(x: np.ndarray, positives: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic fit of positives / counts over ascending x: centres and levels of the pooled blocks."""
     blocks: list[list[float]] = []  # positives, count, sum of x * count
@@ -128,8 +133,9 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 384, ridge: float =
         """One row of X'[X y] per feature and partition."""
         total = np.zeros((features + 1, features + 2))
         for b in batches:
-            x = blank.features(np.vstack(b["stats"]))
-            total += x.T @ np.column_stack([x, b["y"].to_numpy(float)])
+            for part in in_parts(np.column_stack([np.vstack(b["stats"]), b["y"].to_numpy(float)])):
+                x = blank.features(part[:, :-1])
+                total += x.T @ np.column_stack([x, part[:, -1]])
         yield pd.DataFrame({"i": np.arange(len(total)), "part": [r.tobytes() for r in total]})
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:

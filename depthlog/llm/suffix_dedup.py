@@ -100,12 +100,19 @@ def sampled(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return starts, np.diff(np.append(starts, n)), at[starts] - starts, grams[at[starts]]
 
 
+def in_parts(batch: pd.DataFrame, chars: int = 1 << 22):
+    """Rows in a row with about `chars` characters of text."""
+    number = np.cumsum([len(t or "") for t in batch["text"]]) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(batch)]
+    return (batch.iloc[a:z] for a, z in zip(cuts, cuts[1:]) if z > a)
+
+
 NAMES = ["settled", "gram", "name", *KEY, "start", "windows", "distance"]
 
 
 def samples(batches):
-    """Rows of NAMES; settled rows are repeats of a row of the same batch, under a gram of their own."""
-    for b in batches:
+    """Rows of NAMES; settled rows are repeats of a row of the same part of a batch, under a gram of their own."""
+    for b in (part for whole in batches for part in in_parts(whole)):
         parts = []
         for k, text in enumerate(b["text"]):
             data = (text or "").encode("utf-8", "replace")
