@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -33,7 +34,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("depthlog-bench")
              .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", cpus)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="depthlog-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the JVM
     took = {}
