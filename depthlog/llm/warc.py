@@ -4,7 +4,7 @@ Writing: payloads are streamed as rows of record identifier and chunk number; ea
 so far, so the last row of a record carries the payload's digest. A chunk becomes one WARC record, the first a
 response, the others continuations with segment numbers, so no record in an archive is larger than a chunk. Chunks
 end at whole characters, and also inside every "WARC/1.1" of a payload: that text never stands whole in a chunk, so it
-marks nothing but record starts and archives can be split and read anywhere.
+marks nothing but record starts, and an archive that is not compressed can be split and read anywhere.
 
 Reading: records are split at that mark, parsed with column functions and put together again as a chunk table. Records
 of one chunk are digested where they are read; the others are dealt by record, sorted by chunk number and streamed
@@ -126,13 +126,16 @@ def as_records(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.concat(head, F.col("data").cast("string"), F.lit("\r\n\r")).alias("value"))
 
 
-def write_archive(pages: DataFrame, folder: str, least: int = LEAST, size: int = CHUNK) -> None:
-    """Write the pages (page_id, url, html) as WARC files into a new folder."""
+def write_archive(pages: DataFrame, folder: str, least: int = LEAST, size: int = CHUNK, compression: str = "gzip",
+                  chunks_per_file: int = 20_000) -> None:
+    """Write the pages (page_id, url, html) as WARC files into a new folder. With compression "none" archives can be
+    read in splits; compressed ones are read a file at a time, so files are kept small."""
     choice = decide(pages, least).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
     rows = pages.select("page_id", "url", "html")
     records = rows.join(choice, F.col("page_id").eqNullSafe(F.col("__page")) & (
         F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")) == F.col("__digest")), "left")
-    as_records(chunk_table(records, size)).write.option("lineSep", "\n").text(folder)
+    as_records(chunk_table(records, size)).write.option("lineSep", "\n").option(
+        "compression", compression).option("maxRecordsPerFile", chunks_per_file).text(folder)
 
 
 def parsed(spark: SparkSession, folder: str) -> DataFrame:
