@@ -1,16 +1,16 @@
 """Line dedup by winnowing: later copies of runs of lines are deleted.
 
 The lines of a document that hold more than blanks are its content lines, compared without blanks at their ends. A
-run of RUN content lines in a row (blank lines between them do not matter) that equals a run of an earlier document,
-or one that starts earlier in the same document, is a repeat; every line of a repeat is deleted. Documents are
-ordered by doc_id, then by a hash of the text.
+run of RUN content lines in a row (blank lines between them do not matter), or of fewer that hold WORDS or more words
+together, that equals a run of an earlier document, or one that starts earlier in the same document, is a repeat; every
+line of a repeat is deleted. Documents are ordered by doc_id, then by a hash of the text.
 
 Each run selects its smallest line hash (the last one of equals), so two equal runs select the same line: a guaranteed
 fingerprint. Fingerprints found at one position only are dropped; at the others the match is extended to both sides
 over all runs that hold the selected line, and each such run is compared with its first occurrence. No pairs are
 made: a run joins the first of its kind, and minima are summed up before any shuffle.
 
-Defined cases: null and empty texts and texts of fewer than RUN content lines stay as they are; rows with the same
+Defined cases: null and empty texts and texts of fewer than RUN content lines and WORDS words stay as they are; rows with the same
 doc_id and the same text are one document and get one result; a null doc_id comes before all others; an empty table
 gives an empty result; extra columns are kept by `clean` and never read.
 """
@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType
 
 from depthlog.operators.staging import stage
 
-RUN = 3
+RUN, WORDS = 3, 50
 BLANKS = " \t\n\v\f\r"
 ROWS = 20_000
 
@@ -37,15 +37,19 @@ def content_lines(text: str) -> list[tuple[int, str]]:
     return [(i, line) for i, line in ((i, x.strip(BLANKS)) for i, x in enumerate(text.split("\n"))) if line]
 
 
-def runs_of(text: str, run: int = RUN):
+def runs_of(text: str, run: int = RUN, words: int | None = WORDS):
     """start, selected position, its hash, a 128-bit digest of the run and its line numbers, for every run."""
     lines = content_lines(text)
     raw = [x.encode("utf-8", "replace") for _, x in lines]
     hashes = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in raw]
-    for p in range(len(lines) - run + 1):
-        chosen = max(range(p, p + run), key=lambda i: (-hashes[i], i))
-        digest = hashlib.blake2b(b"\n".join(raw[p:p + run]), digest_size=16).digest()
-        yield p, chosen, hashes[chosen], digest, [i for i, _ in lines[p:p + run]]
+    held = [len(x.split()) for _, x in lines] if words else []
+    for p in range(len(lines)):
+        for z in range(p + 1, min(p + run, len(lines)) + 1):
+            if z < p + run and not (words and sum(held[p:z]) >= words):
+                continue
+            chosen = max(range(p, z), key=lambda i: (-hashes[i], i))
+            digest = hashlib.blake2b(b"\n".join(raw[p:z]), digest_size=16).digest()
+            yield p, chosen, hashes[chosen], digest, [i for i, _ in lines[p:z]]
 
 
 def key():
@@ -53,7 +57,7 @@ def key():
     return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
 
 
-def runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+def runs(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """key, start, chosen, fingerprint, digest, lines of every run of every document."""
     keyed = docs.select(key().alias("key"), "text")
     kind = keyed.schema["key"].dataType.simpleString()
@@ -64,7 +68,7 @@ def runs(docs: DataFrame, run: int = RUN) -> DataFrame:
         rows = []
         for b in batches:
             for k, text in zip(b["key"], b["text"]):
-                for r in runs_of(text or "", run):
+                for r in runs_of(text or "", run, words):
                     rows.append((k, *r))
                     if len(rows) >= ROWS:
                         yield pd.DataFrame(rows, columns=names)
@@ -75,9 +79,9 @@ def runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return keyed.mapInPandas(find, schema)
 
 
-def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeats(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """key, gone: the numbers of the lines to delete, for the documents that have any."""
-    found = stage(runs(docs, run))
+    found = stage(runs(docs, run, words))
     where = F.struct("key", "chosen")
     shared = (found.groupBy("fingerprint").agg(F.min(where).alias("first"), F.max(where).alias("last"))
               .filter("first <> last").select("fingerprint"))
@@ -98,15 +102,16 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(texts, gone)], dtype=object)
 
 
-def marked(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents with __gone, the numbers of the lines to delete (null: none)."""
-    gone = repeats(docs, run).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+def marked(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
+    """The documents with __gone, the numbers of the lines to delete (null: none). Without `words` runs are only counted
+    in lines."""
+    gone = repeats(docs, run, words).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     return docs.withColumn("__here", key()).join(gone, F.col("__here") == F.col("__key"), "left").drop("__here", "__key")
 
 
-def clean(docs: DataFrame, run: int = RUN) -> DataFrame:
+def clean(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """The documents, all columns kept, without repeated lines; n_chars, where there is one, follows the text."""
-    out = marked(docs, run).withColumn("text", without_lines("text", "__gone"))
+    out = marked(docs, run, words).withColumn("text", without_lines("text", "__gone"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -84,7 +84,7 @@ SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
        md5(coalesce(string_agg(CASE WHEN gone.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_md5
 FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id""")
 def op9(spark, sf_dir):
-    out = line_dedup.marked(table(spark, sf_dir, "documents"))
+    out = line_dedup.marked(table(spark, sf_dir, "documents"), words=None)  # the SQL counts lines only
     return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
                       F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
                       F.md5(F.coalesce(line_dedup.without_lines("text", "__gone"), F.lit(""))).alias("kept_md5"))

@@ -132,6 +132,15 @@ def test_lines_of_odd_rows(docs):
     assert line_dedup.clean(docs([])).count() == 0
 
 
+def test_long_passages_on_few_lines_are_repeats(docs):
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
+    rows = [(1, f"{long}\na\n{half}\n\n{half} "), (2, f"b\n {long}\nc"), (3, f"{half}\n{half}"), (4, f"d\n{half}\ne"), (5, long[:-4])]
+    got = {r.doc_id: r.text for r in line_dedup.clean(docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "b\nc", 3: "", 4: rows[3][1], 5: rows[4][1]}
+    counted = {r.doc_id: r.text for r in line_dedup.clean(docs(rows), words=None).collect()}
+    assert counted == dict(rows)
+
+
 # --- op10 ----------------------------------------------------------------------------------
 
 def plain_bytes(rows):
