@@ -10,7 +10,7 @@ links grow with the number of different fingerprints, never with the square of a
 
 Defined cases: null and empty texts, and texts of blanks, have fingerprint zero and are linked like any other; a
 repeated row comes back as often as it is given; a null doc_id takes part but is never the smallest while another id
-is reachable; an empty table gives an empty result; extra columns are never read.
+is reachable; documents that share a doc_id, or have none, are told apart by their texts; an empty table gives an empty result; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -69,29 +69,42 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return a.join(b, [a["key"] == b["key"], a["src"] < b["dst"], third, full]).select("src", "dst")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document: the smallest doc_id reachable over links, itself included."""
-    marked = stage(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")))
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def marks(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and a hash of the text of every document."""
+    return stage(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp"), F.xxhash64("text").alias("hash")))
+
+
+def grouped(marked: DataFrame) -> DataFrame:
+    """fp, component, first (without_id, doc_id, fp, hash: the smallest document) of every different fingerprint."""
+    order = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "fp", "hash")
+    distinct = stage(marked.groupBy("fp").agg(F.min(order).alias("first")))
     reached = components(links(distinct))
-    named = distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(smallest, "component").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of every document: the smallest doc_id reachable over links, itself included."""
+    marked = marks(docs)
+    named = grouped(marked)
+    smallest = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    return marked.select("doc_id", "fp").join(named.join(smallest, "component").select("fp", "component_id"), "fp")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents of the smallest doc_id of each component, with all their columns; of repeated rows of one doc_id
-    one stays. Rows of a null doc_id stay only if nothing else is in their component."""
-    held = stage(near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select("doc_id", "fp").distinct())
-    first = held.groupBy(F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__fp"))
+    """One document of each component, with all its columns: that of the smallest doc_id (null comes last), then
+    fingerprint, then hash of the text; of its repeated rows one stays."""
+    marked = marks(docs)
+    held = stage(grouped(marked).groupBy("component").agg(F.min("first").alias("first"))
+                 .select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("doc_id", "fp", "hash")]))
+    here = [F.col("__id_here").eqNullSafe(F.col("__doc_id")), F.col("__fp_here") == F.col("__fp"), F.col("__hash_here") == F.col("__hash")]
     names = docs.columns
-    rows = docs.withColumn("__fp_here", fingerprint_column(F.col("text")))
-    repeated = stage(docs.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1 or doc_id is null"))
-    joined = rows.join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (F.col("__fp_here") == F.col("__fp")))
+    rows = docs.withColumns({"__id_here": F.col("doc_id"), "__fp_here": fingerprint_column(F.col("text")), "__hash_here": F.xxhash64("text")})
+    repeated = stage(marked.groupBy(F.col("doc_id").alias("__id_here"), F.col("fp").alias("__fp_here"), F.col("hash").alias("__hash_here"))
+                     .agg(F.count("*").alias("__n")).filter("__n > 1").join(held, here, "left_semi").select(F.col("__fp_here").alias("__again")))
+    joined = rows.join(held, here)
     if not repeated.limit(1).count():
         return joined.select(*names)
-    once = joined.join(repeated.select(F.col("doc_id").alias("__again")), F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi")
-    return (joined.join(repeated.select(F.col("doc_id").alias("__again")), F.col("doc_id").eqNullSafe(F.col("__again")), "left_anti")
-            .select(*names).unionByName(once.select(*names).dropDuplicates(["doc_id"])))
+    again = F.col("__fp") == F.col("__again")
+    return (joined.join(repeated, again, "left_anti").select(*names)
+            .unionByName(joined.join(repeated, again, "left_semi").dropDuplicates(["__fp"]).select(*names)))

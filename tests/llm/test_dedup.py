@@ -77,6 +77,18 @@ def test_near_duplicates_odd_rows(docs):
     assert len(alone) == 1
 
 
+def test_each_component_keeps_one_document(docs):
+    rng = random.Random(12)
+    texts = [" ".join(f"{rng.random():.9f}" for _ in range(40)) for _ in range(6)]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 3
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]),
+            (None, texts[4]), (9, texts[4]), (5, texts[5]), (3, texts[5])]
+    kept = simhash.keep_first(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[4]), (3, texts[5])], key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, 299), (300, 299)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
