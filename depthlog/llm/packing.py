@@ -5,12 +5,16 @@ The histogram has at most `size` entries whatever the corpus holds, so fitting i
 `size` lengths and about size^2 / 12 + size / 2 + 1 patterns. Documents meet their places by their rank among the
 documents of the same length.
 
+With added_tokens texts are split at the added tokens of the tokenizers file, which get their own ids; without, their
+strings are ordinary text.
+
 Defined cases: a null or empty text is the closing id alone; a repeated row is packed each time; a null doc_id is
 packed like any other; an empty table gives an empty result; extra columns are never read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -48,21 +52,51 @@ def fast_encoders(path: str):
             for name, p in (("full", pattern), ("plain", pattern.replace(BLANKS_THEN_WORD, "")))]
 
 
+@lru_cache(maxsize=2)
+def added_ids(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file and their ids."""
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError("added tokens that take in what is around them are not handled")
+    return {t.content: i for i, t in added.items()}
+
+
+def encoder(path: str, added_tokens: bool = False):
+    """text -> ids of the tokenizers file, as its own encode has them without the tokens around a text."""
+    full, plain = fast_encoders(path)
+    added = added_ids(path) if added_tokens else {}
+
+    def ordinary(text):
+        return (full if TWO_BLANKS.search(text) else plain)(text)
+
+    if not added:
+        return ordinary
+    parts_of = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text):
+        parts = parts_of.split(text)  # every second part is an added token
+        if len(parts) == 1:
+            return ordinary(text)
+        return [i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else ordinary(part))]
+
+    return encode
+
+
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     """start, length of the pieces of n tokens: full ones, the first taking what is over."""
     first = n % size or size
     return [(0, min(first, n))] + [(at, size) for at in range(first, n, size)]
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, with_ids: bool = False,
+           added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of every document's pieces."""
     def run(batches):
-        full, plain = fast_encoders(path)
+        encode = encoder(path, added_tokens)
         for b in batches:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for doc, text in zip(b["doc_id"], b["text"]):
-                text = text or ""
-                ids = np.array((full if TWO_BLANKS.search(text) else plain)(text) + [closing], "<u4").tobytes()
+                ids = np.array(encode(text or "") + [closing], "<u4").tobytes()
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     part = ids[4 * start:4 * (start + length)]
                     for name, value in zip(out, (doc, k, start, length, zlib.crc32(part), part)):
@@ -187,6 +221,6 @@ def place(cut_up: DataFrame, size: int = SIZE) -> DataFrame:
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return place(stage(pieces(docs, path, size, closing)), size)
+    return place(stage(pieces(docs, path, size, closing, added_tokens=added_tokens)), size)

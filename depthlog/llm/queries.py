@@ -53,7 +53,7 @@ def op7(spark, sf_dir):
 
 @query("op8_pattern_packing")
 def op8(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 @query("op3_nn_descent")

@@ -10,8 +10,9 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
-from depthlog.llm import classifier, packing, quotes, tree_bpe, weak_rules
+from depthlog.llm import classifier, packing, queries, quotes, tree_bpe, weak_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,6 +101,20 @@ def test_plans_use_up_any_histogram(lengths):
     assert (used[1:] == histogram[1:]).all()
 
 
+def test_added_tokens_get_their_ids(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(JSON)
+    mark = "<|endoftext|>"
+    rows = ODD + [(20, mark), (21, mark * 3), (22, f"a  {mark}  b\n{mark}\n\n"), (23, f"{mark[:-1]} {mark}{mark[1:]} it{mark}'ll"), (24, mark.upper())]
+    want = sorted(str((i, zlib.crc32(np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()))) for i, t in rows)
+    assert tok.encode(rows[8][1], add_special_tokens=False).ids == [50256, 290, 517]
+    got = packing.pack(docs(rows), JSON, added_tokens=True).collect()
+    assert sorted(str((r.doc_id, r.ids_crc32)) for r in got) == want
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.QUERIES["op8_pattern_packing"](spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, docs(rows), str(tmp_path))):
+        assert sorted(str((r.doc_id, r.ids_crc32)) for r in out.collect()) == want
+
+
 def test_pieces_can_carry_their_ids(docs):
     rows = packing.pieces(docs([(1, "hello world")]), JSON, with_ids=True).collect()
     assert zlib.crc32(bytes(rows[0].ids)) == rows[0].ids_crc32 and rows[0].length == 3
