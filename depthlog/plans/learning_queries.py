@@ -10,9 +10,11 @@ from depthlog.operators.staging import stage
 from depthlog.plans.fixture import clean_wells, on_wells, prepared, split_of
 from depthlog.plans.metric_queries import _class_ctes, probabilities, r6, wells
 from depthlog.plans.registry import query
-from depthlog.schema import BASE_FEATURES, CODES, feature_names
+from depthlog.schema import BASE_FEATURES, CODES, FINE_WINDOWS, feature_names
 
-TREES, DEPTH, LEAF = 10, 8, 5
+TREES, DEPTH, LEAF = 100, 20, 5
+ROUNDS, BOOST_DEPTH = 100, 6
+REPEATS = 3
 
 
 def training_input(spark, sf_dir):
@@ -27,6 +29,20 @@ def _training_input(spark, sf_dir):
     return stage(L.impute(df, L.fit_medians(J.split_rows(df, "TRAIN", "split"), numeric)))
 
 
+def ablation_input(spark, sf_dir):
+    """training_input with the columns of all feature sets; built once per session."""
+    return prepared(spark, sf_dir, "ablation", lambda: _ablation_input(spark, sf_dir))
+
+
+def _ablation_input(spark, sf_dir):
+    base = X.base_features(clean_wells(spark, sf_dir)).select("well", "pos", "dept", *BASE_FEATURES)
+    wide = X.rolling(base, windows=FINE_WINDOWS, key="well", order="pos")
+    wide = X.forward_gradient(X.neighbour_gradient(wide, key="well", order="pos"), key="well", order="pos", depth="dept")
+    more = [c for c in wide.columns if c not in ("well", "pos", "dept", *feature_names())]
+    df = stage(training_input(spark, sf_dir).join(wide.select("well", "pos", *more), ["well", "pos"]))
+    return stage(L.impute(df, L.fit_medians(J.split_rows(df, "TRAIN", "split"), more)))
+
+
 def fitted(df, features=None, alpha=0.5):
     train = L.add_class_weights(J.split_rows(df, "TRAIN", "split").filter(F.col("true_code").isNotNull()), "true_code", alpha)
     return L.train_forest(train, features or feature_names(), "true_code", "weight", trees=TREES, depth=DEPTH, leaf=LEAF)
@@ -45,11 +61,10 @@ def forest_scores(spark, sf_dir):
 
 @query("boosted_scores")
 def boosted_scores(spark, sf_dir):
-    """Base features only: twelve one-against-rest boosters are slow to train."""
     df = training_input(spark, sf_dir)
     train = J.split_rows(df, "TRAIN", "split")
-    model = L.train_boosted(train, BASE_FEATURES, "true_code", rounds=2, depth=3)
-    out = L.score(model, unseen(df), BASE_FEATURES, "boosted")
+    model = L.train_boosted(train, feature_names(), "true_code", rounds=ROUNDS, depth=BOOST_DEPTH)
+    out = L.score(model, unseen(df), feature_names(), "boosted")
     return out.select("well", "pos", "true_code", "boosted_CODE", "boosted_NAME")
 
 
@@ -70,8 +85,8 @@ def impurity_importance(spark, sf_dir):
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     df = training_input(spark, sf_dir)
-    return r6(L.permutation_importance(fitted(df, BASE_FEATURES), J.split_rows(df, "PUBLIC", "split"), BASE_FEATURES, "true_code",
-                                       ("well", "pos"), repeats=2), "importance", "deviation")
+    return r6(L.permutation_importance(fitted(df), J.split_rows(df, "PUBLIC", "split"), feature_names(), "true_code",
+                                       ("well", "pos"), repeats=REPEATS), "importance", "deviation")
 
 
 @query("probability_study")
@@ -89,10 +104,9 @@ def rival_classes(spark, sf_dir):
 
 @query("feature_set_leaderboard")
 def feature_set_leaderboard(spark, sf_dir):
-    df = training_input(spark, sf_dir)
+    df = ablation_input(spark, sf_dir)
     results = {}
-    for name in ("base_5", "rolling_mean_20", "full_41"):
-        features = X.feature_sets()[name]
+    for name, features in X.feature_sets().items():
         scored = L.score(fitted(df, features), J.split_rows(df, "PUBLIC", "split"), features, "m")
         results[name] = M.overall(M.pair_counts(scored, {"forest": "m_CODE"}, "true_code"))
     return L.leaderboard(results, "base_5")

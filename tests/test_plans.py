@@ -82,3 +82,30 @@ def test_random_split_is_repeatable_and_complete(spark, stored):
     a = {tuple(r) for r in J.random_split(stored, 3, ("x", "y")).collect()}
     assert a == {tuple(r) for r in J.random_split(stored.repartition(9), 3, ("x", "y")).collect()}
     assert sorted(s for _, s in a) == ["x", "x", "x", "y"] and len(INPUT_CURVES) == 5
+
+
+def test_learning_queries_take_whole_parameters(spark, monkeypatch):
+    from depthlog.plans import learning_queries as Q
+    asked, forest = [], L.train_forest
+
+    def small_forest(df, features, *args, **kwargs):
+        asked.append((len(features), kwargs["trees"], kwargs["depth"], kwargs["leaf"]))
+        return forest(df, features, *args, **kwargs | {"trees": 1, "depth": 2})
+
+    def boosted(df, features, label, **kwargs):
+        asked.append((len(features), kwargs["rounds"], kwargs["depth"]))
+        return small_forest(df, features, label, trees=0, depth=0, leaf=1)
+
+    def permutation(model, df, features, *args, repeats):
+        asked.append((len(features), repeats))
+        return spark.createDataFrame([("GR", 0.0, 0.0)], "feature string, importance double, deviation double")
+
+    for name, fake in (("train_forest", small_forest), ("train_boosted", boosted), ("permutation_importance", permutation)):
+        monkeypatch.setattr(L, name, fake)
+    table = Q.feature_set_leaderboard(spark, "/root/testdata/sf0.001")
+    assert {r.run for r in table.collect()} == set(X.feature_sets())
+    assert asked == [(len(f), 100, 20, 5) for f in X.feature_sets().values()]
+    asked.clear()
+    Q.permutation_importance(spark, "/root/testdata/sf0.001")
+    Q.boosted_scores(spark, "/root/testdata/sf0.001")
+    assert asked == [(41, 100, 20, 5), (41, 3), (41, 100, 6), (41, 0, 0, 1)]
