@@ -2,16 +2,18 @@
 
 Equal vectors are one node, named by their smallest id; each keeps its smallest ids (as many as a result may need), so
 copies never meet one another. Unequal norms are evened out by one more component (square root of what is missing to
-the largest norm), so that the graph of large inner products is a graph of near points.
+the largest norm), so that the graph of large inner products is a graph of near points. That component is never
+rounded beside the products: what it lacks to one is used instead, which is small when the norm is.
 
-The graph starts from blocks of vectors that are neighbours in the order of random sign codes. A round joins every
+The graph starts from blocks of vectors that are neighbours in the order of random sign codes of their directions. A round joins every
 node with its neighbours' neighbours: the members of a node's neighbourhood (neighbours both ways) meet there with
 their vectors, and a pair is passed on if it beats the weakest neighbour of one of the two and one of its edges is
 new. Nodes with many incoming edges are dealt into blocks, each with all outgoing ones, so no neighbourhood is large.
 
 A query starts from its own node and a few fixed entry nodes (the longest vectors, and some by hash), and expands the
-best unexpanded nodes of its beam until all are expanded. The graph and the beam are made in half precision; the
-beam's final scores are sums of products in double precision of the original vectors.
+best unexpanded nodes of its beam until all are expanded. Vectors travel as directions in half precision and a norm in
+double precision, and similarities are summed in single precision; the beam's final scores are sums of products in
+double precision of the original vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, neither do rows
 without an id; of rows that repeat an id one is taken (the smallest vector); all vectors must have one length; a query
@@ -56,20 +58,35 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levelled(nodes: DataFrame) -> DataFrame:
-    """node, v: half-precision bytes of the vectors scaled to one norm with one more component."""
+    """node, v: bytes of the norm as a share of the largest (double) and of the direction (half precision)."""
     largest = nodes.select(F.max(F.sqrt(dot(F.col("vec"), F.col("vec"))))).first()[0] or 1.0
 
     def scaled(batches):
         for b in batches:
-            x = np.vstack(b["vec"]) / largest
-            x = np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
-            yield pd.DataFrame({"node": b["node"], "v": [r.tobytes() for r in x.astype(np.float16)]})
+            x = np.vstack(b["vec"])
+            norms = np.sqrt((x * x).sum(axis=1))
+            directions = (x / np.where(norms > 0, norms, 1)[:, None]).astype(np.float16)
+            yield pd.DataFrame({"node": b["node"], "v": [n.tobytes() + r.tobytes() for n, r in zip(norms / largest, directions)]})
 
     return nodes.mapInPandas(scaled, "node bigint, v binary")
 
 
-def matrix(vectors) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1).astype(np.float32)
+def unpacked(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (single precision) and norms (double)."""
+    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)
+    return np.ascontiguousarray(raw[:, 8:]).view(np.float16).astype(np.float32), np.ascontiguousarray(raw[:, :8]).view(np.float64)[:, 0]
+
+
+def similarities(vectors) -> np.ndarray:
+    """Inner products of all levelled pairs less one; none of a vector with itself. With a and b what the extra
+    components lack to one, their product less one is a * b - a - b."""
+    x, norms = unpacked(vectors)
+    scaled = x * norms[:, None].astype(np.float32)
+    lack = norms * norms / (1 + np.sqrt(np.maximum(0, 1 - norms * norms)))
+    lack = lack.astype(np.float32)
+    sims = scaled @ scaled.T + (lack[:, None] * lack - lack[:, None] - lack)
+    np.fill_diagonal(sims, -np.inf)
+    return sims
 
 
 def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,15 +109,13 @@ def first_graph(points: DataFrame, degree: int) -> DataFrame:
     """node, nbr, sim, fresh from blocks of neighbours in the order of random sign codes."""
     def codes(batches):
         for b in batches:
-            x = matrix(b["v"].tolist())
+            x, _ = unpacked(b["v"].tolist())
             for t in range(TABLES):
                 signs = x @ np.random.default_rng(SEED + t).normal(size=(x.shape[1], BITS)).astype(np.float32) > 0
                 yield pd.DataFrame({"t": t, "code": signs @ (1 << np.arange(BITS)), "node": b["node"], "v": b["v"]})
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
-        x, ids = matrix(rows["v"].tolist()), rows["node"].to_numpy()
-        sims = x @ x.T
-        np.fill_diagonal(sims, -np.inf)
+        sims, ids = similarities(rows["v"].tolist()), rows["node"].to_numpy()
         a, c = best(sims, degree)
         return pd.DataFrame({"node": ids[a], "nbr": ids[c], "sim": sims[a, c]})
 
@@ -146,9 +161,7 @@ def descend(points: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
                 ids = np.array([m["member"] for m in members])
                 fresh = np.array([m["fresh"] for m in members], bool)
                 least = np.array([-np.inf if m["least"] is None else m["least"] for m in members], np.float32)
-                x = matrix([m["v"] for m in members])
-                sims = x @ x.T
-                np.fill_diagonal(sims, -np.inf)
+                sims = similarities([m["v"] for m in members])
                 ok = (sims > least[:, None]) & (fresh[:, None] | fresh)
                 a, c = np.nonzero(ok)
                 out.append((ids[a], ids[c], sims[a, c]))
@@ -180,8 +193,8 @@ def greedy(points: DataFrame, graph: DataFrame, asked: DataFrame, entries: list[
     beam that are not, and is one staged table."""
     def products(batches):
         for b in batches:
-            x, y = matrix(b["v"].tolist()), matrix(b["w"].tolist())
-            yield pd.DataFrame({"q": b["q"], "at": b["at"], "score": (x[:, :-1] * y[:, :-1]).sum(axis=1)})
+            (x, norms), (y, _) = unpacked(b["v"].tolist()), unpacked(b["w"].tolist())  # the query's norm changes no order
+            yield pd.DataFrame({"q": b["q"], "at": b["at"], "score": ((x * y).sum(axis=1) * norms).astype(np.float32)})
 
     wanted = stage(points.join(asked.select(F.col("q").alias("node")), "node", "left_semi").select(F.col("node").alias("q"), F.col("v").alias("w")))
 

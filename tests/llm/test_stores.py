@@ -88,6 +88,26 @@ def test_recall_with_copies_and_unequal_norms(spark):
     assert all(abs(vectors[q] @ vectors[i] - s) < 1e-9 for q, v in got.items() for _, i, s in v)
 
 
+def test_recall_with_norms_a_thousand_times_apart(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(40, 64))[np.arange(2000) % 40] + 0.5 * rng.normal(size=(2000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(2000)]
+    x[1234] *= 1000
+    rows = [(i, [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
+    want = exact(rows, 20, 20)
+    got = {}
+    for r in searched(spark, rows):
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.95
+    points = neighbours.stage(neighbours.levelled(spark.createDataFrame(rows, "node long, vec array<double>")))
+    linked = {}
+    for r in neighbours.build_graph(points).collect():
+        linked.setdefault(r.node, set()).add(r.nbr)
+    near = {q: set(v) - {1234} for q, v in want.items() if q != 1234}
+    held = np.mean([len(linked[q] & v) / len(v) for q, v in near.items()])
+    assert held >= 0.95, held
+
+
 def test_few_and_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (20, [0.5, 0.5]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]),
             (100, [None, 1.0]), (120, [float("inf"), 1.0]), (None, [1.0, 1.0]), (2, [0.0, 1.0])]
