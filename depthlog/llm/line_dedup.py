@@ -6,9 +6,9 @@ together, that equals a run of an earlier document, or one that starts earlier i
 line of a repeat is deleted. Documents are ordered by doc_id, then by a hash of the text.
 
 Each run selects its smallest line hash (the last one of equals), so two equal runs select the same line: a guaranteed
-fingerprint. Fingerprints found at one position only are dropped; at the others the match is extended to both sides
-over all runs that hold the selected line, and each such run is compared with its first occurrence. No pairs are
-made: a run joins the first of its kind, and minima are summed up before any shuffle.
+fingerprint. Runs whose fingerprint is found at one position only are dropped; the digests of all others are grouped,
+and each run is compared with its first occurrence. Matches are not extended line by line. No pairs are made: a run
+joins the first of its kind, and minima are summed up before any shuffle.
 
 Defined cases: null and empty texts and texts of fewer than RUN content lines and WORDS words stay as they are; rows with the same
 doc_id and the same text are one document and get one result; a null doc_id comes before all others; an empty table
