@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from depthlog.operators.staging import stage
 
 MARK = "▁"
-TABLE_ROWS, TABLE_BYTES, LONGEST = 400_000, 16 << 20, 64
-BATCH_CHARS = 4 << 20
+TABLE_ROWS, TABLE_BYTES, LONGEST = 200_000, 8 << 20, 64
+BATCH_CHARS, COUNTED = 1 << 20, 250_000
 MARKED = re.compile(r" +[^ ]*")
 
 
@@ -79,15 +79,15 @@ def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b[text]:
                 seen.update(chunks_of(t or ""))
-            if len(seen) > 1_000_000:
+            if len(seen) > COUNTED:
                 yield from rows(seen)
                 seen = Counter()
         yield from rows(seen)
 
     def rows(seen):
         kept = [(c, n) for c, n in seen.items() if len(c) <= LONGEST]
-        for at in range(0, len(kept), 100_000):
-            yield pd.DataFrame(kept[at:at + 100_000], columns=["chunk", "n"])
+        for at in range(0, len(kept), 50_000):
+            yield pd.DataFrame(kept[at:at + 50_000], columns=["chunk", "n"])
 
     return docs.select(text).mapInPandas(run, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
 
