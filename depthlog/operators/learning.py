@@ -6,14 +6,13 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.functions import columns as C
-from depthlog.operators import metrics as M
+from depthlog.operators import metrics as M, training as T
 from depthlog.operators.features import check_features
 from depthlog.operators.quality import medians
 from depthlog.operators.quantiles import quantiles
@@ -43,43 +42,69 @@ def add_class_weights(df: DataFrame, label: str, alpha: float = 0.5, out: str =
 
 # --- training -------------------------------------------------------------------------------
 
-def _training_rows(df: DataFrame, features: Sequence[str], label: str, weight: str | None, codes: Sequence[int]) -> DataFrame:
-    rows = df.filter(F.col(label).isNotNull()).withColumn("__y", C.code_to_index(F.col(label), codes).cast("double"))
+def _training_rows(df: DataFrame, features: Sequence[str], label: str, weight: str | None, codes: Sequence[int],
+                   max_rows: int | None, key: Sequence[str] | None, seed: int) -> tuple[DataFrame, str | None]:
+    """(__x, __y, weight of the rows to fit; name of the weight): labelled rows, at most `max_rows` if that is given."""
+    rows = M.known_codes_only(df.filter(F.col(label).isNotNull()), label, codes)
+    if max_rows is not None:
+        weight = weight or "__weight"
+        rows = T.bounded(rows, label, key or features, max_rows, seed, weight)
+    rows = rows.withColumn("__y", C.code_to_index(F.col(label), codes).cast("double"))
     assembled = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(rows)
-    keep = ["__x", "__y", *([weight] if weight else [])]
-    return assembled.select(*keep)
+    held = T.hashed(key or features, seed + 1)
+    return stage(assembled.select("__x", "__y", *([weight] if weight else []), held.alias("__draw"))), weight
 
 
 def train_forest(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, codes: Sequence[int] = CODES,
-                 trees: int = 100, depth: int = 20, leaf: int = 5, seed: int = 42) -> RandomForestClassificationModel:
-    """Random forest over class positions in ascending code order."""
+                 trees: int = 100, depth: int = 20, leaf: int = 5, seed: int = 42, max_rows: int | None = None,
+                 key: Sequence[str] | None = None, memory_mb: int = 1024) -> RandomForestClassificationModel:
+    """Random forest over class positions in ascending code order.
+
+    The rows of the fit are dealt evenly over tasks. `max_rows` bounds them by classes, chosen by a hash of `key` (or of
+    the features) and weighted by one over the share taken; without it all labelled rows are used."""
+    rows, weight = _training_rows(df, features, label, weight, codes, max_rows, key, seed)
     learner = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-                                     seed=seed, cacheNodeIds=False)
+                                     seed=seed, cacheNodeIds=True, maxMemoryInMB=memory_mb)
     if weight:
         learner = learner.setWeightCol(weight)
-    return learner.fit(_training_rows(df, features, label, weight, codes))
+    return learner.fit(T.dealt(rows))
 
 
 def train_boosted(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, codes: Sequence[int] = CODES,
-                  rounds: int = 20, depth: int = 5, seed: int = 42) -> OneVsRestModel:
-    """One boosted tree classifier per class; a stand-in for native multi-class boosting."""
-    base = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=depth, seed=seed)
-    ovr = OneVsRest(classifier=base, featuresCol="__x", labelCol="__y", parallelism=4)
-    if weight:
-        ovr = ovr.setWeightCol(weight)
-    return ovr.fit(_training_rows(df, features, label, weight, codes))
+                  rounds: int = 20, depth: int = 5, seed: int = 42, max_rows: int | None = None, key: Sequence[str] | None = None,
+                  held_out: float = 0.2) -> T.BoostedClasses:
+    """One boosted tree classifier per class with calibrated probabilities; a stand-in for native multi-class boosting.
+
+    The share `held_out` of the rows (by a hash of `key`, or of the features) is in no tree: it stops the rounds and
+    calibrates the scores."""
+    rows, weight = _training_rows(df, features, label, weight, codes, max_rows, key, seed)
+    return T.train_boosted_classes(rows, len(codes), F.col("__draw") < held_out, weight, rounds, depth, seed=seed)
+
+
+class RuleModel:
+    """A model given by an expression: class probabilities from the array of features. For rules, and to check what is
+    built on top of models."""
+
+    def __init__(self, probabilities):
+        self.probabilities = probabilities
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        p = F.col("__p")
+        chosen = (F.array_position(p, F.array_max(p)) - 1).cast("double")
+        return (df.withColumn("__p", self.probabilities(vector_to_array("__x")))
+                .withColumns({"prediction": chosen, "probability": array_to_vector(p)}).drop("__p"))
 
 
 # --- scoring --------------------------------------------------------------------------------
 
 def score(model, df: DataFrame, features: Sequence[str], name: str, codes: Sequence[int] = CODES,
           probabilities: bool = False) -> DataFrame:
-    """Add {name}_CODE, {name}_NAME and {name}_CONFIDENCE (the probability of the chosen class).
+    """Add {name}_CODE, {name}_NAME and {name}_CONFIDENCE (the probability of the chosen class, NULL from a model without).
 
-    One-vs-rest boosting has no probabilities; its confidence is NULL.
+    A position of the model that stands for no class code fails the job.
     """
     scored = model.transform(VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(df))
-    code = C.index_to_code(F.col("prediction"), codes)
+    code = decoded(F.col("prediction"), codes)
     out = {f"{name}_CODE": code, f"{name}_NAME": C.code_to_name(code)}
     if "probability" in scored.columns:
         p = vector_to_array("probability")
@@ -91,14 +116,23 @@ def score(model, df: DataFrame, features: Sequence[str], name: str, codes: Seque
     return scored.withColumns(out).drop("__x", "prediction", "probability", "rawPrediction")
 
 
+def decoded(position: Column, codes: Sequence[int] = CODES) -> Column:
+    """Class code of a position in the ascending class list; a position outside it fails the job."""
+    code = C.index_to_code(position, codes)
+    text = F.concat(F.lit("model position without class code: "), F.coalesce(position.cast("string"), F.lit("none")))
+    return F.when(code.isNull(), F.raise_error(text).cast("int")).otherwise(code)
+
+
 def predict(df: DataFrame, models: dict, features: Sequence[str], wanted: Sequence[str] | None = None,
             codes: Sequence[int] = CODES) -> DataFrame:
-    """Wide prediction table of several models, or of the wanted ones."""
+    """Wide prediction table of several models, or of the wanted ones; no rows, models or features missing is an error."""
     names = list(wanted or models)
     unknown = [n for n in names if n not in models]
     if unknown or not names:
         raise ValueError(f"unknown or no models: {unknown}")
     check_features([c for c in df.columns if c in set(features)], features)
+    if df.isEmpty():
+        raise ValueError("no rows to score")
     for n in names:
         df = score(models[n], df, features, n, codes)
     return df
@@ -106,7 +140,7 @@ def predict(df: DataFrame, models: dict, features: Sequence[str], wanted: Sequen
 
 def save_bundle(model, path: str, features: Sequence[str], codes: Sequence[int] = CODES) -> None:
     from depthlog.sources.sinks import write_parameters
-    model.write().overwrite().save(f"{path}/model")
+    T.save_model(model, f"{path}/model")
     write_parameters(_spark(), f"{path}/parameters", json.dumps({"features": list(features), "codes": sorted(codes)}))
 
 
@@ -127,7 +161,7 @@ def load_bundle(path: str, loader=RandomForestClassificationModel, expected: Seq
 
 def _spark():
     from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+    return SparkSession.active()
 
 
 # --- decisions on top of a model ------------------------------------------------------------
@@ -145,6 +179,30 @@ def specialist_decision(df: DataFrame, base: str, probabilities: dict[int, Colum
                            out: F.when(opened, M.threshold_choice(probabilities, special, threshold)).otherwise(F.col(base))})
 
 
+def train_specialist(df: DataFrame, features: Sequence[str], label: str, classes: Sequence[int], weight: str | None = None,
+                     **forest) -> RandomForestClassificationModel:
+    """A forest that knows only the given classes, fitted on the rows of these."""
+    return train_forest(df.filter(F.col(label).isin(*classes)), features, label, weight, codes=sorted(classes), **forest)
+
+
+def cascade(df: DataFrame, base: str, specialist, features: Sequence[str], classes: Sequence[int], special: int, threshold: float = 0.35,
+            gate: str = "group", out: str = "final_code") -> DataFrame:
+    """Decisions of a base model with a trained specialist behind it.
+
+    Only rows that pass the gate (see specialist_decision) are scored a second time; the class probabilities of the
+    specialist are spliced in as p_{code}, NULL for the other rows, which keep the base model's class."""
+    ordered = sorted(classes)
+    wanted = F.col(base).isin(*(ordered if gate == "group" else [special]))
+    # A row whose base class is NULL is not gated, and is kept.
+    opened, closed = df.filter(F.coalesce(wanted, F.lit(False))), df.filter(~F.coalesce(wanted, F.lit(False)))
+    second = score(specialist, opened, features, "__second", ordered, probabilities=True)
+    given = second.withColumns({f"p_{c}": F.get("__second_P", F.lit(i)) for i, c in enumerate(ordered)})
+    given = specialist_decision(given.select(*df.columns, *[f"p_{c}" for c in ordered]), base, {c: F.col(f"p_{c}") for c in ordered},
+                                special, threshold, gate, out)
+    kept = closed.withColumns({f"p_{c}": F.lit(None).cast("double") for c in ordered} | {"gated": F.lit(0), out: F.col(base)})
+    return given.unionByName(kept)
+
+
 # --- inspection -----------------------------------------------------------------------------
 
 def impurity_importance(model, features: Sequence[str]) -> DataFrame:
@@ -164,24 +222,38 @@ def permuted(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataF
     return receivers.drop(column).join(donors, "__rank").withColumnRenamed("__value", column)
 
 
+def permutation_counts(model, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = (KEY, ROW), repeats: int = 3,
+                       columns: Sequence[str] | None = None, codes: Sequence[int] = CODES, seed: int = 42) -> DataFrame:
+    """pair counts per (model, repeat) with one feature's values moved to other rows; model "" is the table as it is.
+
+    Rows are sorted once, by a hash of key and seed. In that order the donor of a row is a fixed number of places further
+    on (around the end), another number in each repeat; donors are joined once, with all their features, and every
+    feature is substituted and scored from that one row."""
+    keys, names = list(key), list(features)
+    order = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    x = F.array(*[F.col(f).cast("double") for f in names])
+    rows = df.filter(F.col(label).isNotNull()).select(order.alias("__h"), *keys, F.col(label).alias("true_code"), x.alias("__own"))
+    rows = stage(rank_rows(rows, [], ["__h", *keys], "__at").select("__at", "true_code", "__own"))
+    n = rows.count()
+    shifts = [max(1, n * (r + 1) // (repeats + 1)) % max(n, 1) for r in range(repeats)]
+    donors = rows.select(F.col("__own").alias("__other"), F.inline(F.array(*[
+        F.struct(F.lit(r).alias("repeat"), F.pmod(F.col("__at") - s, F.lit(max(n, 1))).alias("__at")) for r, s in enumerate(shifts)])))
+    # One row for each row, repeat and feature: made and scored where the joined row is.
+    wanted = F.array(*[F.struct(F.lit(f).alias("model"), F.lit(names.index(f)).alias("__i")) for f in columns or names])
+    moved = (rows.join(donors, "__at").select("repeat", "true_code", "__own", "__other", F.inline(wanted))
+             .select("model", "repeat", "true_code", F.transform(
+                 "__own", lambda v, i: F.when(i == F.col("__i"), F.get("__other", i)).otherwise(v)).alias("__v")))
+    plain = rows.select(F.lit("").alias("model"), F.lit(0).alias("repeat"), "true_code", F.col("__own").alias("__v"))
+    scored = model.transform(plain.unionByName(moved).withColumn("__x", array_to_vector("__v")))
+    return (scored.groupBy("model", "repeat", "true_code", decoded(F.col("prediction"), codes).alias("pred_code"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = (KEY, ROW),
                            repeats: int = 3, target: int | None = None, columns: Sequence[str] | None = None,
-                           codes: Sequence[int] = CODES) -> DataFrame:
+                           codes: Sequence[int] = CODES, seed: int = 42) -> DataFrame:
     """Mean and deviation of the F1 drop per shuffled feature: macro F1, or that of one class."""
-    keys = list(key)
-    rows = stage(rank_rows(df.filter(F.col(label).isNotNull()).select(*keys, label, *features), [], keys, "__rank"))
-
-    def counts(table, feature, repeat):
-        return (score(model, table, features, "m", codes)
-                .groupBy(F.lit(feature).alias("model"), F.lit(repeat).alias("repeat"), F.col(label).alias("true_code"),
-                         F.col("m_CODE").alias("pred_code")).agg(F.count(F.lit(1)).alias("n")))
-    parts = [counts(rows, "", 0)]
-    for f in columns or features:
-        parts += [counts(permuted(rows, f, keys, r), f, r) for r in range(repeats)]
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    classes = M.per_class(pairs, ["repeat"])
+    classes = M.per_class(permutation_counts(model, df, features, label, key, repeats, columns, codes, seed), ["repeat"])
     f1 = F.avg(F.when(F.col("support") > 0, F.col("f1"))) if target is None else F.max(F.when(F.col("code") == target, F.col("f1")))
     table = stage(classes.groupBy("model", "repeat").agg(F.coalesce(f1, F.lit(0.0)).alias("f1")))
     baseline = table.filter(F.col("model") == "").agg(F.max("f1")).scalar()
@@ -205,11 +277,11 @@ def rival_classes(df: DataFrame, pred: str, label: str, target: int) -> DataFram
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def leaderboard(results: dict[str, DataFrame], baseline: str) -> DataFrame:
-    """Metric rows of several runs with the change against one of them."""
+def leaderboard(results: dict[str, DataFrame], baseline: str, times: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Metric rows of several runs with the change against one of them, and what each run took (`times`: name and seconds)."""
     out = None
     for name, table in results.items():
-        part = table.withColumn("run", F.lit(name))
+        part = table.withColumns({"run": F.lit(name)} | {n: F.lit(float(s)) for n, s in (times or {}).get(name, {}).items()})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     base = {c: F.max(F.when(F.col("run") == baseline, F.col(c))).over(Window.partitionBy("model"))
             for c in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")}

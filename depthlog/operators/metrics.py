@@ -202,7 +202,7 @@ def class_weights(df: DataFrame, label: str, alphas: Sequence[float] = (1.0,)) -
             .withColumn("weight", F.pow("__w", "alpha")).drop("__w"))
 
 
-def known_codes_only(df: DataFrame, column: str) -> DataFrame:
+def known_codes_only(df: DataFrame, column: str, codes: Sequence[int] = CODES) -> DataFrame:
     """Fail the job on a code outside the vocabulary."""
-    return df.withColumn(column, F.when(F.col(column).isNull() | F.col(column).isin(*CODES), F.col(column))
+    return df.withColumn(column, F.when(F.col(column).isNull() | F.col(column).isin(*codes), F.col(column))
                          .otherwise(F.raise_error(F.concat(F.lit("unknown class code "), F.col(column).cast("string"))).cast("int")))

@@ -132,12 +132,13 @@ def well_chunks(spark, sf_dir):
     return J.well_chunks(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well")), 20, "well")
 
 
-_MEDIANS = "md AS MATERIALIZED (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in BASE_FEATURES) + \
-           " FROM base JOIN manifest USING (well) WHERE split = 'TRAIN')"
+def _median_sql(c):
+    """Median over the training wells as a scalar."""
+    return f"(SELECT quantile_cont({c}, 0.5) FROM base WHERE well % 10 NOT IN (0, 1))"
 
 
-@query("impute_medians", on_wells(f", {_MEDIANS} SELECT well, pos, " + ", ".join(
-    f"round(coalesce({c}, m_{c}), 6) AS {c}, CAST({c} IS NULL AS INT) AS {c}_MISSING" for c in BASE_FEATURES) + " FROM base, md"))
+@query("impute_medians", on_wells("SELECT well, pos, " + ", ".join(
+    f"round(coalesce({c}, {_median_sql(c)}), 6) AS {c}, CAST({c} IS NULL AS INT) AS {c}_MISSING" for c in BASE_FEATURES) + " FROM base"))
 def impute_medians(spark, sf_dir):
     df = J.attach_split(X.base_features(clean_wells(spark, sf_dir)), split_manifest(spark, sf_dir), "well", "split", "pos")
     out = L.impute(X.missing_flags(df), L.fit_medians(J.split_rows(df, "TRAIN", "split"), BASE_FEATURES))

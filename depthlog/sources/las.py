@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from depthlog.functions import columns as C
-from depthlog.operators.series import attach, number_rows
+from depthlog.operators.series import attach, number_rows, running_totals
 from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, LABEL_CURVE, LAS_NULL, LOCATION_CURVES
 
 FIRST_ROW = "FIRSTROW"
+# --- fixed values: names of delimiters in the version section -----------------------------
+DELIMITERS = {"SPACE": None, "COMMA": ",", "TAB": "\t"}
+STATED = ("WELL", FIRST_ROW, "null_value", "positions", "curves")
 DEFAULT_CURVES = (*INPUT_CURVES, *LOCATION_CURVES, LABEL_CURVE)
 
 
@@ -77,13 +80,43 @@ def las_files(lines: DataFrame) -> DataFrame:
              .agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n")))
     columns = named.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", "position"))).alias("positions"),
                                         F.max("n").alias("most"), F.sum("n").alias("curves"))
-    general = heads.groupBy("file").agg(F.max("well").alias("WELL"), F.coalesce(of("W", FIRST_ROW).try_cast("long"), F.lit(0).cast("long")).alias(FIRST_ROW), C.number(of("W", "NULL")).alias("null_value"), of("V", "WRAP").alias("wrap"))
+    general = heads.groupBy("file").agg(F.max("well").alias("WELL"), F.coalesce(of("W", FIRST_ROW).try_cast("long"), F.lit(0).cast("long")).alias(FIRST_ROW), C.number(of("W", "NULL")).alias("null_value"),
+                                        F.upper(of("V", "WRAP")).alias("wrap"), F.upper(of("V", "DLM")).alias("delimiter"))
     starts = lines.groupBy("file").agg(F.min(F.when(F.upper(F.substring("text", 1, 2)) == "~A", F.col("at"))).alias("data_at"))
     return stage(starts.join(general, "file", "left").join(columns, "file", "left")
                  .withColumn("error", F.when(F.col("data_at").isNull(), "no data section")
                              .when(F.col("curves").isNull(), "no curve section")
                              .when(F.col("most") > 1, "duplicate curve name")
-                             .when(F.upper("wrap") == "YES", "wrapped lines")))
+                             .when(~F.col("delimiter").isin("", *DELIMITERS), "unknown delimiter")))
+
+
+def _cells(text: Column, delimiter: Column) -> Column:
+    """Cells of a data line by the delimiter its file declares; blanks where it declares none."""
+    split = F.split(F.trim(text), r"\s+")
+    for name, mark in DELIMITERS.items():
+        if mark:
+            split = F.when(delimiter == name, F.transform(F.split(text, mark), lambda c: F.trim(c))).otherwise(split)
+    return split
+
+
+def _unwrapped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, files with a cell too many or too few) of wrapped files: file, what it states, sample, values.
+
+    A sample's cells may lie on any lines. The cells before a line, counted over blocks of lines, divided by the number of
+    curves give the sample and the curve of each cell, wherever the file is split and however long it is."""
+    width = F.size("values").cast("long")
+    lines = number_rows(rows, "file", [F.col("at")], [F.col("at.split")], "__line")
+    counted = stage(running_totals(lines, "file", "__line", {"__upto": width}))
+    odd = (counted.groupBy("file").agg(F.max("__upto").alias("cells"), F.max("curves").alias("curves"))
+           .filter(F.col("cells") % F.col("curves") != 0).select("file"))
+    cells = counted.select("file", *STATED, (F.col("__upto") - width).alias("__before"), F.posexplode("values").alias("__i", "value"))
+    place = F.col("__before") + F.col("__i")
+    whole = cells.select("file", *STATED, F.floor(place / F.col("curves")).cast("long").alias("sample"), F.pmod(place, F.col("curves")).alias("curve"), "value")
+    # The file's own statements are equal in all its cells; the map of positions cannot be a grouping key.
+    samples = whole.groupBy("file", "sample").agg(
+        *[F.first(c).alias(c) for c in STATED],
+        F.transform(F.array_sort(F.collect_list(F.struct("curve", "value"))), lambda c: c["value"]).alias("values"))
+    return samples, odd
 
 
 def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES, pieces: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -91,26 +124,41 @@ def read_las(lines: DataFrame, curves: Sequence[str] = DEFAULT_CURVES, pieces: b
 
     samples: WELL, SOURCE_ROW, DEPT (the first curve) and `curves`; a curve the file lacks is
     NULL. A well may be cut into several files: SOURCE_ROW counts on from the row that a file
-    states in its well section (0 if it states none). With `pieces`, FILE and FIRSTROW come too.
+    states in its well section (0 if it states none). Data lines may be wrapped, and cells
+    separated as the version section says (blanks, commas or tabs).
     rejects: file and error of every file that cannot be read, also of one whose rows another
     file of the well (with an earlier first row, or name) has already; its rows are left out
-    and all others kept.
+    and all others kept. With `pieces`, FILE and FIRSTROW come too and files may overlap: the
+    caller decides between them.
     """
     lines = stage(lines)  # one pass over the text; places of lines are fixed from here on
     files = las_files(lines)
     split = F.col("at.split")
     data = lines.filter((F.col("text") != "") & ~F.col("text").startswith("#") & ~F.col("text").startswith("~"))
-    rows = (attach(data, files.filter(F.col("error").isNull()).drop("error", "most", "wrap"), "file", spread=split)
-            .filter(F.col("at") > F.col("data_at")).withColumn("values", F.split("text", r"\s+")))
-    uneven = stage(rows.groupBy("file").agg(F.count_if(F.size("values") != F.col("curves")).alias("bad"))
-                   .filter(F.col("bad") > 0).select("file", F.lit("data line with wrong number of values").alias("error")))
-    counts = rows.groupBy("file", "WELL", FIRST_ROW).agg(F.count(F.lit(1)).alias("n")).join(uneven, "file", "left_anti")
-    pieces_of = Window.partitionBy("WELL").orderBy(FIRST_ROW, "file").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.max(F.col(FIRST_ROW) + F.col("n")).over(pieces_of)
-    double = counts.withColumn("taken", taken).filter(F.col("taken") > F.col(FIRST_ROW))
-    uneven = stage(uneven.unionByName(double.select("file", F.lit("rows of the well are in another file").alias("error"))))
-    good = attach(rows, uneven, "file", "left", spread=split).filter(F.col("error").isNull())
-    placed = number_rows(good, "file", [F.col("at")], [split], "SOURCE_ROW")
+    good_files = files.filter(F.col("error").isNull()).drop("error", "most")
+    rows = (attach(data, good_files, "file", spread=split).filter(F.col("at") > F.col("data_at"))
+            .withColumn("values", _cells(F.col("text"), F.col("delimiter"))))
+    wrapped = F.coalesce(F.col("wrap") == "YES", F.lit(False))
+    flat = rows.filter(~wrapped)
+    bad = (flat.groupBy("file").agg(F.count_if(F.size("values") != F.col("curves")).alias("bad")).filter(F.col("bad") > 0).select("file"))
+    counts = flat.groupBy("file", "WELL", FIRST_ROW).agg(F.count(F.lit(1)).alias("n"))
+    any_wrapped = not good_files.filter(wrapped).isEmpty()
+    if any_wrapped:
+        whole, odd = _unwrapped(rows.filter(wrapped))
+        whole = stage(whole)
+        bad = bad.unionByName(odd)
+        counts = counts.unionByName(whole.groupBy("file", "WELL", FIRST_ROW).agg(F.count(F.lit(1)).alias("n")))
+    uneven = stage(bad.withColumn("error", F.lit("data line with wrong number of values")))
+    if not pieces:
+        pieces_of = Window.partitionBy("WELL").orderBy(FIRST_ROW, "file").rowsBetween(Window.unboundedPreceding, -1)
+        taken = F.max(F.col(FIRST_ROW) + F.col("n")).over(pieces_of)
+        double = counts.join(uneven, "file", "left_anti").withColumn("taken", taken).filter(F.col("taken") > F.col(FIRST_ROW))
+        uneven = stage(uneven.unionByName(double.select("file", F.lit("rows of the well are in another file").alias("error"))))
+    good = attach(flat, uneven, "file", "left", spread=split).filter(F.col("error").isNull())
+    placed = number_rows(good, "file", [F.col("at")], [split], "SOURCE_ROW").select("file", *STATED, "values", "SOURCE_ROW")
+    if any_wrapped:
+        kept = attach(whole, uneven, "file", "left", spread="sample").filter(F.col("error").isNull())
+        placed = placed.unionByName(kept.select("file", *STATED, "values", F.col("sample").alias("SOURCE_ROW")))
 
     def pick(index):
         v = C.number(F.try_element_at("values", index + 1))

@@ -84,9 +84,12 @@ def test_random_split_is_repeatable_and_complete(spark, stored):
     assert sorted(s for _, s in a) == ["x", "x", "x", "y"] and len(INPUT_CURVES) == 5
 
 
-def test_learning_queries_take_whole_parameters(spark, monkeypatch):
+def test_learning_queries_take_whole_parameters(spark, monkeypatch, tmp_path):
+    from depthlog.operators.training import ModelStore
     from depthlog.plans import learning_queries as Q
     asked, forest = [], L.train_forest
+    stores = {"now": ModelStore(spark, str(tmp_path / "one"))}
+    monkeypatch.setattr(Q, "store", lambda spark: stores["now"])
 
     def small_forest(df, features, *args, **kwargs):
         asked.append((len(features), kwargs["trees"], kwargs["depth"], kwargs["leaf"]))
@@ -104,8 +107,12 @@ def test_learning_queries_take_whole_parameters(spark, monkeypatch):
         monkeypatch.setattr(L, name, fake)
     table = Q.feature_set_leaderboard(spark, "/root/testdata/sf0.001")
     assert {r.run for r in table.collect()} == set(X.feature_sets())
-    assert asked == [(len(f), 100, 20, 5) for f in X.feature_sets().values()]
+    assert sorted(asked) == sorted((len(f), 100, 20, 5) for f in X.feature_sets().values())
+    assert table.filter("fit_s > 0 and score_s > 0").count() == len(asked)
+    Q.forest_metrics(spark, "/root/testdata/sf0.001")  # the forest of the 41 features is there
+    assert len(asked) == len(X.feature_sets())
     asked.clear()
+    stores["now"] = ModelStore(spark, str(tmp_path / "two"))
     Q.permutation_importance(spark, "/root/testdata/sf0.001")
     Q.boosted_scores(spark, "/root/testdata/sf0.001")
     assert asked == [(41, 100, 20, 5), (41, 3), (41, 100, 6), (41, 0, 0, 1)]
