@@ -24,6 +24,7 @@ from depthlog.operators.staging import stage
 STATS = ("log_bytes", "log_words", "word_bytes", "word_bytes_spread", "distinct_words", "commonest_word",
          "equal_neighbours", "distinct_pairs", "log_lines", "repeated_lines", "upper", "digits", "blanks", "stops",
          "exclamations", "symbols", "bars", "other_marks", "beyond_ascii", "short_words", "long_words")
+MAX_ROWS = 400_000  # labelled rows that a fit sees
 BYTES = [set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set(b"0123456789"), set(b" \t\n\r\v\f"), set(b".,;:"), set(b"!?"),
          set(b"#*$%&<>"), set(b"|"), set(b"\"'()[]{}-_/\\@+=~^`"), set(range(128, 256))]
 CLASSES = np.array([[float(b in group) for group in BYTES] for b in range(256)])
@@ -106,17 +107,22 @@ def document_stats(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame
     return docs.select(*keep, stats_column(F.col(text)).alias("stats"))
 
 
+def labelled(labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 7) -> DataFrame:
+    """doc_id, y of the rows to fit: about `max_rows` at most, chosen by a hash of the id, none of fold 0."""
+    known = (labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
+             .filter(fold(F.col("doc_id")) != 0))
+    share = min(1.0, max_rows / max(1, known.count()))
+    return known.filter(F.abs(F.xxhash64("doc_id", F.lit(seed)) % 1_000_000) < int(share * 1_000_000))
+
+
 def fit(stats: DataFrame, labels: DataFrame, features: int = 384, ridge: float = 1e-3, width: float = 0.6,
-        max_rows: int = 400_000, seed: int = 7) -> Model:
+        max_rows: int = MAX_ROWS, seed: int = 7) -> Model:
     """Fit on labelled rows that are not held out; fold 1 calibrates, folds 2-4 give the ridge weights.
 
     stats: doc_id, stats. At most about `max_rows` labelled rows are used, chosen by a hash of the id; what reaches
     the driver is one row of moments, a features x features matrix and at most 4,001 calibration bins.
     """
-    known = (labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
-             .filter(fold(F.col("doc_id")) != 0))
-    share = min(1.0, max_rows / max(1, known.count()))
-    known = known.filter(F.abs(F.xxhash64("doc_id", F.lit(seed)) % 1_000_000) < int(share * 1_000_000))
+    known = labelled(labels, max_rows, seed)
     train = stage(stats.join(known, "doc_id").select("y", fold(F.col("doc_id")).alias("fold"), "stats"))
     size = len(STATS)
     moments = train.select(*[f(F.col("stats")[i]) for i in range(size) for f in (F.avg, F.stddev_pop)]).first()

@@ -97,14 +97,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
     marked = marks(docs)
     held = stage(grouped(marked).groupBy("component").agg(F.min("first").alias("first"))
                  .select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("doc_id", "fp", "hash")]))
-    here = [F.col("__id_here").eqNullSafe(F.col("__doc_id")), F.col("__fp_here") == F.col("__fp"), F.col("__hash_here") == F.col("__hash")]
+    here = [F.col("__id_here").eqNullSafe(F.col("__doc_id")), F.col("__hash_here") == F.col("__hash")]
     names = docs.columns
-    rows = docs.withColumns({"__id_here": F.col("doc_id"), "__fp_here": fingerprint_column(F.col("text")), "__hash_here": F.xxhash64("text")})
-    repeated = stage(marked.groupBy(F.col("doc_id").alias("__id_here"), F.col("fp").alias("__fp_here"), F.col("hash").alias("__hash_here"))
-                     .agg(F.count("*").alias("__n")).filter("__n > 1").join(held, here, "left_semi").select(F.col("__fp_here").alias("__again")))
+    # Rows of one id and text are found again by these; no fingerprint is made a second time.
+    rows = docs.withColumns({"__id_here": F.col("doc_id"), "__hash_here": F.xxhash64("text")})
+    repeated = stage(marked.groupBy(F.col("doc_id").alias("__id_here"), F.col("hash").alias("__hash_here"))
+                     .agg(F.count("*").alias("__n")).filter("__n > 1").join(held, here, "left_semi")
+                     .select(F.col("__id_here").alias("__again_id"), F.col("__hash_here").alias("__again_hash")))
     joined = rows.join(held, here)
     if not repeated.limit(1).count():
         return joined.select(*names)
-    again = F.col("__fp") == F.col("__again")
+    again = [F.col("__id_here").eqNullSafe(F.col("__again_id")), F.col("__hash_here") == F.col("__again_hash")]
     return (joined.join(repeated, again, "left_anti").select(*names)
-            .unionByName(joined.join(repeated, again, "left_semi").dropDuplicates(["__fp"]).select(*names)))
+            .unionByName(joined.join(repeated, again, "left_semi").dropDuplicates(["__id_here", "__hash_here"]).select(*names)))

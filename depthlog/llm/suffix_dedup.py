@@ -14,9 +14,10 @@ one byte in 39 is sampled.
    of neighbours in both orders tell which windows can be shared at all.
 3. Those remaining windows are merged in order of position, and one that was there before is a repeat.
 
-Grams with very many names (above LIMIT) are not held together: each of their windows becomes a row and the first one
-of equals is found by partial minima. Repeats met inside one batch are settled there, so copies of a hot text are not
-sent to one task. Texts are sent to their repeats once for contexts and once for the cut, by doc_id.
+Repeats met inside one batch are settled there, so copies of a hot text are not sent to one task. A gram that holds more
+than one of HOT_GRAMS parts of all positions (counted where it comes twice in a batch) never comes together: the first
+position of each of its names is found by partial minima, and each window of these first ones becomes a row whose first
+equal is found by partial minima too. So do grams with more than LIMIT names. Texts are sent to their repeats once for contexts and once for the cut, by doc_id.
 
 Documents are ordered by doc_id, then, where rows of one doc_id differ, by a hash of the text. Defined cases: null and
 empty texts have no bytes; rows with one doc_id and one text are one document and get one result; a null doc_id comes
@@ -37,6 +38,7 @@ from pyspark.sql.types import StringType
 from depthlog.operators.staging import stage
 
 LENGTH, GRAM, LIMIT = 100, 24, 50_000
+HOT_ROWS, HOT_GRAMS = 1_000, 10_000
 SLICE = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
 KEY = ["some", "id", "text_hash"]
@@ -134,6 +136,7 @@ def samples(batches):
             spread = mixed((again["name"].to_numpy() + again["start"].to_numpy()).view(np.uint64)).view(np.int64)
             again["gram"] = np.where(again["settled"], spread, again["gram"])
             out = pd.concat([out[~twice], again], ignore_index=True)
+        out["here"] = out.groupby("gram")["gram"].transform("size").astype("int32")
         yield out
 
 
@@ -284,17 +287,42 @@ def exploded(contexts: DataFrame, kind: str) -> DataFrame:
     return rows.join(first, "window").filter(place > F.col("first")).select(*KEY, "start", "windows")
 
 
+def hot_grams(rows: DataFrame) -> DataFrame:
+    """At most HOT_GRAMS grams. A gram that never comes twice in one batch has no more rows than there are batches."""
+    total = rows.count()
+    return stage(rows.filter("NOT settled AND here > 1").groupBy("gram").agg(F.count("*").alias("n"))
+                 .filter(F.col("n") > max(HOT_ROWS, total // HOT_GRAMS)).select("gram"))
+
+
+def split_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeats, first positions of the names) of rows of hot grams."""
+    place = F.struct(*KEY, "start")
+    first = stage(rows.groupBy("gram", "name").agg(F.min(F.struct(*KEY, "start", "windows", "distance")).alias("first")))
+    marks = first.select("gram", "name", F.struct(*[F.col(f"first.{c}").alias(c) for c in (*KEY, "start")]).alias("at"))
+    again = rows.join(marks, ["gram", "name"]).filter(place > F.col("at")).select(*KEY, "start", "windows")
+    return again, first.select("gram", *[F.col(f"first.{c}").alias(c) for c in (*KEY, "start", "windows", "distance")])
+
+
 def repeats(texts: DataFrame) -> DataFrame:
     """KEY, spans: array of (start, windows) whose windows all start earlier somewhere; texts as made by `keyed`."""
     kind = texts.schema["id"].dataType.simpleString()
     schema = (f"settled boolean, gram bigint, name bigint, some int, id {kind}, text_hash bigint, "
               "start bigint, windows bigint, distance bigint")
-    sorted_triples = (texts.mapInPandas(samples, schema).repartition("gram")
-                      .sortWithinPartitions("gram", "name", *KEY, "start"))
+    sampled_rows = stage(texts.mapInPandas(samples, schema + ", here int"))
+    hot = hot_grams(sampled_rows)
+    cold = sampled_rows.drop("here")
+    found = None
+    if not hot.isEmpty():
+        of_hot = cold.filter("NOT settled").join(F.broadcast(hot), "gram", "left_semi")
+        found, firsts = split_hot(of_hot)
+        found = found.unionByName(exploded(contexts_of(texts, firsts, kind), kind))
+        cold = cold.join(F.broadcast(hot), "gram", "left_anti")
+    sorted_triples = cold.repartition("gram").sortWithinPartitions("gram", "name", *KEY, "start")
     rows = stage(sorted_triples.mapInPandas(settle, schema).drop("name"))
     still_open = rows.filter(~F.col("settled")).select("gram", *KEY, "start", "windows", "distance")
     common_grams = stage(still_open.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > LIMIT).select("gram"))
-    found = rows.filter("settled").select(*KEY, "start", "windows")
+    settled = rows.filter("settled").select(*KEY, "start", "windows")
+    found = settled if found is None else found.unionByName(settled)
     if common_grams.limit(1).count():
         found = found.unionByName(exploded(contexts_of(texts, still_open.join(common_grams, "gram", "left_semi"), kind), kind))
         still_open = still_open.join(common_grams, "gram", "left_anti")

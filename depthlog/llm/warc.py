@@ -25,7 +25,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MARK, CHUNK, LEAST = b"WARC/1.1", 1 << 16, 1000
+MARK, CHUNK, LEAST = b"WARC/1.1", 1 << 13, 1000
 DATE = "2000-01-01T00:00:00Z"
 BATCH = 1 << 20
 
