@@ -13,8 +13,11 @@ from depthlog.operators.staging import shared_folder
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality score is at least 0.3, the threshold of `predicted`."""
-    stats = classifier.document_stats(docs, "text", "doc_id")
-    model = classifier.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    # Only texts with a label that the fit uses are profiled for it; these ids are bounded by classifier.MAX_ROWS.
+    wanted = F.broadcast(classifier.labelled(labels).select("doc_id"))
+    stats = classifier.document_stats(docs.join(wanted, "doc_id", "left_semi"), "text", "doc_id")
+    model = classifier.fit(stats, labels)
     return docs.filter(classifier.text_score(model)(F.col("text")) >= 0.3)
 
 
