@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from depthlog.functions import columns as C
-from depthlog.operators.series import as_list, attach, number_rows, renumber
+from depthlog.operators.quantiles import quantiles
+from depthlog.operators.series import as_list, attach, join_null_safe, number_rows, rank_rows, renumber
 from depthlog.schema import KEY, ROW, SPLITS, STEP
 
 
@@ -92,8 +93,7 @@ def random_split(wells: DataFrame, first: int, names: tuple[str, str], key=KEY,
 def well_chunks(wells: DataFrame, size: int = 20, key=KEY) -> DataFrame:
     """Wells in ascending order, cut into groups of `size`."""
     keys = as_list(key)
-    first = F.col(keys[0])
-    ranked = number_rows(wells.select(*keys).distinct(), [], [F.col(k) for k in keys], [first], "__rank")
+    ranked = rank_rows(wells.select(*keys).distinct(), [], keys, "__rank")
     return ranked.select(*keys, F.floor(F.col("__rank") / size).alias("chunk"))
 
 
@@ -111,12 +111,14 @@ def snap_to_grid(df: DataFrame, label: str, key=KEY, depth: str = "DEPT", step:
 
 
 def snap_report(snapped: DataFrame, key=KEY) -> DataFrame:
-    """Samples, error statistics and samples that share a node, per key."""
+    """Samples, error statistics (median and 95 % exact) and samples that share a node, per key."""
     keys = as_list(key)
+    middle = quantiles(snapped, keys, F.col("error"), {"median_error": 0.5, "p95_error": 0.95})
     nodes = snapped.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("worst"), F.sum("error").alias("sum"))
-    return nodes.groupBy(*keys).agg(
+    table = nodes.groupBy(*keys).agg(
         F.sum("n").alias("samples"), F.max("worst").alias("max_error"), (F.sum("sum") / F.sum("n")).alias("mean_error"),
         (F.sum("n") - F.count(F.lit(1))).alias("collisions"))
+    return join_null_safe(table, middle, keys)
 
 
 def grid_codes(df: DataFrame, label: str, key=KEY, order: str = ROW, depth: str = "DEPT", step: float = STEP) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.functions.columns import order_bucket
-from depthlog.operators.series import ALL_BEFORE, UP_TO_HERE, as_list
+from depthlog.operators.series import ALL_BEFORE, UP_TO_HERE, as_list, join_null_safe
 
 
 def value_positions(df: DataFrame, key, value: Column) -> DataFrame:
@@ -42,6 +42,23 @@ def positions_of_counts(counts: DataFrame, key) -> DataFrame:
             .drop("__b", "__cum", "__off"))
 
 
+def cumulative_counts(counts: DataFrame, key, columns: Sequence[str]) -> DataFrame:
+    """`below_c` (in smaller values) and `total_c` (in the group) of several count columns of distinct `value`s, in one pass."""
+    key = as_list(key)
+    resolution = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = counts.withColumn("__b", order_bucket(F.col("value"), resolution))
+    group = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy("__b").rowsBetween(*ALL_BEFORE)
+    offsets = rows.groupBy(*key, "__b").agg(*[F.sum(c).alias(f"__n_{c}") for c in columns])
+    offsets = offsets.select(*key, "__b", *[F.coalesce(F.sum(f"__n_{c}").over(earlier), F.lit(0)).alias(f"__off_{c}") for c in columns],
+                             *[F.sum(f"__n_{c}").over(group).alias(f"total_{c}") for c in columns])
+    here = Window.partitionBy(*key, "__b").orderBy("value").rowsBetween(*UP_TO_HERE)
+    summed = rows.withColumns({f"__cum_{c}": F.sum(c).over(here) for c in columns})
+    return (join_null_safe(summed, offsets, [*key, "__b"])
+            .withColumns({f"below_{c}": F.col(f"__off_{c}") + F.col(f"__cum_{c}") - F.col(c) for c in columns})
+            .drop("__b", *[f"{p}_{c}" for c in columns for p in ("__off", "__cum")]))
+
+
 def quantiles(df: DataFrame, key, value: Column, wanted: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key, one column per entry of `wanted`.
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.functions import columns as C
 from depthlog.operators.quality import steps
-from depthlog.operators.quantiles import long_form, positions_of_counts, quantiles
-from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, over_frame, renumber, runs, with_previous)
+from depthlog.operators.quantiles import cumulative_counts, long_form, quantiles
+from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, runs, with_previous)
 from depthlog.schema import CODES, INPUT_CURVES, KEY, LOG_CURVES, STEP, TRUE
 
 
@@ -193,33 +193,34 @@ def transition_matrix(table: DataFrame, codes: Sequence[int] = CODES) -> DataFra
 # --- correlations ---------------------------------------------------------------------------
 
 def spearman(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation of every ordered pair of curves, each pair on its complete rows.
-
-    Equal value pairs are counted before ranking; ranks are averages over ties.
-    """
-    x = {c: C.log10_positive(F.col(c)) if c in LOG_CURVES else F.col(c).cast("double") for c in curves}
-    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), x[a].alias("a"), x[b].alias("b"))
-                      for a, b in combinations(curves, 2)])
-    group = [*by, "left", "right"]
-    pairs = (df.select(*by, F.inline(cells)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-             .groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n")))
-    ranks = {}
-    for side in ("a", "b"):
-        expanded = pairs.groupBy(*group, side).agg(F.sum("n").alias("n"))
-        ranks[side] = weighted_ranks(expanded, group, side, f"rank_{side}")
-    ranked = pairs.join(ranks["a"], [*group, "a"]).join(ranks["b"].drop("total"), [*group, "b"])
-    centre = (F.col("total") + 1) / 2.0
-    da, db, n = F.col("rank_a") - centre, F.col("rank_b") - centre, F.col("n")
-    upper = ranked.groupBy(*group).agg(F.try_divide(
-        F.sum(n * da * db), F.sqrt(F.sum(n * da * da)) * F.sqrt(F.sum(n * db * db))).alias("rho"))
-    return upper.select(*by, F.inline(F.array(
-        F.struct("left", "right", "rho"), F.struct(F.col("right").alias("left"), F.col("left").alias("right"), "rho"))))
-
-
-def weighted_ranks(counts: DataFrame, key: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average ranks of distinct values that already carry counts `n`."""
-    pos = positions_of_counts(counts.withColumnRenamed(value, "value"), key)
-    return pos.select(*key, F.col("value").alias(value), (F.col("below") + (F.col("n") + 1) / 2.0).alias(out), "total")
+    """Rank correlation of every ordered pair of curves, each pair on its complete rows; ranks are averages over ties.
+
+    A value of a curve has another rank for each partner, since other rows are complete. All of them come from one table
+    of distinct values with as many counts as partners, added up once; rows get them by curve and value, each row's curves
+    meet again, and one aggregate sums the products of all pairs. Pairs without complete rows are absent."""
+    names, size = list(curves), len(curves)
+    x = [C.log10_positive(F.col(c)) if c in LOG_CURVES else F.col(c).cast("double") for c in names]
+    x = [c + F.lit(0.0) for c in x]  # zero is one value, whatever its sign
+    numbered = df.select(*by, F.monotonically_increasing_id().alias("__row"), *[c.alias(f"__x{i}") for i, c in enumerate(x)])
+    partners = [F.col(f"__x{j}").isNotNull().cast("long").alias(f"n{j}") for j in range(size)]
+    cells = F.array(*[F.struct(F.lit(i).alias("curve"), F.col(f"__x{i}").alias("value")) for i in range(size)])
+    long = numbered.select(*by, "__row", *partners, F.inline(cells)).filter(F.col("value").isNotNull())
+    key, counted = [*by, "curve"], [f"n{j}" for j in range(size)]
+    counts = long.groupBy(*key, "value").agg(*[F.sum(c).alias(c) for c in counted])
+    centred = F.array(*[F.col(f"below_{c}") + F.col(c) / 2.0 - F.col(f"total_{c}") / 2.0 for c in counted])
+    ranks = cumulative_counts(counts, key, counted).select(*key, "value", centred.alias("ranks"))
+    placed = join_null_safe(long.select(*key, "__row", "value"), ranks, [*key, "value"])
+    rows = placed.groupBy(*by, "__row").agg(*[F.max(F.when(F.col("curve") == i, F.col("ranks"))).alias(f"r{i}") for i in range(size)])
+    sums, out = {}, []
+    for i, j in combinations(range(size), 2):
+        a, b = F.get(f"r{i}", F.lit(j)), F.get(f"r{j}", F.lit(i))
+        both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
+        sums |= {f"ab_{i}_{j}": F.sum(a * b), f"aa_{i}_{j}": F.sum(F.when(both, a * a)), f"bb_{i}_{j}": F.sum(F.when(both, b * b))}
+        rho = F.try_divide(F.col(f"ab_{i}_{j}"), F.sqrt(f"aa_{i}_{j}") * F.sqrt(f"bb_{i}_{j}"))
+        there = F.col(f"aa_{i}_{j}").isNotNull()
+        out += [F.when(there, F.struct(F.lit(names[u]).alias("left"), F.lit(names[v]).alias("right"), rho.alias("rho"))) for u, v in ((i, j), (j, i))]
+    table = rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+    return table.select(*by, F.inline(F.filter(F.array(*out), lambda p: p.isNotNull())))
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:

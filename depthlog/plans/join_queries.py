@@ -171,9 +171,12 @@ def grid_snap(spark, sf_dir):
 
 @query("grid_snap_report", on_wells(f"""
 , {_IRREGULAR}, {_SNAP} SELECT well, count(*) AS samples, round(max(abs(d - (lo + node * 0.152::DOUBLE))), 6) AS max_error,
-  round(avg(abs(d - (lo + node * 0.152::DOUBLE))), 6) AS mean_error, count(*) - count(DISTINCT node) AS collisions FROM sn GROUP BY well"""))
+  round(avg(abs(d - (lo + node * 0.152::DOUBLE))), 6) AS mean_error, count(*) - count(DISTINCT node) AS collisions,
+  round(median(abs(d - (lo + node * 0.152::DOUBLE))), 6) AS median_error, round(quantile_cont(abs(d - (lo + node * 0.152::DOUBLE)), 0.95), 6) AS p95_error
+FROM sn GROUP BY well"""))
 def grid_snap_report(spark, sf_dir):
-    return r6(J.snap_report(J.snap_to_grid(irregular(spark, sf_dir), "true_code", "well", "d"), "well"), "max_error", "mean_error")
+    return r6(J.snap_report(J.snap_to_grid(irregular(spark, sf_dir), "true_code", "well", "d"), "well"),
+              "max_error", "mean_error", "median_error", "p95_error")
 
 
 _CELLS = f"""{_IRREGULAR}, lo AS (SELECT min(d) AS lo FROM irregular WHERE true_code IS NOT NULL),
@@ -189,7 +192,8 @@ def grid_cells(spark, sf_dir):
 @query("grid_matrix", on_wells(f", {_CELLS} SELECT node, round(any_value(lo) + node * 0.152::DOUBLE, 3) AS depth, " + ", ".join(
     f"max(code) FILTER (well = {w}) AS \"{w}\"" for w in range(5)) + " FROM cell WHERE well < 5 GROUP BY node"))
 def grid_matrix(spark, sf_dir):
-    """Wide form for five named wells; their cells come from the grid over all wells."""
+    """Wide form for five named wells (the list of columns is the feature; grid_cells is the form for all); their cells come
+    from the grid over all wells."""
     cells = J.grid_codes(irregular(spark, sf_dir), "true_code", "well", "pos", "d").filter(F.col("well") < 5)
     return r6(J.grid_matrix(cells, range(5), "well"), "depth", digits=3)
 

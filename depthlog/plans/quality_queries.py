@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from depthlog.functions.columns import rounded
 from depthlog.operators import features as X, quality as A, stats as D
+from depthlog.operators.quantiles import long_form
+from depthlog.operators.staging import shared_folder
 from depthlog.plans.feature_queries import raw_labels, _LABELS
 from depthlog.plans.fixture import (MODELS, RAW, clean_wells, on_wells, read, split_manifest, split_of, wells, wells_by_depth)
 from depthlog.plans.metric_queries import r6
@@ -367,6 +371,30 @@ def well_spearman(spark, sf_dir):
     return r6(D.spearman(clean_wells(spark, sf_dir), by=["well"]), "rho")
 
 
+_QUARTERS = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+@query("sketch_describe", on_wells("""
+SELECT curve, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, 1 AS q25, 1 AS median, 1 AS q75
+FROM raw_logs WHERE value IS NOT NULL GROUP BY curve"""))
+def sketch_describe(spark, sf_dir):
+    """Sketches of every well, stored by two runs and merged over both: 1 where a quantile's exact rank is in the bound."""
+    from depthlog.operators import sketches as S
+    df = wells(spark, sf_dir).select("well", *[F.col(f"{c.lower()}_raw").alias(c) for c in INPUT_CURVES])
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for run in (0, 1):
+        S.keep(S.sketches(df.filter(F.col("well") % 2 == run), "well", INPUT_CURVES), path, str(run))
+    table = S.sketch_quantiles(S.merged(S.kept(spark, path)), _QUARTERS)
+    met = long_form(df, [], INPUT_CURVES).filter(F.col("value").isNotNull()).join(F.broadcast(table), "curve")  # a row for each curve
+    error = S.rank_error()
+
+    def inside(name, q):
+        below, upto = F.avg((F.col("value") < F.col(name)).cast("int")), F.avg((F.col("value") <= F.col(name)).cast("int"))
+        return ((below <= q + error) & (upto >= q - error)).cast("int").alias(name)
+    out = met.groupBy("curve", "n", "low", "high").agg(*[inside(n, q) for n, q in _QUARTERS.items()])
+    return r6(out, "low", "high")
+
+
 _WINDOW_PAIRS = [(f"{c}_ROLLMEAN_{a}", f"{c}_ROLLMEAN_{b}") for c in BASE_FEATURES for a, b in zip(WINDOWS, WINDOWS[1:])]
 
 
