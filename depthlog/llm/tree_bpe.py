@@ -1,13 +1,15 @@
 """Byte-level BPE by monoid tree reduction: halves are encoded apart and joined by re-encoding a boundary window.
 
-A node is the ids of a stretch of text. Under the pattern, a space between two characters that are not blank always
-starts a match, whatever stands before or after those three characters, because matches run left to right and no
-alternative takes a space inside. Such a place is a seam: ids before and after it do not depend on one another.
-To join two nodes, the window from the last seam of the left one to the first seam of the right one is encoded anew;
-it grows, doubling, until both seams are inside, or it holds a whole side. Ids outside are provably final.
+A node is the ids of a stretch of text. Some places always start a match of the pattern, whatever stands further away,
+because matches run left to right and no alternative goes across them: a space between two characters that are not
+blank, a line feed or tab after one that is not, a mark after a letter (SEAM takes letters and marks that are so in every
+version of the character tables). Such a place is a seam: ids before and after it do not depend on one another. To join
+two nodes, the window from the last seam of the left one to the first seam of the right one is encoded anew; it grows,
+doubling, until both seams are inside, or it holds a whole side. Ids outside are provably final. A stretch without any
+seam is one leaf, however long; otherwise leaves have at most LEAF_CHARS characters.
 
 Texts over `task_chars` are dealt out in halves of halves over tasks and reduced level by level; shorter ones are
-reduced inside the task that reads them. Decoding joins the bytes of the ids in order.
+reduced inside the task that reads them. Decoding puts the bytes of halves together up the same kind of tree.
 
 Defined cases: a null or empty text has no ids; a repeated row is encoded each time; doc_id may be null or repeated;
 an empty table gives an empty result; extra columns are never read.
@@ -27,8 +29,8 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-LEAF_CHARS, TASK_CHARS, WINDOW = 8192, 65536, 64
-SEAM = re.compile(r"(?<=\S) (?=\S)")
+LEAF_CHARS, TASK_CHARS, WINDOW, LEAF_IDS = 512, 65536, 16, 4096
+SEAM = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=[\n\t])|(?<=[A-Za-z\u4e00-\u9fa5])(?=[!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 TWO_BLANKS = re.compile(r"\s\s")
 BLANKS_THEN_WORD = r"\s+(?!\S)|"
 
@@ -52,12 +54,16 @@ class Codec:
     def direct(self, text: str) -> list[int]:
         return (self.full if TWO_BLANKS.search(text) else self.plain).encode_ordinary(text)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids, leaf: int = LEAF_IDS) -> bytes:
+        """Bytes of the ids by halves."""
+        if len(ids) <= leaf:
+            return b"".join(map(self.bytes.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half], leaf) + self.decode(ids[half:], leaf)
 
     def encode(self, text: str, leaf: int = LEAF_CHARS) -> list[int]:
         """Ids of a text by halves."""
-        if len(text) <= leaf:
+        if len(text) <= leaf or SEAM.search(text) is None:
             return self.direct(text)
         half = len(text) // 2
         return self.joined(self.encode(text[:half], leaf), self.encode(text[half:], leaf))

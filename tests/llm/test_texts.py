@@ -36,6 +36,17 @@ def test_windows_grow_over_a_text_without_seams():
         assert c.encode(text, 700) == c.full.encode_ordinary(text)
 
 
+def test_most_texts_are_joined_from_leaves(monkeypatch):
+    joins = []
+    real = tree_bpe.Codec.joined
+    monkeypatch.setattr(tree_bpe.Codec, "joined", lambda self, a, b: joins.append(1) or real(self, a, b))
+    c = tree_bpe.codec(RANKS)
+    for text in ("plain words in a row " * 60, "中文字，" * 400, "x;\n" * 400):
+        joins.clear()
+        assert c.encode(text) == c.full.encode_ordinary(text) and len(joins) >= 1
+    assert c.decode(list(range(3000)) * 5) == b"".join(c.bytes[i] for i in range(3000)) * 5
+
+
 def test_encoding_over_tasks(docs):
     long = " ".join(random.Random(1).choice(["alpha", "beta,", "x\ny", "12"]) for _ in range(3000))
     rows = ODD + [(9, long), (9, "z" * 900), (10, long + "  " + long)]
