@@ -72,20 +72,22 @@ def op4(spark, sf_dir):
         F.col("type").alias("record_type"), F.col("refers").cast(pages.schema["page_id"].dataType).alias("refers_to"))
 
 
-@query("op9_winnowed_lines", """
+@query("op9_winnowed_lines", r"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM cut),
 c AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c WHERE t <> ''),
-w AS (SELECT doc_id, k, t || chr(10) || lead(t, 1) OVER d || chr(10) || lead(t, 2) OVER d AS run
-      FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
-r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM w WHERE run IS NOT NULL),
-gone AS (SELECT DISTINCT k.doc_id, k.i FROM r JOIN k ON k.doc_id = r.doc_id AND k.k BETWEEN r.k AND r.k + 2 WHERE r.n > 1)
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, len(regexp_extract_all(t, '[^\s\x0B]+')) AS words FROM c WHERE t <> ''),
+n AS (SELECT *, lead(t, 1) OVER d AS t1, lead(t, 2) OVER d AS t2, lead(words, 1) OVER d AS words1 FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+w AS (SELECT doc_id, k, 2 AS more, t || chr(10) || t1 || chr(10) || t2 AS run FROM n
+      UNION ALL SELECT doc_id, k, 1, CASE WHEN words + words1 >= 50 THEN t || chr(10) || t1 END FROM n
+      UNION ALL SELECT doc_id, k, 0, CASE WHEN words >= 50 THEN t END FROM n),
+r AS (SELECT doc_id, k, more, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM w WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT k.doc_id, k.i FROM r JOIN k ON k.doc_id = r.doc_id AND k.k BETWEEN r.k AND r.k + r.more WHERE r.n > 1)
 SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
        md5(coalesce(string_agg(CASE WHEN gone.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_md5
 FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id""")
 def op9(spark, sf_dir):
-    out = line_dedup.marked(table(spark, sf_dir, "documents"), words=None)  # the SQL counts lines only
+    out = line_dedup.marked(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
                       F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
                       F.md5(F.coalesce(line_dedup.without_lines("text", "__gone"), F.lit(""))).alias("kept_md5"))
