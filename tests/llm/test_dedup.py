@@ -202,18 +202,6 @@ def test_repeated_substrings(docs, monkeypatch, seed, limit, slice_bytes):
     assert got == plain_bytes(rows)
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_hot_grams_never_come_together(docs, monkeypatch, parts):
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 1)  # whatever comes twice in a batch is hot
-    rows = corpus(12) + [(100 + i, "x" * i + rng_text) for i, rng_text in enumerate(["".join(random.Random(3).choices("abcdefg ", k=400))] * 20)]
-    table = docs(rows).repartition(parts, "doc_id")
-    settled = []
-    real = suffix_dedup.split_hot
-    monkeypatch.setattr(suffix_dedup, "split_hot", lambda rows: settled.append(rows.count()) or real(rows))
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(table).collect()}
-    assert got == plain_bytes(rows) and settled[0] > 10
-
-
 def test_substrings_of_odd_rows(docs):
     text = "".join(random.Random(1).choices("abcdefgh ", k=300))
     got = suffix_dedup.clean(docs([(None, text), (1, text), (1, text), (2, "é" + text), (2, "other"), (3, None)])).collect()
