@@ -98,22 +98,32 @@ def op10(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-#: The mails made of the conversations: a message answers the first one of its conversation with the text it quotes.
+#: The mails made of the conversations (quotes.as_answers): a passage's origin is the first message that has it as a whole,
+#: as a paragraph or as a line.
 @query("op1_quotation_links", r"""
-WITH RECURSIVE n AS (SELECT *, regexp_replace(trim(lower(text), ' ' || chr(10)), '\s+', ' ', 'g') AS t,
-                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
-f AS (SELECT *, min(pos) OVER (PARTITION BY conv_id, t) AS same FROM n),
-p AS (SELECT c.*, b.same AS up FROM n c LEFT JOIN f b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1),
-r AS (SELECT conv_id, pos, pos AS root, 0 AS depth FROM p WHERE up IS NULL
-      UNION ALL SELECT p.conv_id, p.pos, r.root, r.depth + 1 FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos = p.up)
-SELECT p.conv_id, p.turn, p.role, u.turn AS parent_turn, h.turn AS thread_turn, r.depth,
-       row_number() OVER (PARTITION BY p.conv_id ORDER BY r.root, r.depth, p.pos) - 1 AS place, md5(p.text) AS own_md5
-FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos = p.pos JOIN n h ON h.conv_id = p.conv_id AND h.pos = r.root
-LEFT JOIN n u ON u.conv_id = p.conv_id AND u.pos = p.up""")
+WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+parts AS (SELECT conv_id, pos, unnest(list_concat([text], list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n\s*\n')))) AS part FROM n),
+here AS (SELECT conv_id, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS t, min(pos) AS pos FROM parts GROUP BY ALL HAVING t <> ''),
+q AS (SELECT c.conv_id, c.pos, 1 AS level, CASE WHEN c.turn % 3 = 0 THEN string_split(u.text, chr(10))[1] ELSE u.text END AS part
+      FROM n c JOIN n u ON u.conv_id = c.conv_id AND u.turn = c.turn // 2 WHERE c.turn > 0
+      UNION ALL SELECT c.conv_id, c.pos, 2, u.text FROM n c JOIN n u ON u.conv_id = c.conv_id AND u.turn = c.turn // 4 WHERE c.turn > 1),
+o AS (SELECT q.conv_id, q.pos, level, h.pos AS origin FROM q JOIN here h ON h.conv_id = q.conv_id
+      AND h.t = trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AND h.pos < q.pos),
+p AS (SELECT n.*, (SELECT count(*) FROM q WHERE q.conv_id = n.conv_id AND q.pos = n.pos AND trim(regexp_replace(part, '\s+', ' ', 'g')) <> '') AS n_quotes,
+        (SELECT count(*) FROM o WHERE o.conv_id = n.conv_id AND o.pos = n.pos) AS n_origins,
+        (SELECT arg_min(origin, level) FROM o WHERE o.conv_id = n.conv_id AND o.pos = n.pos) AS origin FROM n),
+l AS (SELECT *, CASE WHEN pos > 0 THEN coalesce(origin, pos - 1) END AS up FROM p),
+r AS (SELECT conv_id, pos, pos AS root, 0 AS depth FROM l WHERE up IS NULL
+      UNION ALL SELECT l.conv_id, l.pos, r.root, r.depth + 1 FROM l JOIN r ON r.conv_id = l.conv_id AND r.pos = l.up)
+SELECT l.conv_id, l.turn, l.role, u.turn AS parent_turn, h.turn AS thread_turn, r.depth,
+       row_number() OVER (PARTITION BY l.conv_id ORDER BY r.root, r.depth, l.pos) - 1 AS place, md5(l.text) AS own_md5,
+       CAST(l.n_quotes AS INT) AS n_quotes, CAST(l.n_origins AS INT) AS n_origins, l.origin IS NOT NULL AS linked
+FROM l JOIN r ON r.conv_id = l.conv_id AND r.pos = l.pos JOIN n h ON h.conv_id = l.conv_id AND h.pos = r.root
+LEFT JOIN n u ON u.conv_id = l.conv_id AND u.pos = l.up""")
 def op1(spark, sf_dir):
-    mails = quotes.as_mail(table(spark, sf_dir, "conversations"))
+    mails = quotes.as_answers(table(spark, sf_dir, "conversations"))
     return quotes.threads(mails).select(
-        "conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "place", F.md5("own").alias("own_md5"))
+        "conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "place", F.md5("own").alias("own_md5"), "n_quotes", "n_origins", "linked")
 
 
 @query("op11_four_russians", """

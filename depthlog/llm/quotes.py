@@ -164,3 +164,22 @@ def as_mail(messages: DataFrame) -> DataFrame:
     lines = F.concat_ws("\n", "__quote2", "__quote1", "text")
     return (messages.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
             .select("conv_id", "turn", "role", lines.alias("text")))
+
+
+def as_answers(messages: DataFrame) -> DataFrame:
+    """The messages as mails in which turn t answers turn t div 2: it quotes that one, and deeper the one that it answers
+    (t div 4). Every third mail quotes the first line only; in the others the first long line is wrapped, as mail programs
+    do. Turns that are not there, and the first one, are not quoted."""
+    turn = F.col("turn")
+    texts = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    asked = messages.withColumns({"__up1": F.when(turn > 0, F.floor(turn / 2)), "__up2": F.when(turn > 1, F.floor(turn / 4))})
+    for level in (1, 2):
+        asked = asked.join(texts.select("conv_id", turn.cast("bigint").alias(f"__up{level}"), F.col("text").alias(f"__text{level}")),
+                           ["conv_id", f"__up{level}"], "left")
+
+    def quote(text, level):
+        return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("> " * level), x)), "\n")
+
+    wrapped = F.regexp_replace("__text1", r"^([^\n]{40}\S*) ", "$1\n")
+    near = F.when(turn % 3 == 0, F.split("__text1", "\n")[0]).otherwise(wrapped)
+    return asked.select("conv_id", "turn", "role", F.concat_ws("\n", quote(F.col("__text2"), 2), quote(near, 1), "text").alias("text"))

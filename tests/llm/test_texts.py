@@ -244,6 +244,34 @@ def test_mail_view_quotes_two_back(spark):
     assert got == {0: "a\nb", 1: "> a\n> b\nc", 2: "> > a\n> c\nd"}
 
 
+def test_answers_quote_further_back(spark):
+    long = "one two three four five six seven eight nine ten eleven\nsecond"
+    df = spark.createDataFrame([(1, 0, "u", long), (1, 1, "v", "c\nd"), (1, 2, "u", "e"), (1, 3, "v", "f"), (1, 4, "u", None)],
+                               "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.text for r in quotes.as_answers(df).collect()}
+    wrapped = "> one two three four five six seven eight nine\n> ten eleven\n> second"
+    assert got[0] == long and got[1] == f"{wrapped}\nc\nd" and got[3] == "> > " + long.replace("\n", "\n> > ") + "\n> c\nf"
+    assert got[2] == "> > " + long.replace("\n", "\n> > ") + "\n> c\n> d\ne" and got[4] == "> > c\n> > d\n> e"
+
+
+def test_links_decide_the_query(spark, monkeypatch):
+    import duckdb
+    from depthlog.llm import queries
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+
+    def rows():
+        df = queries.QUERIES["op1_quotation_links"](spark, "/root/testdata/sf0.001")
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES['op1_quotation_links']})").fetchall()
+        return sorted(map(str, map(tuple, df.collect()))), sorted(map(str, want))
+    got, want = rows()
+    assert got == want
+    real = quotes.origins
+    monkeypatch.setattr(quotes, "origins", lambda r: real(r).limit(0))
+    got, want = rows()
+    assert got != want
+
+
 @pytest.mark.parametrize("name", ["op2", "op5", "op7", "op8"])
 def test_text_queries_cover_all_documents(spark, name):
     from depthlog.llm import queries
