@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depthlog.operators.joins import absent_in, attach_split
+from depthlog.operators.series import block_of
 
 
 def export_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,7 +27,9 @@ def write_splits(df: DataFrame, manifest: DataFrame, path: str, key: str = "WELL
     absent = [r[0] for r in absent_in(manifest, df, key).limit(20).collect()]
     if absent:
         raise ValueError(f"wells of the manifest without data: {absent}")
-    write_parquet(attach_split(df, manifest, key, split, order).filter(F.col(split).isNotNull()), path, [split, key])
+    rows = attach_split(df, manifest, key, split, order).filter(F.col(split).isNotNull())
+    # A well's rows meet by blocks before they are written: as many files as blocks, however many tasks the input has.
+    write_parquet(rows.repartition(split, key, block_of(order)), path, [split, key])
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:

@@ -54,7 +54,9 @@ def test_crop_error_on_disjoint_ranges(stored):
 
 def test_split_writer_checks_and_partitions(spark, stored, tmp_path):
     manifest = spark.createDataFrame([("w1", "TRAIN"), ("w2", "PUBLIC"), ("w4", "BLIND_TEST")], "WELL string, SPLIT string")
-    write_splits(stored, manifest, str(tmp_path / "out"))
+    write_splits(stored.repartition(9), manifest, str(tmp_path / "out"))
+    files = [f for _, _, names in os.walk(tmp_path / "out") for f in names if f.endswith(".parquet")]
+    assert len(files) == 3  # one for each well, which has one block of rows
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["SPLIT"], r["WELL"]) for r in back.select("SPLIT", "WELL").distinct().collect()} == {
         ("TRAIN", "w1"), ("PUBLIC", "w2"), ("BLIND_TEST", "w4")}
