@@ -5,10 +5,13 @@ run of RUN content lines in a row (blank lines between them do not matter), or o
 together, that equals a run of an earlier document, or one that starts earlier in the same document, is a repeat; every
 line of a repeat is deleted. Documents are ordered by doc_id, then by a hash of the text.
 
-Each run selects its smallest line hash (the last one of equals), so two equal runs select the same line: a guaranteed
-fingerprint. Runs whose fingerprint is found at one position only are dropped; the digests of all others are grouped,
-and each run is compared with its first occurrence. Matches are not extended line by line. No pairs are made: a run
-joins the first of its kind, and minima are summed up before any shuffle.
+Each run selects its smallest line digest (the last one of equals), so two equal runs select the same line: the selected
+lines are guaranteed fingerprints, and only they are written, each with the RUN - 1 lines before and after it. A selected
+line joins the first position of its fingerprint, and the match is extended there line by line both ways; where it grows to
+RUN lines or WORDS words, the later one's lines are deleted. Runs that the first position does not match take the lines of
+the whole run as fingerprint and go through the same step once more, where the first position always matches. No pairs are
+made: a position meets the first of its kind, minima are summed up before any shuffle, and both sides of a join are
+written tables, so that a fingerprint many rows share is split over tasks.
 
 Defined cases: null and empty texts and texts of fewer than RUN content lines and WORDS words stay as they are; rows with the same
 doc_id and the same text are one document and get one result; a null doc_id comes before all others; an empty table
@@ -17,8 +20,6 @@ gives an empty result; extra columns are kept by `clean` and never read.
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -37,19 +38,23 @@ def content_lines(text: str) -> list[tuple[int, str]]:
     return [(i, line) for i, line in ((i, x.strip(BLANKS)) for i, x in enumerate(text.split("\n"))) if line]
 
 
-def runs_of(text: str, run: int = RUN, words: int | None = WORDS):
-    """start, selected position, its hash, a 128-bit digest of the run and its line numbers, for every run."""
-    lines = content_lines(text)
-    raw = [x.encode("utf-8", "replace") for _, x in lines]
-    hashes = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in raw]
-    held = [len(x.split()) for _, x in lines] if words else []
+def selected(text: str, run: int = RUN, words: int | None = WORDS):
+    """pos, before, here, after, runs of every selected line: its place among the content lines, the lines around it (nearest
+    first), each as (digest, words, number), and the runs that select it, as numbers of lines before and after it."""
+    lines = [(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")), len(x.split()), i) for i, x in content_lines(text)]
+    chosen: dict[int, list] = {}
     for p in range(len(lines)):
+        held = 0
         for z in range(p + 1, min(p + run, len(lines)) + 1):
-            if z < p + run and not (words and sum(held[p:z]) >= words):
-                continue
-            chosen = max(range(p, z), key=lambda i: (-hashes[i], i))
-            digest = hashlib.blake2b(b"\n".join(raw[p:z]), digest_size=16).digest()
-            yield p, chosen, hashes[chosen], digest, [i for i, _ in lines[p:z]]
+            held += lines[z - 1][1]
+            if z == p + run or (words and held >= words):
+                at = p
+                for i in range(p + 1, z):
+                    if lines[i][0] <= lines[at][0]:
+                        at = i
+                chosen.setdefault(at, []).append((at - p, z - 1 - at))
+    for at, found in chosen.items():
+        yield at, lines[max(at - run + 1, 0):at][::-1], lines[at], lines[at + 1:at + run], found
 
 
 def key():
@@ -57,19 +62,21 @@ def key():
     return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
 
 
-def runs(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
-    """key, start, chosen, fingerprint, digest, lines of every run of every document."""
+def positions(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
+    """key, pos, before, here, after, runs of every selected line of every document."""
     keyed = docs.select(key().alias("key"), "text")
     kind = keyed.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, start int, chosen int, fingerprint bigint, digest binary, lines array<int>"
-    names = ["key", "start", "chosen", "fingerprint", "digest", "lines"]
+    line = "struct<digest: binary, words: int, line: int>"
+    schema = f"key {kind}, pos int, before array<{line}>, here {line}, after array<{line}>, runs array<struct<before: int, after: int>>"
+    names = ["key", "pos", "before", "here", "after", "runs"]
 
     def find(batches):
         rows = []
         for b in batches:
             for k, text in zip(b["key"], b["text"]):
-                for r in runs_of(text or "", run, words):
-                    rows.append((k, *r))
+                for at, before, here, after, found in selected(text or "", run, words):
+                    rows.append((k, at, [named(x) for x in before], named(here), [named(x) for x in after],
+                                 [{"before": x, "after": y} for x, y in found]))
                     if len(rows) >= ROWS:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
@@ -79,15 +86,50 @@ def runs(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFram
     return keyed.mapInPandas(find, schema)
 
 
+def named(line: tuple) -> dict:
+    return dict(zip(("digest", "words", "line"), line))
+
+
+def equal_lines(side: str, run: int):
+    """How many lines on this side equal those of the first position, counted outwards."""
+    n = F.lit(0)
+    for i in reversed(range(run - 1)):
+        n = F.when(F.get(f"{side}.digest", F.lit(i)) == F.get(f"first_{side}", F.lit(i)), n + 1).otherwise(F.lit(0))
+    return n
+
+
+def extended(found: DataFrame, run: int) -> DataFrame:
+    """The positions that are not the first of their fingerprint, with n_before and n_after: how many lines around them equal
+    those around the first."""
+    at = F.struct("key", "pos")
+    firsts = stage(found.groupBy("fingerprint").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+                   .filter("first <> last").select("fingerprint", "first"))
+    shared = stage(found.join(firsts, "fingerprint"))
+    # Rows of one key are one document, so any of them stands for the first position.
+    leads = stage(shared.filter(at == F.col("first")).dropDuplicates(["fingerprint"])
+                  .select("fingerprint", F.col("before.digest").alias("first_before"), F.col("after.digest").alias("first_after")))
+    return stage(shared.filter(at > F.col("first")).join(leads, "fingerprint")
+                 .withColumn("n_before", equal_lines("before", run)).withColumn("n_after", equal_lines("after", run))
+                 .drop("first", "first_before", "first_after"))
+
+
+def around(before, after):
+    """The lines from so many before the selected one to so many after it, in order."""
+    return F.concat(F.reverse(F.slice("before", 1, before)), F.array("here"), F.slice("after", 1, after))
+
+
 def repeats(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """key, gone: the numbers of the lines to delete, for the documents that have any."""
-    found = stage(runs(docs, run, words))
-    where = F.struct("key", "chosen")
-    shared = (found.groupBy("fingerprint").agg(F.min(where).alias("first"), F.max(where).alias("last"))
-              .filter("first <> last").select("fingerprint"))
-    extended = stage(found.join(shared, "fingerprint", "left_semi").select("key", "start", "digest", "lines"))
-    first = extended.groupBy("digest").agg(F.min(F.struct("key", "start")).alias("first"))
-    later = extended.join(first, "digest").filter(F.struct("key", "start") > F.col("first"))
+    found = stage(positions(docs, run, words))
+    by_line = extended(found.withColumn("fingerprint", F.array("here.digest")), run)
+    left = (by_line.withColumn("run", F.explode(F.filter("runs", lambda r: (r["before"] > F.col("n_before")) | (r["after"] > F.col("n_after")))))
+            .withColumn("fingerprint", F.transform(around(F.col("run.before"), F.col("run.after")), lambda x: x["digest"]))
+            .drop("run", "n_before", "n_after"))
+    match = by_line.unionByName(extended(stage(left), run)).select("key", around(F.col("n_before"), F.col("n_after")).alias("lines"))
+    enough = F.size("lines") >= run
+    if words:
+        enough |= F.aggregate("lines", F.lit(0), lambda n, x: n + x["words"]) >= words
+    later = match.filter(enough).select("key", F.col("lines.line").alias("lines"))
     return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 

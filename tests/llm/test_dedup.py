@@ -137,6 +137,30 @@ def test_repeated_runs_of_lines(docs):
     assert sum(map(len, want.values())) > 40
 
 
+def test_matches_beyond_the_first_position_of_a_line(docs, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    rows += [(200, "p\nhot\nq"), (201, "r\nhot\ns"), (202, "x\nr\nhot\ns\ny"), (203, "\n".join(["hot"] * 3000))]
+    want = plain_lines(rows)
+    got = {r.doc_id: r["__gone"] for r in line_dedup.marked(docs(rows)).collect()}
+    assert {i: set(g or []) for i, g in got.items()} == want
+    assert want[202] == {1, 2, 3} and want[203] == set(range(1, 3000))
+    # The rows come from the extension: with lines that never extend, nothing is a repeat.
+    monkeypatch.setattr(line_dedup, "equal_lines", lambda side, run: F.lit(0))
+    assert not any(r["__gone"] for r in line_dedup.marked(docs(rows)).collect())
+
+
+def test_every_run_selects_one_line():
+    rng = random.Random(3)
+    for _ in range(50):
+        lines = [rng.choice(["a", "b", "c d", "e " * 30]) for _ in range(rng.randint(0, 8))]
+        found = list(line_dedup.selected("\n".join(lines)))
+        runs = {(at - x, at + y) for at, _, _, _, around in found for x, y in around}
+        want = {(p, p + 2) for p in range(len(lines) - 2)}
+        want |= {(p, z) for p in range(len(lines)) for z in (p, p + 1) if z < len(lines) and len(" ".join(lines[p:z + 1]).split()) >= 50}
+        assert runs == want and sum(len(x[4]) for x in found) == len(want)
+
+
 def test_lines_of_odd_rows(docs):
     same = "x1\nx2\nx3"
     got = line_dedup.clean(docs([(1, same), (1, same), (None, same), (2, "y"), (2, "z")])).collect()
