@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.operators.metrics import model_samples
-from depthlog.operators.series import BLOCK_ROWS, as_list, over_frame, renumber, running_totals, runs
+from depthlog.operators.series import BLOCK_ROWS, UP_TO_HERE, as_list, over_frame, renumber, runs
 from depthlog.schema import CODES, KEY, TRUE
 
 
@@ -156,24 +156,25 @@ def rolling_accuracy(df: DataFrame, models: dict[str, str], true: str = TRUE, ke
     """Centred rolling accuracy over labelled rows, NULL below max(10, window // 4) rows.
 
     Both ends of the frame are looked up in running counts of right answers, so the cost does
-    not grow with the window.
+    not grow with the window. The counts run inside the block and its edge rows: only their
+    differences are used, so the same pass makes and reads them.
     """
     keys = as_list(key)
     back, ahead = window // 2, (window - 1) // 2
     labelled = renumber(df.filter(F.col(true).isNotNull()), keys, order, "__at", block_rows)
-    right = {f"__r_{m}": (F.col(c) == F.col(true)).cast("int") for m, c in models.items()}
-    total = running_totals(labelled, keys, "__at", right, block_rows)
 
     def build(w):
+        right = {f"__r_{m}": F.coalesce(F.sum((F.col(c) == F.col(true)).cast("int")).over(w.rowsBetween(*UP_TO_HERE)), F.lit(0))
+                 for m, c in models.items()}
         out = {"__hi": F.last("__at").over(w.rowsBetween(0, ahead)),
                "__lo": F.first("__at").over(w.rowsBetween(-back, 0))}
         for m in models:
             r = F.col(f"__r_{m}")
             out[f"__h_{m}"] = F.last(r).over(w.rowsBetween(0, ahead))
             out[f"__l_{m}"] = F.lag(r, back + 1, 0).over(w)
-        return out
+        return [right, out]
 
-    framed = over_frame(total, keys, "__at", back + 1, ahead, build, block_rows)
+    framed = over_frame(labelled, keys, "__at", back + 1, ahead, build, block_rows)
     n = F.col("__hi") - F.col("__lo") + 1
     return framed.select(*keys, order, *[c for c in df.columns if c not in (*keys, order)], *[
         F.when(n >= max(10, window // 4), (F.col(f"__h_{m}") - F.col(f"__l_{m}")) / n).alias(f"rolling_{m}")
@@ -184,14 +185,14 @@ def boundary_analysis(df: DataFrame, models: dict[str, str], true: str = TRUE, k
                       tol: int = 5, by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Accuracy within `tol` labelled rows of a change of the true class, and elsewhere.
 
-    The change sits on the first row of the new bed.
+    The change sits on the first row of the new bed, so there is one within `tol` rows exactly
+    if the classes from tol + 1 rows before to `tol` rows after are not all the same.
     """
     keys = as_list(key)
     labelled = renumber(df.filter(F.col(true).isNotNull()), keys, order, "__at", block_rows)
-    marked = over_frame(labelled, keys, "__at", 1, 0, lambda w: {
-        "__change": F.coalesce((F.lag(true).over(w) != F.col(true)).cast("int"), F.lit(0))}, block_rows)
-    near = over_frame(marked, keys, "__at", tol, tol, lambda w: {
-        "near": F.max("__change").over(w.rowsBetween(-tol, tol)) == 1}, block_rows)
+    frame = lambda w: w.rowsBetween(-tol - 1, tol)
+    near = over_frame(labelled, keys, "__at", tol + 1, tol, lambda w: {
+        "near": F.min(true).over(frame(w)) != F.max(true).over(frame(w))}, block_rows)
     keep = list(dict.fromkeys([*by, "near"]))
     counts = (model_samples(near, models, true, keep)
               .withColumn("wrong", (F.col("pred_code") != F.col("true_code")).cast("int"))

@@ -108,12 +108,13 @@ def by_depth(df: DataFrame, key=KEY, depth: str = "DEPT", order: str = ROW,
 # --- windows over blocks -------------------------------------------------------------------
 
 def over_frame(df: DataFrame, key, order: str, before: int, after: int,
-               build: Callable[[Window], dict[str, Column]],
+               build: Callable[[Window], dict[str, Column] | list[dict[str, Column]]],
                block_rows: int = BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
     `build` gets the window specification, partitioned by (key, block) and ordered by
-    position, and returns the new columns. With `keep_block` the result stays partitioned by
+    position, and returns the new columns; a list of such steps may build on one another in the
+    same pass, if `before` and `after` reach far enough for all of them. With `keep_block` the result stays partitioned by
     (key, block), so a following window over the block needs no shuffle.
     """
     key = as_list(key)
@@ -121,7 +122,10 @@ def over_frame(df: DataFrame, key, order: str, before: int, after: int,
     hi = block_of(F.col(order) + before, block_rows)
     copies = df.withColumn(BLOCK, F.explode(F.sequence(lo, hi)))
     w = Window.partitionBy(*key, BLOCK).orderBy(order)
-    own = copies.withColumns(build(w)).filter(F.col(BLOCK) == block_of(order, block_rows))
+    built = build(w)
+    for columns in built if isinstance(built, list) else [built]:
+        copies = copies.withColumns(columns)
+    own = copies.filter(F.col(BLOCK) == block_of(order, block_rows))
     return own if keep_block else own.drop(BLOCK)
 
 
@@ -197,6 +201,45 @@ def runs(df: DataFrame, key, order: str, value: Column, aggs: dict | None = None
             .drop("__run"))
 
 
+def run_counts(df: DataFrame, key, order: str, values: dict[str, tuple[Column, bool]], block_rows: int = BLOCK_ROWS,
+               aggs: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Number of runs of several values per key, in one pass with one shuffle of the rows.
+
+    `values` names each count: (value, bridge). NULL equals NULL; with `bridge`, rows without value are left out instead.
+    `aggs` adds {name: (kind, column)} with kind min, max or sum. Starts are counted inside a block; only the first and
+    last value of each block are compared across the key.
+    """
+    key, aggs = as_list(key), aggs or {}
+    plain = {"min": F.min, "max": F.max, "sum": F.sum}
+    rows = df.select(*key, F.col(order).alias("__at"), *[c.alias(f"__v_{n}") for n, (c, _) in values.items()],
+                     *[c.alias(f"__a_{n}") for n, (_, c) in aggs.items()]).withColumn(BLOCK, block_of("__at", block_rows))
+
+    def begins(value, before, bridge, opens):
+        if bridge:
+            return value.isNotNull() & (before.isNull() | (before != value))
+        return opens | ~before.eqNullSafe(value)
+
+    def before(column, bridge, w):
+        return F.last(column, ignorenulls=True).over(w.rowsBetween(*ALL_BEFORE)) if bridge else F.lag(column).over(w)
+
+    w = Window.partitionBy(*key, BLOCK).orderBy("__at")
+    marked = rows.withColumns({"__opens": F.lag("__at").over(w).isNull(),
+                               **{f"__p_{n}": before(f"__v_{n}", b, w) for n, (_, b) in values.items()}})
+    # The first value of a block is not counted here, but below, against the block before.
+    within = [e for n, (_, b) in values.items() for v, p in [(F.col(f"__v_{n}"), F.col(f"__p_{n}"))] for e in (
+        F.count_if(p.isNotNull() & begins(v, p, True, None) if b else ~F.col("__opens") & begins(v, p, False, F.lit(False))).alias(f"__n_{n}"),
+        F.min_by(v, F.when(v.isNotNull(), F.col("__at")) if b else F.col("__at")).alias(f"__f_{n}"),
+        F.max_by(v, F.when(v.isNotNull(), F.col("__at")) if b else F.col("__at")).alias(f"__l_{n}"))]
+    blocks = marked.groupBy(*key, BLOCK).agg(*within, *[plain[k](f"__a_{n}").alias(f"__a_{n}") for n, (k, _) in aggs.items()])
+    w = Window.partitionBy(*key).orderBy(BLOCK)
+    seen = blocks.withColumns({"__opens": F.lag(BLOCK).over(w).isNull(),
+                               **{f"__p_{n}": before(f"__l_{n}", b, w) for n, (_, b) in values.items()}})
+    return seen.groupBy(*key).agg(
+        *[plain[k](f"__a_{n}").alias(n) for n, (k, _) in aggs.items()],
+        *[F.sum(F.col(f"__n_{n}") + begins(F.col(f"__f_{n}"), F.col(f"__p_{n}"), b, F.col("__opens")).cast("int")).alias(n)
+          for n, (_, b) in values.items()])
+
+
 def number_runs(table: DataFrame, key, out: str = "run", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Consecutive number of each run within its key, from 0."""
     return number_rows(table, key, [F.col("first_row")], [block_of("first_row", block_rows)], out)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from depthlog.functions import columns as C
 from depthlog.operators.quality import steps
 from depthlog.operators.quantiles import cumulative_counts, long_form, quantiles
-from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, runs, with_previous)
+from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, run_counts, runs, with_previous)
 from depthlog.schema import CODES, INPUT_CURVES, KEY, LOG_CURVES, STEP, TRUE
 
 
@@ -104,26 +104,14 @@ def depth_composition(df: DataFrame, code: str, key=KEY, depth: str = "DEPT", or
             .select(*keys, "bin", "code", F.coalesce(F.try_element_at("__m", F.struct("bin", "code")), F.lit(0.0)).alias("fraction")))
 
 
-def count_beds(df: DataFrame, code: str, key=KEY, order: str = "DEPTH_ROW", bridge: bool = False, out: str = "beds",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number of runs of a code per key; with `bridge`, rows without code are left out first."""
-    keys = as_list(key)
-    rows = df.select(*keys, order, code)
-    if bridge:
-        rows = renumber(rows.filter(F.col(code).isNotNull()), keys, order, order, block_rows)
-    marked = with_previous(rows, keys, order, {"__c": F.col(code), "__o": F.col(order)}, block_rows)
-    starts = F.col("__o").isNull() | ~F.col("__c").eqNullSafe(F.col(code))
-    return marked.groupBy(*keys).agg(F.count_if(starts).alias(out))
-
-
 def interval_stats(df: DataFrame, first_model: str, true: str = TRUE, key=KEY, order: str = "DEPTH_ROW",
                    depth: str = "DEPT", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Samples, depths, step and beds per key; original beds bridge rows without label (NULL where no row has one)."""
     keys = as_list(key)
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(depth).alias("top"), F.max(depth).alias("base"),
-                                  (F.max(depth) - F.min(depth)).alias("span"))
-            .join(sample_step(df, keys, order, depth, True, block_rows), keys)
-            .join(count_beds(df, first_model, keys, order, False, "beds_first_model", block_rows), keys)
-            .join(count_beds(df, true, keys, order, True, "beds_original", block_rows), keys, "left"))
+    counted = run_counts(df, keys, order, {"beds_first_model": (F.col(first_model), False), "beds_original": (F.col(true), True)}, block_rows,
+                         {"n": ("sum", F.lit(1)), "top": ("min", F.col(depth)), "base": ("max", F.col(depth))})
+    return (counted.withColumns({"span": F.col("base") - F.col("top"), "beds_original": F.nullif("beds_original", F.lit(0))})
+            .join(sample_step(df, keys, order, depth, True, block_rows), keys))
 
 
 def bed_runs(df: DataFrame, models: dict[str, str], true: str | None = TRUE, key=KEY, order: str = "DEPTH_ROW",

@@ -30,6 +30,38 @@ def test_runs_equal_brute_force(wells, block):
     assert key(got) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_run_counts_equal_brute_force(spark, wells, block):
+    def beds(codes, bridge):
+        codes = [c for c in codes if c is not None] if bridge else codes
+        return sum(i == 0 or c != codes[i - 1] for i, c in enumerate(codes))
+
+    odd = spark.createDataFrame([("x", i, c) for i, c in enumerate([None, None, 1, None, 1, None, None, 2, 2, None])] + [(None, 0, 5), ("y", 0, None)],
+                                "WELL string, SOURCE_ROW int, TRUE_CODE int")
+    for df in (wells, odd, odd.limit(0)):
+        want = {}
+        for r in sorted(df.collect(), key=lambda r: r.SOURCE_ROW):
+            want.setdefault(r.WELL, []).append(r.TRUE_CODE)
+        got = S.run_counts(df, "WELL", "SOURCE_ROW", {"plain": (F.col("TRUE_CODE"), False), "bridged": (F.col("TRUE_CODE"), True)}, block,
+                           {"n": ("sum", F.lit(1)), "last": ("max", F.col("SOURCE_ROW"))}).collect()
+        assert {r.WELL: (r.plain, r.bridged, r.n, r.last + 1) for r in got} == {
+            w: (beds(c, False), beds(c, True), len(c), len(c)) for w, c in want.items()}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_boundary_equals_brute_force(wells, block):
+    got = {r.WELL: r for r in K.boundary_analysis(wells, {"A": "A"}, "TRUE_CODE", "WELL", "SOURCE_ROW", 2, ["WELL"], block).collect()}
+    for well, g in data.frame().dropna(subset=["TRUE_CODE"]).groupby("WELL"):
+        true = g.sort_values("SOURCE_ROW").TRUE_CODE.tolist()
+        changes = [i for i in range(1, len(true)) if true[i] != true[i - 1]]
+        near = [any(abs(i - c) <= 2 for c in changes) for i in range(len(true))]
+        pred = g.sort_values("SOURCE_ROW").A.tolist()
+        known = [(n, p == t) for n, p, t in zip(near, pred, true) if not pd.isna(p)]
+        assert got[well].share_near == pytest.approx(sum(n for n, _ in known) / len(known))
+        inside = [ok for n, ok in known if not n]
+        assert not inside or got[well].accuracy_inside == pytest.approx(sum(inside) / len(inside))
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_positions_and_totals(wells, block):
     assert S.running_totals(wells, "WELL", "SOURCE_ROW", {"n": F.lit(1)}, block).filter("n <> SOURCE_ROW + 1").count() == 0
