@@ -167,7 +167,8 @@ def well_density(places: DataFrame, x: str, y: str, size: int = 200, pad: float
         F.count(F.lit(1)).cast("double").alias("n"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("cxy"),
         F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     one = s.select(F.struct("*")).scalar()
-    g = spots.withColumn("s", one)
+    # A position is a few bytes but size * size nodes of work: bytes would bring all of them into a few tasks.
+    g = spots.repartition(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("s", one)
     h = F.pow(F.col("s.n"), -1.0 / 3.0)  # square of n ** (-1/6)
     det = F.col("s.vx") * F.col("s.vy") - F.col("s.cxy") * F.col("s.cxy")
     px, py = (F.col("s.x1") - F.col("s.x0")) * pad, (F.col("s.y1") - F.col("s.y0")) * pad
