@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from depthlog.functions import columns as C
 from depthlog.operators.series import BLOCK_ROWS, as_list, attach, over_frame, renumber
@@ -101,21 +106,65 @@ def rolling(df: DataFrame, columns: Sequence[str] = BASE_FEATURES, windows: Sequ
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Centred rolling mean and sample deviation, NULL below `min_valid` values."""
     reach = max(windows) // 2
-
-    def build(w):
-        out = {}
-        for c in columns:
-            for width in windows:
-                frame = w.rowsBetween(-(width // 2), (width - 1) // 2)
-                out[f"__n_{c}_{width}"] = F.count(c).over(frame)
-                out[f"{c}_ROLLMEAN_{width}"] = F.avg(c).over(frame)
-                out[f"{c}_ROLLSTD_{width}"] = F.stddev_samp(c).over(frame)
-        return out
-
-    framed = over_frame(df, key, order, reach, reach, build, block_rows)
-    gated = [F.when(F.col(f"__n_{c}_{width}") >= min_valid, F.col(name)).alias(name)
-             for c in columns for width in windows for name in (f"{c}_ROLLMEAN_{width}", f"{c}_ROLLSTD_{width}")]
-    return framed.select(*df.columns, *gated)
+    names = rolling_names(windows, columns)
+
+    def rolled(rows):
+        schema = StructType([*rows.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+        return rows.mapInArrow(_roller(list(columns), list(windows), min_valid), schema)
+
+    framed = over_frame(df, key, order, reach, reach, lambda w: {"__nth": F.row_number().over(w)}, block_rows, then=rolled)
+    return framed.select(*df.columns, *names)
+
+
+def _roller(columns: Sequence[str], windows: Sequence[int], min_valid: int):
+    """A function of Arrow batches that adds the rolling columns to sorted rows; `__nth` is 1 where a series begins.
+
+    The rows a batch still needs from the next one wait for it. Each step adds one place of the frame for all rows of the
+    batch; the deviation is built up as Spark's own is, so near-constant values lose no digits. The functions are nested
+    so that they travel to the tasks with what they use."""
+    def moments(x, known, series, lowest, highest):
+        """Count, mean and sample deviation of the known values from `lowest` to `highest` places away in the same series."""
+        size = len(x)
+        n, total, mean, m2 = (np.zeros(size) for _ in range(4))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for d in range(lowest, highest + 1):
+                here, there = slice(max(0, -d), max(0, size - max(0, d))), slice(max(0, d), max(0, size + min(0, d)))
+                used = known[there] & (series[here] == series[there])
+                v = x[there]
+                n[here] += used
+                total[here] += np.where(used, v, 0.0)
+                delta = np.where(used, v - mean[here], 0.0)
+                part = delta / np.maximum(n[here], 1.0)
+                mean[here] += part
+                m2[here] += delta * (delta - part)
+            return n, total / np.maximum(n, 1.0), np.sqrt(m2 / np.maximum(n - 1.0, 1.0))
+
+    def rolled(batches):
+        back, ahead = max(windows) // 2, (max(windows) - 1) // 2
+        held, given = None, 0
+        for batch in chain(batches, [None]):
+            parts = [t for t in (held, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not parts:
+                return
+            table = pa.concat_tables(parts).combine_chunks()
+            upto = max(given, table.num_rows - (0 if batch is None else ahead))
+            first, last = max(0, given - back), min(table.num_rows, upto + ahead)
+            part = table.slice(first, last - first)
+            series = np.cumsum(part["__nth"].to_numpy() == 1)
+            own = slice(given - first, upto - first)
+            rows = table.slice(given, upto - given)
+            for c in columns:
+                known = part[c].is_valid().to_numpy()
+                x = pc.fill_null(part[c].cast(pa.float64()), 0.0).to_numpy()
+                for width in windows:
+                    n, mean, std = moments(x, known, series, -(width // 2), (width - 1) // 2)
+                    for name, values, least in (("MEAN", mean, 1), ("STD", std, 2)):
+                        cells = pa.array(values[own], pa.float64(), mask=n[own] < max(min_valid, least))
+                        rows = rows.append_column(f"{c}_ROLL{name}_{width}", cells)
+            yield from rows.to_batches()
+            held = table.slice(max(0, upto - back))
+            given = upto - max(0, upto - back)
+    return rolled
 
 
 def feature_table(df: DataFrame, key=KEY, order: str = ROW, keep: Sequence[str] = (),

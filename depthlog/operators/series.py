@@ -109,13 +109,15 @@ def by_depth(df: DataFrame, key=KEY, depth: str = "DEPT", order: str = ROW,
 
 def over_frame(df: DataFrame, key, order: str, before: int, after: int,
                build: Callable[[Window], dict[str, Column] | list[dict[str, Column]]],
-               block_rows: int = BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, keep_block: bool = False,
+               then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
     `build` gets the window specification, partitioned by (key, block) and ordered by
     position, and returns the new columns; a list of such steps may build on one another in the
     same pass, if `before` and `after` reach far enough for all of them. With `keep_block` the result stays partitioned by
-    (key, block), so a following window over the block needs no shuffle.
+    (key, block), so a following window over the block needs no shuffle. `then` sees the rows of the tasks in
+    this order, with the copied edge rows, and returns them in the same order.
     """
     key = as_list(key)
     lo = block_of(F.col(order) - after, block_rows)
@@ -125,6 +127,8 @@ def over_frame(df: DataFrame, key, order: str, before: int, after: int,
     built = build(w)
     for columns in built if isinstance(built, list) else [built]:
         copies = copies.withColumns(columns)
+    if then is not None:
+        copies = then(copies)
     own = copies.filter(F.col(BLOCK) == block_of(order, block_rows))
     return own if keep_block else own.drop(BLOCK)
 

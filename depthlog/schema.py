@@ -96,8 +96,8 @@ def lithology_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LITHOLOGY), "code INT, name STRING, display_order INT")
 
 
-def rolling_names(windows=WINDOWS) -> list[str]:
-    return [f"{c}_ROLL{s}_{w}" for c in BASE_FEATURES for w in windows for s in ("MEAN", "STD")]
+def rolling_names(windows=WINDOWS, columns=BASE_FEATURES) -> list[str]:
+    return [f"{c}_ROLL{s}_{w}" for c in columns for w in windows for s in ("MEAN", "STD")]
 
 
 def feature_names() -> list[str]:

@@ -149,3 +149,30 @@ def test_penalty_tables_are_asymmetric():
     fine = {(t, p): c for t, p, c in penalty_rows(PENALTY_FINE)}
     assert fine[(88000, 88000)] == 4 and len(fine) == 144
     assert len(BASE_FEATURES) == 5
+
+
+def test_rolling_over_many_batches_equals_spark_windows(spark):
+    """Arrow batches of a few rows cut every window; NULL, NaN, a constant series, and series shorter than the frame."""
+    from pyspark.sql import Window
+    v = F.when(F.col("id") % 7 == 0, None).when(F.col("id") == 40, float("nan")).when(F.col("id") > 150, 0.1).otherwise(F.sin("id") * 1000)
+    df = spark.range(230).select(F.when(F.col("id") < 200, "a").when(F.col("id") > 203, "b").alias("WELL"), F.col("id").alias("SOURCE_ROW"), v.alias("GR"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        got = X.rolling(df, ["GR"], (4, 21), min_valid=2)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        got = {(r["WELL"], r["SOURCE_ROW"]): r for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "stddev_samp" not in plan  # a frame of w rows is not gone through again for every row
+    want = df
+    for width in (4, 21):
+        w = Window.partitionBy("WELL").orderBy("SOURCE_ROW").rowsBetween(-(width // 2), (width - 1) // 2)
+        for name, f in (("MEAN", F.avg), ("STD", F.stddev_samp)):
+            want = want.withColumn(f"GR_ROLL{name}_{width}", F.when(F.count("GR").over(w) >= 2, f("GR").over(w)))
+    rows = want.collect()
+    assert len(rows) == len(got) == 230
+    for r in rows:
+        for c in want.columns[3:]:
+            a, b = got[r["WELL"], r["SOURCE_ROW"]][c], r[c]
+            assert (a is None) == (b is None) and (a is None or a == b or (np.isnan(a) and np.isnan(b))), (r, c, a)
