@@ -176,3 +176,15 @@ def test_rolling_over_many_batches_equals_spark_windows(spark):
         for c in want.columns[3:]:
             a, b = got[r["WELL"], r["SOURCE_ROW"]][c], r[c]
             assert (a is None) == (b is None) and (a is None or a == b or (np.isnan(a) and np.isnan(b))), (r, c, a)
+
+
+def test_medians_bracketed_by_sketches_are_exact(spark):
+    rows = spark.range(40_001).select(
+        F.col("id"), (F.col("id") * F.col("id") % 39_989 / 7.0).alias("many"), (F.col("id") % 3).cast("double").alias("few"),
+        F.when(F.col("id") % 2 == 0, F.log1p("id")).alias("half"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 2, F.col("id").cast("double")).alias("two"))
+    columns = ["many", "few", "half", "none", "two"]
+    got = {r["curve"]: r["median"] for r in A.medians(rows, columns).collect()}
+    want = rows.agg(*[F.median(c).alias(c) for c in columns]).first()
+    assert set(got) == set(columns) - {"none"}
+    assert all(got[c] == want[c] for c in ("many", "few", "half", "two"))
