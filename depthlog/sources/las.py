@@ -7,16 +7,18 @@ curve positions and the null value, and data lines are decoded with column expre
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from depthlog.functions import columns as C
 from depthlog.operators.series import attach, number_rows, running_totals
 from depthlog.operators.staging import stage
+from depthlog.sources.sinks import write_files
 from depthlog.schema import INPUT_CURVES, LABEL_CURVE, LAS_NULL, LOCATION_CURVES
 
 FIRST_ROW = "FIRSTROW"
+PART_BYTES = 32 << 20
 # --- fixed values: names of delimiters in the version section -----------------------------
 DELIMITERS = {"SPACE": None, "COMMA": ",", "TAB": "\t"}
 STATED = ("WELL", FIRST_ROW, "null_value", "positions", "curves")
@@ -27,7 +29,15 @@ def las_lines(spark: SparkSession, path: str, glob: str | None = "*.{las,LAS}")
     """file, at (place of the line in the file), text."""
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return place_lines(reader.text(path))
+    return packed(place_lines, reader.text(path))
+
+
+def packed(place: Callable[[DataFrame], DataFrame], text: DataFrame) -> DataFrame:
+    """The placed lines of `text` in parts of PART_BYTES, but no fewer than a few for each core.
+
+    Spark counts a small file as several megabytes, so many small files would each be nearly a task of their own."""
+    size = int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return place(text).coalesce(max(4 * text.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES))
 
 
 def place_lines(text: DataFrame) -> DataFrame:
@@ -198,6 +208,4 @@ def las_text(df: DataFrame, curves: Sequence[str], key: str = "WELL", order: str
 
 def write_las(df: DataFrame, path: str, curves: Sequence[str], **names) -> None:
     """One folder per file; the lines of a file are sorted inside one task of bounded size."""
-    lines = las_text(df, curves, **names)
-    (lines.repartition("file").sortWithinPartitions("file", "place").select("file", "text")
-     .write.partitionBy("file").text(path))
+    write_files(las_text(df, curves, **names).withColumnRenamed("place", "__place"), path, "file", "__place", "text", "errorifexists")

@@ -11,7 +11,7 @@ from depthlog.operators.features import detect_label_column
 from depthlog.operators.series import attach, number_rows, running_totals
 from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, LABEL_CURVE
-from depthlog.sources.las import las_lines, read_las
+from depthlog.sources.las import las_lines, packed, read_las
 
 
 RECORD_CHARS = 1 << 20
@@ -40,9 +40,9 @@ def read_csv_by_header(spark: SparkSession, path: str, sep: str = ",", glob: str
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob and not path.lower().endswith(".csv") else reader
-    physical = stage(reader.text(path).select(
+    physical = stage(packed(lambda text: text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "[\r\ufeff]", "").alias("text")))
+        F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "[\r\ufeff]", "").alias("text")), reader.text(path)))
     lines, open_files = _records(physical)
     lines = lines.filter(F.trim("text") != "")
     first = lines.groupBy("file").agg(F.min(F.struct("split", "line", "text")).alias("head"))

@@ -230,3 +230,25 @@ def test_landing_folder_is_scored_and_a_well_is_replaced(spark, tmp_path):
     assert run() == {("wa", 65000): 7, ("wb", 65000): 5}
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 1
     assert len(BASE_FEATURES) == 5
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    """Bytes would bring all of them into one task; each stays one file with its rows in order."""
+    from depthlog.sources.sinks import write_files
+    df = spark.range(400).select((F.col("id") % 40).alias("folder"), (400 - F.col("id")).alias("at"), F.col("id").alias("GR"))
+    write_files(df, str(tmp_path / "out"), "folder", "at", "csv", header=True)
+    files = list((tmp_path / "out").glob("group=*/folder=*/part-*.csv"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    for f in files:
+        places = [int(line.split(",")[0]) for line in f.read_text().splitlines()[1:]]
+        assert len(places) == 10 and places == sorted(places)
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    from depthlog.sources.las import packed, place_lines
+    for i in range(200):
+        (tmp_path / f"{i}.las").write_text(f"~A\n{i}\n")
+    text = spark.read.text(str(tmp_path))
+    some = packed(place_lines, text)
+    assert some.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert some.count() == 400 and some.select("file", "at").distinct().count() == 400
