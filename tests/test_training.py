@@ -128,3 +128,27 @@ def test_permutation_sorts_once_and_equals_a_plain_version(spark, labelled):
     table = {r["feature"]: r for r in L.permutation_importance(rule, labelled, ["a", "b"], "code", ("WELL", "SOURCE_ROW"), codes=CLASSES).collect()}
     assert table["a"]["importance"] > 0.1 and table["b"]["importance"] == 0 == table["b"]["deviation"]
     assert L.permutation_counts(rule, labelled.limit(0), ["a", "b"], "code", ("WELL", "SOURCE_ROW"), codes=CLASSES).count() == 0
+
+
+def test_permutation_of_a_forest_looks_up_changes_and_equals_scoring_every_row(spark, monkeypatch):
+    rng = random.Random(11)
+    data = [(f"w{i % 5}", i, rng.choice(CLASSES), rng.gauss(0, 1), rng.gauss(0, 1), float(rng.randrange(3)), 7.0, rng.random()) for i in range(1500)]
+    df = spark.createDataFrame(data, "WELL string, SOURCE_ROW long, code int, a double, b double, c double, d double, e double")
+    features, key = ["a", "b", "c", "d", "e"], ("WELL", "SOURCE_ROW")
+    model = L.train_forest(df, features, "code", codes=CLASSES, trees=12, depth=14, leaf=1)
+
+    def counts():
+        found = L.permutation_counts(model, df, features, "code", key, 2, ["a", "c", "d", "e"], CLASSES).collect()
+        return {(r["model"], r["repeat"], r["true_code"], r["pred_code"]): r["n"] for r in found}
+
+    with monkeypatch.context() as plain:
+        plain.setattr(L, "forest_tables", lambda *_: None)
+        expected = counts()
+    monkeypatch.setattr(RandomForestClassificationModel, "transform", lambda *_: pytest.fail("rows were scored again"))
+    assert counts() == expected and len(expected) > 60
+    few = L.train_forest(df, features, "code", codes=CLASSES, trees=2, depth=1, leaf=1)  # many equal sums of votes
+    model = few
+    now = counts()
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "forest_tables", lambda *_: None)
+    assert counts() == now
