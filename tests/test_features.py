@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 import data
 from depthlog.functions import columns as C
-from depthlog.operators import features as X, joins as J, quality as A
+from depthlog.operators import features as X, joins as J, quality as A, quantiles as Q
 from depthlog.schema import BASE_FEATURES, LABEL_CURVE, feature_names, penalty_rows, PENALTY_FINE
 
 
@@ -188,3 +190,20 @@ def test_medians_bracketed_by_sketches_are_exact(spark):
     want = rows.agg(*[F.median(c).alias(c) for c in columns]).first()
     assert set(got) == set(columns) - {"none"}
     assert all(got[c] == want[c] for c in ("many", "few", "half", "two"))
+
+
+def test_medians_are_counted_over_batches_without_a_row_per_cell(spark, monkeypatch):
+    rng = random.Random(8)
+    columns = {"a": [rng.choice([None, float(rng.randrange(5)), rng.gauss(0, 1)]) for _ in range(4001)],
+               "b": [float("nan") if i % 9 == 0 else float(i) for i in range(4001)], "c": [None] * 4001,
+               "d": [float("inf") if i % 5 == 0 else -float("inf") if i % 7 == 0 else i / 3 for i in range(4001)], "e": [-0.0] * 4001}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    plain = df.agg(*[(F.median(c) + 0.0).alias(c) for c in columns]).first().asDict()
+    expected = {c: repr(v) for c, v in plain.items() if v is not None}
+    monkeypatch.setattr(A, "MEDIAN_ROWS", 300)
+    monkeypatch.setattr(A, "MEDIAN_POINTS", 20)
+    monkeypatch.setattr(A, "long_form", lambda df, by, rest: wide.append(rest) or long_form(df, by, rest))
+    wide, long_form = [], Q.long_form
+    assert {r["curve"]: repr(r["median"]) for r in A.medians(df, list(columns)).collect()} == expected
+    assert not wide  # columns are never put below one another
+
