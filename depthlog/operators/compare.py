@@ -142,7 +142,7 @@ def disagreement_intervals(df: DataFrame, models: Sequence[str], key=KEY, order:
     rows = df.withColumns(consensus_columns(models))
     aggs = {"top": ("min", F.col(depth)), "base": ("max", F.col(depth)), "lowest_agreement": ("min", F.col("agreement")),
             **{f"__c{c}": ("sum", (F.col("consensus_code") == c).cast("int")) for c in CODES}}
-    stretches = runs(rows, keys, order, F.col("agreement") < 1, aggs, block_rows).filter(F.col("value"))
+    stretches = runs(rows, keys, order, F.col("agreement") < 1, aggs, block_rows, [depth, "agreement", "consensus_code"], lambda v: v)
     commonest = F.array_max(F.array(*[F.struct(F.col(f"__c{c}").alias("n"), F.lit(-c).alias("code")) for c in CODES]))
     rank = Window.partitionBy(*keys).orderBy(F.desc(F.round("thickness", 6)), "top")
     return (stretches.withColumn("thickness", F.col("base") - F.col("top"))

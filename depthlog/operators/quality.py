@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from depthlog.functions import columns as C
 from depthlog.operators.quantiles import long_form, positions_of_counts, quantiles
-from depthlog.operators.series import BLOCK_ROWS, as_list, attach, over_frame, renumber, runs, with_previous
+from depthlog.operators.series import BLOCK_ROWS, as_list, attach, over_frame, renumber, runs, runs_of, with_previous
 from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, KEY, ROW, STEP, STEP_ATOL, TRUE
 
@@ -388,12 +388,12 @@ def value_runs(df: DataFrame, curves: Sequence[str], key=KEY, order: str = ROW,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Stretches of missing, zero or negative values per key and curve with their depth range."""
     keys = as_list(key)
-    v = F.col("value")
-    kind = F.when(v.isNull(), "missing").when(v < 0, "negative").when(v == 0, "zero")
-    return (runs(long_form(df, [*keys, order, depth], curves), [*keys, "curve"], order, kind,
-                 {"depth_start": ("first", F.col(depth)), "depth_end": ("last", F.col(depth)),
-                  "min": ("min", v), "max": ("max", v)}, block_rows)
-            .filter(F.col("value").isNotNull()).withColumnRenamed("value", "kind"))
+    v = {c: F.col(c).cast("double") for c in curves}
+    kinds = {c: F.when(x.isNull(), "missing").when(x < 0, "negative").when(x == 0, "zero") for c, x in v.items()}
+    own = F.col("own")
+    return runs_of(df, keys, order, {c: (kinds[c], v[c]) for c in curves}, "curve",
+                   {"depth_start": ("first", F.col(depth)), "depth_end": ("last", F.col(depth)), "min": ("min", own), "max": ("max", own)},
+                   block_rows, [depth], lambda kind: kind.isNotNull()).withColumnRenamed("value", "kind")
 
 
 def run_totals(stretches: DataFrame, key=KEY) -> DataFrame:

@@ -157,28 +157,45 @@ def running_totals(df: DataFrame, key, order: str, totals: dict[str, Column],
 
 
 def runs(df: DataFrame, key, order: str, value: Column, aggs: dict | None = None,
-         block_rows: int = BLOCK_ROWS) -> DataFrame:
+         block_rows: int = BLOCK_ROWS, carry: Sequence[str] | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """Maximal stretches of consecutive rows with equal value (NULL equals NULL).
 
     One row per run: key, value, first_row, last_row, n, and `aggs` given as
-    {name: (kind, column)} with kind min, max, sum, first or last.
+    {name: (kind, column)} with kind min, max, sum, first or last. With `carry`, only these columns
+    travel and the agg columns are made from them later. `wanted` keeps runs by their value.
     """
-    key = as_list(key)
     aggs = aggs or {}
+    if carry is None:
+        df = df.select(*as_list(key), order, value.alias("__value"), *[c.alias(f"__agg_{n}") for n, (_, c) in aggs.items()])
+        value, carry = F.col("__value"), [f"__agg_{n}" for n in aggs]
+        aggs = {n: (kind, F.col(f"__agg_{n}")) for n, (kind, _) in aggs.items()}
+    return _runs(df, as_list(key), order, {None: (value, None)}, [], aggs, carry, wanted, block_rows)
+
+
+def runs_of(df: DataFrame, key, order: str, values: dict[str, tuple[Column, Column | None]], name: str, aggs: dict | None = None,
+            block_rows: int = BLOCK_ROWS, carry: Sequence[str] = (), wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """`runs` of several values of a row, named in the column `name`, without a row for each value before the windows.
+
+    `values` is {name: (value, own)}; agg columns are made from the columns `carry` and from `own`."""
+    return _runs(df, as_list(key), order, values, [name], aggs or {}, carry, wanted, block_rows)
+
+
+def _runs(df, key, order, values, name, aggs, carry, wanted, block_rows) -> DataFrame:
     plain = {"min": F.min, "max": F.max, "sum": F.sum}
+    owns = {i: own for i, (_, own) in enumerate(values.values()) if own is not None}
+    columns = {f"__v{i}": v for i, (v, _) in enumerate(values.values())} | {f"__own{i}": own for i, own in owns.items()}
 
     rows = over_frame(
-        df.select(*key, order, value.alias("value"), *[c.alias(n) for n, (_, c) in aggs.items()]),
-        key, order, 1, 0,
-        lambda w: {"__starts": F.when(F.lag(order).over(w).isNull(), 1)
-                   .otherwise((~F.col("value").eqNullSafe(F.lag("value").over(w))).cast("int"))},
+        df.select(*key, order, *carry, *[c.alias(n) for n, c in columns.items()]), key, order, 1, 0,
+        lambda w: {f"__s{i}": F.when(F.lag(order).over(w).isNull(), 1)
+                   .otherwise((~F.col(f"__v{i}").eqNullSafe(F.lag(f"__v{i}").over(w))).cast("int")) for i in range(len(values))},
         block_rows, keep_block=True)
     w = Window.partitionBy(*key, BLOCK).orderBy(order).rowsBetween(*UP_TO_HERE)
 
-    def within(name, kind):
+    def within(column, kind):
         if kind == "first":
-            return F.min_by(name, order)
-        return F.max_by(name, order) if kind == "last" else plain[kind](name)
+            return F.min_by(column, order)
+        return F.max_by(column, order) if kind == "last" else plain[kind](column)
 
     def across(name, kind):
         if kind == "first":
@@ -186,21 +203,30 @@ def runs(df: DataFrame, key, order: str, value: Column, aggs: dict | None = None
         return F.max_by(name, "last_row") if kind == "last" else plain[kind](name)
 
     # A piece is the part of a run inside one block; only pieces at a block edge can belong to
-    # a longer run, so only those (two per block) are looked at key-wide.
-    pieces = (rows.withColumn("__piece", F.sum("__starts").over(w))
-              .groupBy(*key, BLOCK, "__piece")
-              .agg(F.first("value").alias("value"), F.max("__starts").alias("__starts"),
+    # a longer run, so only those (two per block) are looked at key-wide. A run's pieces share
+    # its value, so runs that are not wanted leave here.
+    marked = rows.withColumns({f"__p{i}": F.sum(f"__s{i}").over(w) for i in range(len(values))})
+    cells = F.array(*[F.struct(*[F.lit(n).alias(label) for label in name], F.col(f"__v{i}").alias("value"), F.col(f"__s{i}").alias("__starts"),
+                               F.col(f"__p{i}").alias("__piece"), *[F.col(f"__own{j}").alias("own") for j in owns if j == i])
+                      for i, n in enumerate(values)]) if name else None
+    if name:
+        long = marked.select(*key, BLOCK, order, *carry, F.inline(cells))
+    else:
+        long = marked.withColumnsRenamed({"__v0": "value", "__s0": "__starts", "__p0": "__piece"})
+    group = [*key, *name]
+    pieces = ((long if wanted is None else long.filter(wanted(F.col("value"))))
+              .groupBy(*group, BLOCK, "__piece", "value")
+              .agg(F.max("__starts").alias("__starts"),
                    F.min(order).alias("first_row"), F.max(order).alias("last_row"),
                    F.count(F.lit(1)).alias("n"),
-                   *[within(n, kind).alias(n) for n, (kind, _) in aggs.items()]))
+                   *[within(c, kind).alias(n) for n, (kind, c) in aggs.items()]))
     inner = (F.floor(F.col("first_row") / block_rows) == F.floor((F.col("first_row") - 1) / block_rows)) & \
             (F.floor(F.col("last_row") / block_rows) == F.floor((F.col("last_row") + 1) / block_rows))
     edge = pieces.withColumn("__edge", F.when(inner, F.col("first_row")).otherwise(F.lit(-1)))
-    chain = Window.partitionBy(*key, "__edge").orderBy("first_row").rowsBetween(*UP_TO_HERE)
+    chain = Window.partitionBy(*group, "__edge").orderBy("first_row").rowsBetween(*UP_TO_HERE)
     return (edge.withColumn("__run", F.max(F.when(F.col("__starts") == 1, F.col("first_row"))).over(chain))
-            .groupBy(*key, "__run")
-            .agg(F.first("value").alias("value"), F.min("first_row").alias("first_row"),
-                 F.max("last_row").alias("last_row"), F.sum("n").alias("n"),
+            .groupBy(*group, "__run", "value")
+            .agg(F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.sum("n").alias("n"),
                  *[across(n, kind).alias(n) for n, (kind, _) in aggs.items()])
             .drop("__run"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from depthlog.functions import columns as C
 from depthlog.operators.quality import steps
 from depthlog.operators.quantiles import cumulative_counts, long_form, quantiles
-from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, run_counts, runs, with_previous)
+from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, run_counts, runs, runs_of, with_previous)
 from depthlog.schema import CODES, INPUT_CURVES, KEY, LOG_CURVES, STEP, TRUE
 
 
@@ -118,9 +118,9 @@ def bed_runs(df: DataFrame, models: dict[str, str], true: str | None = TRUE, key
              original: str = "Original", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Beds of every source; a row without label ends a bed and is none itself."""
     keys = as_list(key)
-    long = source_samples(df, models, true, [*keys, order], original)
-    return (runs(long, [*keys, "source"], order, F.col("code"), None, block_rows)
-            .filter(F.col("value").isNotNull()).withColumnRenamed("value", "code"))
+    sources = {**({original: true} if true else {}), **models}
+    return runs_of(df, keys, order, {s: (F.col(c).cast("int"), None) for s, c in sources.items()}, "source", None, block_rows,
+                   wanted=lambda v: v.isNotNull()).withColumnRenamed("value", "code")
 
 
 def bed_thickness(df: DataFrame, models: dict[str, str], true: str | None = TRUE, key=KEY, order: str = "DEPTH_ROW",

@@ -142,3 +142,26 @@ def test_spearman_equals_pandas(wells):
     want = full[["GR", "DTC", "RHOB"]].rank().corr()
     got = D.spearman(wells.dropna(subset=["GR", "DTC", "RHOB"]), ["GR", "DTC", "RHOB"]).collect()
     assert all(abs(r["rho"] - want.loc[r["left"], r["right"]]) < 1e-9 for r in got) and len(got) == 6
+
+
+def test_runs_of_several_values_are_windowed_once_and_cut_at_any_block(spark):
+    rows = [(w, i, 10.0 + i, [None, -1.0, 0.0, 0.0, 5.0, 5.0][(i * i // 7 + w) % 6], [0.0, 0.0, None, 2.0][(i // 3) % 4]) for w in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows + [(None, i, 1.0, None, 0.0) for i in range(9)], "w int, i long, d double, a double, b double")
+    expected = set()
+    for w in (1, 2, None):
+        for c, at in (("a", 3), ("b", 4)):
+            own = sorted((r for r in df.collect() if r[0] == w), key=lambda r: r[1])
+            kinds = ["missing" if r[at] is None else "negative" if r[at] < 0 else "zero" if r[at] == 0 else None for r in own]
+            begun = 0
+            for i in range(1, len(own) + 1):
+                if i == len(own) or kinds[i] != kinds[begun]:
+                    if kinds[begun]:
+                        expected.add((w, c, kinds[begun], begun, i - 1, i - begun, own[begun][2], own[i - 1][2], own[begun][at], own[begun][at]))
+                    begun = i
+    for block in (1, 4, 1000):
+        found = A.value_runs(df, ["a", "b"], "w", "i", "d", block)
+        assert found.columns == ["w", "curve", "kind", "first_row", "last_row", "n", "depth_start", "depth_end", "min", "max"]
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("Window") > plan.rindex("inline(")  # a row for each value only above the windows
