@@ -6,9 +6,12 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.functions import columns as C
+from depthlog.operators import whole
 from depthlog.operators.quality import steps
 from depthlog.operators.quantiles import cumulative_counts, long_form, quantiles
 from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, run_counts, runs, runs_of, with_previous)
@@ -180,14 +183,62 @@ def transition_matrix(table: DataFrame, codes: Sequence[int] = CODES) -> DataFra
 
 # --- correlations ---------------------------------------------------------------------------
 
-def spearman(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[str] = ()) -> DataFrame:
+def spearman(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[str] = (), most: int = BLOCK_ROWS) -> DataFrame:
     """Rank correlation of every ordered pair of curves, each pair on its complete rows; ranks are averages over ties.
 
-    A value of a curve has another rank for each partner, since other rows are complete. All of them come from one table
-    of distinct values with as many counts as partners, added up once; rows get them by curve and value, each row's curves
-    meet again, and one aggregate sums the products of all pairs. Pairs without complete rows are absent."""
+    Keys of at most `most` rows are ranked whole in one task, many at a time; others, and a table without a key, by counts
+    of their distinct values (`_rank_products`). Pairs without complete rows are absent."""
     names, size = list(curves), len(curves)
     x = [C.log10_positive(F.col(c)) if c in LOG_CURVES else F.col(c).cast("double") for c in names]
+    pairs = list(combinations(range(size), 2))
+    if by:
+        light, heavy, rows = whole.split_keys(df, by, most)
+        sums = ", ".join(f"{s}_{i}_{j} double" for i, j in pairs for s in ("ab", "aa", "bb"))
+        table = whole.per_key(light, by, x, sums, rows, _whole_rank_products)
+        if heavy is not None:
+            table = table.unionByName(_rank_products(heavy, x, by))
+    else:
+        table = _rank_products(df, x, by)
+    out = []
+    for i, j in pairs:
+        rho = F.try_divide(F.col(f"ab_{i}_{j}"), F.sqrt(f"aa_{i}_{j}") * F.sqrt(f"bb_{i}_{j}"))
+        there = F.col(f"aa_{i}_{j}").isNotNull()
+        out += [F.when(there, F.struct(F.lit(names[u]).alias("left"), F.lit(names[v]).alias("right"), rho.alias("rho"))) for u, v in ((i, j), (j, i))]
+    return table.select(*by, F.inline(F.filter(F.array(*out), lambda p: p.isNotNull())))
+
+
+def _whole_rank_products(group, keys, values, known):
+    """Sums of products of centred ranks for every pair of columns, one per key; NULL where a pair has no complete row."""
+    places = []  # of every known value among the distinct values of all keys, by key and value
+    for x, there in zip(values, known):
+        at, new = whole.sorted_cells(group, x, there)
+        place = np.zeros(len(x), np.int64)
+        place[at] = np.cumsum(new) - 1
+        places.append(place)
+    found = {}
+    for i, j in combinations(range(len(values)), 2):
+        both = np.flatnonzero(known[i] & known[j])
+        g = group[both]
+        total = np.bincount(g, minlength=keys)
+        middle = (np.cumsum(total) - total + total / 2.0)[g]
+
+        def centred(place):
+            n = np.bincount(place)
+            return (np.cumsum(n) - n / 2.0)[place] - middle
+
+        a, b = centred(places[i][both]), centred(places[j][both])
+        for name, product in (("ab", a * b), ("aa", a * a), ("bb", b * b)):
+            found[f"{name}_{i}_{j}"] = pa.array(np.bincount(g, product, keys), pa.float64(), mask=total == 0)
+    return found
+
+
+def _rank_products(df: DataFrame, x: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """The same sums for keys of any size.
+
+    A value of a curve has another rank for each partner, since other rows are complete. All of them come from one table
+    of distinct values with as many counts as partners, added up once; rows get them by curve and value, each row's curves
+    meet again, and one aggregate sums the products of all pairs."""
+    size = len(x)
     x = [c + F.lit(0.0) for c in x]  # zero is one value, whatever its sign
     numbered = df.select(*by, F.monotonically_increasing_id().alias("__row"), *[c.alias(f"__x{i}") for i, c in enumerate(x)])
     partners = [F.col(f"__x{j}").isNotNull().cast("long").alias(f"n{j}") for j in range(size)]
@@ -199,16 +250,12 @@ def spearman(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[s
     ranks = cumulative_counts(counts, key, counted).select(*key, "value", centred.alias("ranks"))
     placed = join_null_safe(long.select(*key, "__row", "value"), ranks, [*key, "value"])
     rows = placed.groupBy(*by, "__row").agg(*[F.max(F.when(F.col("curve") == i, F.col("ranks"))).alias(f"r{i}") for i in range(size)])
-    sums, out = {}, []
+    sums = {}
     for i, j in combinations(range(size), 2):
         a, b = F.get(f"r{i}", F.lit(j)), F.get(f"r{j}", F.lit(i))
         both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
         sums |= {f"ab_{i}_{j}": F.sum(a * b), f"aa_{i}_{j}": F.sum(F.when(both, a * a)), f"bb_{i}_{j}": F.sum(F.when(both, b * b))}
-        rho = F.try_divide(F.col(f"ab_{i}_{j}"), F.sqrt(f"aa_{i}_{j}") * F.sqrt(f"bb_{i}_{j}"))
-        there = F.col(f"aa_{i}_{j}").isNotNull()
-        out += [F.when(there, F.struct(F.lit(names[u]).alias("left"), F.lit(names[v]).alias("right"), rho.alias("rho"))) for u, v in ((i, j), (j, i))]
-    table = rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
-    return table.select(*by, F.inline(F.filter(F.array(*out), lambda p: p.isNotNull())))
+    return rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
 
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:

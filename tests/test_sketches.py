@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import data
-from depthlog.operators import sketches as S, stats as D
+from depthlog.operators import sketches as S, stats as D, whole
 from depthlog.schema import INPUT_CURVES, LOG_CURVES
 
 
@@ -58,3 +59,33 @@ def test_spearman_equals_a_plain_version(spark):
 def test_spearman_joins_small_tables_on_values(spark):
     df = spark.range(5000).select((F.col("id") % 7).cast("double").alias("GR"), F.rand(1).alias("DTC"))
     assert D.spearman(df, ["GR", "DTC"]).count() == 2 and D.spearman(df.limit(0), ["GR", "DTC"]).count() == 0
+
+
+def test_spearman_of_cut_and_of_whole_wells_is_the_same(spark):
+    rows = [(w, float(i * i % 13), [None, 0.0, -0.0, float(i)][i % 4], None if w == 3 else float(i % 5) if i % 3 else None) for w, n in ((1, 90), (2, 9), (3, 40), (None, 20), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "w int, a double, b double, c double").repartition(3)
+    plain, *others = [{tuple(r[:3]): r["rho"] for r in D.spearman(df, ["a", "b", "c"], ["w"], most).collect()} for most in (0, 30, 1000)]
+    assert len(plain) == 3 * 6 + 2  # w3 has no c, w4 no complete row
+    for got in others:
+        assert set(got) == set(plain)
+        assert all((got[k] is None) == (plain[k] is None) and (plain[k] is None or abs(got[k] - plain[k]) < 1e-12) for k in plain)
+
+
+def test_whole_keys_are_not_cut_by_slabs_or_batches(spark, monkeypatch):
+    monkeypatch.setattr(whole, "SLAB_ROWS", 7)
+    df = spark.range(3000).select((F.col("id") % 40 % 9).alias("a"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), F.col("id") % 4)).alias("b"),
+                                  (F.col("id") * 37 % 101).cast("double").alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = whole.per_key(df, ["a", "b"], [F.col("x")], "n long, total double", 3000, lambda group, keys, x, known: {
+            "n": pa.array(np.bincount(group, minlength=keys)), "total": pa.array(np.bincount(group, x[0], keys))}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, found)) == sorted(map(str, df.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("total")).collect()))
+
+
+def test_tasks_for_ranks_of_wells_follow_the_rows(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 97).alias("WELL"), *[F.rand(i).alias(c) for i, c in enumerate(INPUT_CURVES)])
+    monkeypatch.setattr(whole, "BLOCK_ROWS", 100)
+    plan = D.spearman(df, by=["WELL"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [WELL" in plan and ", 40" in plan and "Join" not in plan and plan.count("Repartition") == 1
