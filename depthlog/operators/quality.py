@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from depthlog.functions import columns as C
-from depthlog.operators.quantiles import long_form, positions_of_counts, quantiles
+from depthlog.operators.quantiles import curve_quantiles, long_form, positions_of_counts, quantiles
 from depthlog.operators.series import BLOCK_ROWS, as_list, attach, over_frame, renumber, runs, runs_of, with_previous
 from depthlog.operators.staging import stage
 from depthlog.schema import INPUT_CURVES, KEY, ROW, STEP, STEP_ATOL, TRUE
@@ -233,7 +233,7 @@ def range_summary(df: DataFrame, curves: Sequence[str], key=KEY) -> DataFrame:
     keys = as_list(key)
     cells = long_form(df, keys, curves)
     ends = cells.groupBy("curve").agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    medians = quantiles(cells, [*keys, "curve"], F.col("value"), {"__m": 0.5})
+    medians = stage(curve_quantiles(df, keys, {c: F.col(c) for c in curves}, {"__m": 0.5}))
     return ends.join(quantiles(medians, ["curve"], F.col("__m"), {"median_of_medians": 0.5}), "curve")
 
 
@@ -266,7 +266,8 @@ def describe(df: DataFrame, curves: Sequence[str], by: Sequence[str]) -> DataFra
     group = [*by, "curve"]
     basic = cells.groupBy(*group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
                                       F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return basic.join(quantiles(cells, group, F.col("value"), {"q25": 0.25, "median": 0.5, "q75": 0.75}), group, "left")
+    quartiles = curve_quantiles(df, by, {c: F.col(c) for c in curves}, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return basic.join(quartiles, group, "left")
 
 
 def class_feature_spread(df: DataFrame, curves: Sequence[str], label: str = TRUE) -> DataFrame:

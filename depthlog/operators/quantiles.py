@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depthlog.functions.columns import order_bucket
-from depthlog.operators.series import ALL_BEFORE, UP_TO_HERE, as_list, join_null_safe
+from depthlog.operators import whole
+from depthlog.operators.series import ALL_BEFORE, BLOCK_ROWS, UP_TO_HERE, as_list, join_null_safe
 
 
 def value_positions(df: DataFrame, key, value: Column) -> DataFrame:
@@ -85,6 +88,41 @@ def quantiles(df: DataFrame, key, value: Column, wanted: dict[str, float]) -> Da
         for n in wanted])
 
 
+def curve_quantiles(df: DataFrame, key, curves: dict[str, Column], wanted: dict[str, float], most: int = BLOCK_ROWS) -> DataFrame:
+    """`quantiles` of several columns per key, named in `curve`: rows travel once for all of them, and no value is counted.
+
+    Keys of more than `most` rows go through `quantiles`. A curve without any value in a key is absent, as is a NULL key."""
+    key, names = as_list(key), list(curves)
+    for k in key:
+        df = df.filter(F.col(k).isNotNull())
+    cells = F.array(*[F.struct(F.lit(n).alias("curve"), c.cast("double").alias("value")) for n, c in curves.items()])
+    exact = lambda rows: quantiles(rows.select(*key, F.inline(cells)), [*key, "curve"], F.col("value"), wanted)
+    if not key:
+        return exact(df)
+    light, heavy, rows = whole.split_keys(df, key, most)
+    outs = {(i, n): f"__q{i}_{j}" for i in range(len(names)) for j, n in enumerate(wanted)}
+
+    def make(group, keys, values, known):
+        found = {}
+        for i in range(len(names)):
+            at, _ = whole.sorted_cells(group, values[i], known[i])
+            x, n = values[i][at], np.bincount(group[at], minlength=keys)
+            first, there = (np.cumsum(n) - n)[n > 0], n > 0
+            for name, q in wanted.items():
+                h = (n[there] - 1) * float(q)
+                lo = np.floor(h)
+                a, b = x[first + lo.astype(np.int64)], x[first + np.ceil(h).astype(np.int64)]
+                value = np.zeros(keys)
+                value[there] = a + (b - a) * (h - lo)
+                found[outs[i, name]] = pa.array(value, pa.float64(), mask=~there)
+        return found
+
+    wide = whole.per_key(light, key, list(curves.values()), ", ".join(f"{c} double" for c in outs.values()), rows, make)
+    back = F.array(*[F.struct(F.lit(c).alias("curve"), *[F.col(outs[i, n]).alias(n) for n in wanted]) for i, c in enumerate(names)])
+    found = wide.select(*key, F.inline(back)).filter(F.col(next(iter(wanted))).isNotNull())
+    return found if heavy is None else found.unionByName(exact(heavy))
+
+
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str],
               name: str = "curve", value: str = "value") -> DataFrame:
     """One row per (row, column), in one pass and without a shuffle."""

@@ -23,6 +23,7 @@ from depthlog.schema import KEY, ROW
 
 BLOCK = "__block"
 BLOCK_ROWS = 1_000_000
+PART_ROWS = 2 * BLOCK_ROWS  # rows of a task, where the session's number of shuffle partitions would leave it more
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
@@ -46,6 +47,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, key: Sequence[str], how: s
     return left.join(F.broadcast(other) if small else other, on, how).drop(*names.values())
 
 
+def enough_tasks(spark, rows: int) -> list[int]:
+    """The number of partitions for a shuffle of so many rows; none where the session's own number will do."""
+    tasks = -(-rows // PART_ROWS)
+    return [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 # --- positions -----------------------------------------------------------------------------
 
 def number_rows(df: DataFrame, key, order: Sequence[Column], bucket: Sequence[Column],
@@ -77,14 +84,15 @@ def renumber(df: DataFrame, key=KEY, order: str = ROW, out: str | None = None,
     return number_rows(df, key, [F.col(order)], [block_of(order, block_rows)], out or order)
 
 
-def rank_rows(df: DataFrame, key, order: Sequence[str], out: str) -> DataFrame:
+def rank_rows(df: DataFrame, key, order: Sequence[str], out: str, rows: int = 0) -> DataFrame:
     """Dense position by any total order, whatever the distribution of key and order values.
 
     Range partitioning samples (key, order), so a heavy key is cut into many partitions. The
     sorted table is staged: partition numbers must not change between counting and joining.
+    The number of rows, where it is known, bounds what one task sorts.
     """
     key = as_list(key)
-    ordered = (df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    ordered = (df.repartitionByRange(*enough_tasks(df.sparkSession, rows), *key, *order).sortWithinPartitions(*key, *order)
                .withColumn("__part", F.spark_partition_id())
                .withColumn("__slot", F.monotonically_increasing_id()))
     rows = stage(ordered)

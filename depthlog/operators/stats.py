@@ -13,21 +13,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from depthlog.functions import columns as C
 from depthlog.operators import whole
 from depthlog.operators.quality import steps
-from depthlog.operators.quantiles import cumulative_counts, long_form, quantiles
+from depthlog.operators.quantiles import cumulative_counts, curve_quantiles, long_form, quantiles
 from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, run_counts, runs, runs_of, with_previous)
 from depthlog.schema import CODES, INPUT_CURVES, KEY, LOG_CURVES, STEP, TRUE
 
 
 def curve_summary(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[str] = (KEY,)) -> DataFrame:
     """Count, valid, missing %, extremes, P10/P50/P90, mean and deviation; log curves positive only."""
-    positive = F.when(~F.col("curve").isin(*LOG_CURVES) | (F.col("value") > 0), F.col("value"))
-    cells = long_form(df, list(by), curves).withColumn("value", positive)
+    used = {c: F.when(F.col(c).cast("double") > 0, F.col(c).cast("double")) if c in LOG_CURVES else F.col(c).cast("double") for c in curves}
+    cells = long_form(df.select(*by, *[v.alias(c) for c, v in used.items()]), list(by), curves)
     group = [*by, "curve"]
     n, valid = F.count(F.lit(1)), F.count("value")
     basic = cells.groupBy(*group).agg(
         n.alias("samples"), valid.alias("valid"), (100.0 * (1 - valid / n)).alias("pct_missing"), F.min("value").alias("min"),
         F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"))
-    return basic.join(quantiles(cells, group, F.col("value"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}), group, "left")
+    return basic.join(curve_quantiles(df, by, used, {"p10": 0.1, "p50": 0.5, "p90": 0.9}), group, "left")
 
 
 def sample_step(df: DataFrame, key=KEY, order: str = "DEPTH_ROW", depth: str = "DEPT", positive_only: bool = True,

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from depthlog.operators.series import BLOCK_ROWS, join_null_safe
+from depthlog.operators.series import BLOCK_ROWS, enough_tasks, join_null_safe
 from depthlog.operators.staging import stage
 
 SLAB_ROWS = 1 << 17  # rows of complete keys that numpy gets at a time
@@ -38,9 +38,7 @@ def per_key(df: DataFrame, key: Sequence[str], columns: Sequence, out: str, rows
     doubles and whether they are known; it returns the columns of `out`, one entry per key."""
     key, size = list(key), len(columns)
     slim = df.select(*key, *[(c.cast("double") + 0.0).alias(f"__x{i}") for i, c in enumerate(columns)])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = -(-rows // BLOCK_ROWS)
-    together = slim.repartition(*([tasks] if tasks > parts else []), *key).sortWithinPartitions(*key)
+    together = slim.repartition(*enough_tasks(df.sparkSession, rows), *key).sortWithinPartitions(*key)
     fields = [f for f in together.schema.fields if f.name in key]
     schema = StructType([StructField(f.name, f.dataType, True) for f in fields] + StructType.fromDDL(out).fields)
 

@@ -41,7 +41,7 @@ def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     items = (read(spark, sf_dir, "lineitem")
              .select(F.col("l_suppkey").cast("int").alias("well"), *order, "l_quantity", "l_discount", "l_tax"))
-    return rank_rows(items, "well", order, "pos").withColumn("pos", F.col("pos") + 1)
+    return rank_rows(items, "well", order, "pos", items.count()).withColumn("pos", F.col("pos") + 1)
 
 
 def wells(spark: SparkSession, sf_dir: str) -> DataFrame:

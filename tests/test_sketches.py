@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import data
-from depthlog.operators import sketches as S, stats as D, whole
+from depthlog.operators import quality as A, quantiles as Q, series, sketches as S, stats as D, whole
 from depthlog.schema import INPUT_CURVES, LOG_CURVES
 
 
@@ -61,6 +61,22 @@ def test_spearman_joins_small_tables_on_values(spark):
     assert D.spearman(df, ["GR", "DTC"]).count() == 2 and D.spearman(df.limit(0), ["GR", "DTC"]).count() == 0
 
 
+def test_curve_quantiles_take_whole_keys_or_cut_them(spark):
+    frame = data.frame()
+    extra = pd.DataFrame({"WELL": ["w5", "w5", None], "GR": [1.0, -0.0, 5.0]})
+    frame = pd.concat([frame, extra], ignore_index=True)
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in frame[["WELL", *INPUT_CURVES]].itertuples(index=False)],
+                               "WELL string, " + ", ".join(f"{c} double" for c in INPUT_CURVES)).repartition(5)
+    wanted = {"q10": 0.1, "q50": 0.5, "q90": 0.9, "q100": 1.0}
+    cells = {c: F.col(c) for c in INPUT_CURVES}
+    plain = Q.quantiles(Q.long_form(df, ["WELL"], INPUT_CURVES), ["WELL", "curve"], F.col("value"), wanted)
+    want = sorted(map(tuple, plain.collect()))
+    assert len(want) == (frame.groupby("WELL")[list(INPUT_CURVES)].count() > 0).to_numpy().sum()
+    for most in (1, 50, 100, 1000):  # all wells are cut, some are, none is
+        assert sorted(map(tuple, Q.curve_quantiles(df, "WELL", cells, wanted, most).select(plain.columns).collect())) == want
+    assert Q.curve_quantiles(df, [], cells, wanted).count() == 5 and Q.curve_quantiles(df.limit(0), "WELL", cells, wanted).count() == 0
+
+
 def test_spearman_of_cut_and_of_whole_wells_is_the_same(spark):
     rows = [(w, float(i * i % 13), [None, 0.0, -0.0, float(i)][i % 4], None if w == 3 else float(i % 5) if i % 3 else None) for w, n in ((1, 90), (2, 9), (3, 40), (None, 20), (4, 1)) for i in range(n)]
     df = spark.createDataFrame(rows, "w int, a double, b double, c double").repartition(3)
@@ -84,8 +100,14 @@ def test_whole_keys_are_not_cut_by_slabs_or_batches(spark, monkeypatch):
     assert sorted(map(str, found)) == sorted(map(str, df.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("total")).collect()))
 
 
-def test_tasks_for_ranks_of_wells_follow_the_rows(spark, monkeypatch):
+def test_tasks_for_quantiles_of_wells_follow_the_rows(spark, monkeypatch):
     df = spark.range(4000).select((F.col("id") % 97).alias("WELL"), *[F.rand(i).alias(c) for i, c in enumerate(INPUT_CURVES)])
-    monkeypatch.setattr(whole, "BLOCK_ROWS", 100)
-    plan = D.spearman(df, by=["WELL"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "RepartitionByExpression [WELL" in plan and ", 40" in plan and "Join" not in plan and plan.count("Repartition") == 1
+    monkeypatch.setattr(series, "PART_ROWS", 100)
+    for table in (Q.curve_quantiles(df, "WELL", {c: F.col(c) for c in INPUT_CURVES}, {"q": 0.5}), D.spearman(df, by=["WELL"])):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [WELL" in plan and ", 40" in plan and "Join" not in plan and plan.count("Repartition") == 1
+    for summary in (D.curve_summary(df, INPUT_CURVES, ["WELL"]), A.describe(df, INPUT_CURVES, ["WELL"])):
+        plan = summary._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Window" not in plan  # values are neither counted nor sorted as rows
+    ranked = series.rank_rows(df, "WELL", list(INPUT_CURVES), "at", df.count())
+    assert len(ranked.select("GR").inputFiles()) > 30 and sorted(r[0] for r in ranked.filter("WELL = 3").select("at").collect()) == list(range(42))
