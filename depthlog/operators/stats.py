@@ -14,7 +14,7 @@ from depthlog.functions import columns as C
 from depthlog.operators import whole
 from depthlog.operators.quality import steps
 from depthlog.operators.quantiles import cumulative_counts, curve_quantiles, long_form, quantiles
-from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, join_null_safe, over_frame, renumber, run_counts, runs, runs_of, with_previous)
+from depthlog.operators.series import (BLOCK_ROWS, as_list, attach, enough_tasks, join_null_safe, over_frame, renumber, run_counts, runs, runs_of, with_previous)
 from depthlog.schema import CODES, INPUT_CURVES, KEY, LOG_CURVES, STEP, TRUE
 
 
@@ -246,14 +246,17 @@ def _rank_products(df: DataFrame, x: Sequence[Column], by: Sequence[str]) -> Dat
     long = numbered.select(*by, "__row", *partners, F.inline(cells)).filter(F.col("value").isNotNull())
     key, counted = [*by, "curve"], [f"n{j}" for j in range(size)]
     counts = long.groupBy(*key, "value").agg(*[F.sum(c).alias(c) for c in counted])
-    centred = F.array(*[F.col(f"below_{c}") + F.col(c) / 2.0 - F.col(f"total_{c}") / 2.0 for c in counted])
-    ranks = cumulative_counts(counts, key, counted).select(*key, "value", centred.alias("ranks"))
-    placed = join_null_safe(long.select(*key, "__row", "value"), ranks, [*key, "value"])
-    rows = placed.groupBy(*by, "__row").agg(*[F.max(F.when(F.col("curve") == i, F.col("ranks"))).alias(f"r{i}") for i in range(size)])
+    centred = [F.col(f"below_{c}") + F.col(c) / 2.0 - F.col(f"total_{c}") / 2.0 for c in counted]
+    slots = [F.get(F.array(*centred), F.lit(k) + (F.col("curve") <= k).cast("int")).alias(f"s{k}") for k in range(size - 1)]  # all but the own curve
+    ranks = cumulative_counts(counts, key, counted).select(*key, "value", *slots)
+    placed = join_null_safe(long.select(*key, "__row", "value"), ranks, [*key, "value"]).drop("value")
+    # Numbers, not arrays, go back to their rows, and no task tries to add up what is not there yet.
+    rows = placed.repartition(*enough_tasks(df.sparkSession, df.count()), *by, "__row").groupBy(*by, "__row").agg(*[
+        F.max(F.when(F.col("curve") == i, F.col(f"s{k}"))).alias(f"r{i}_{k}") for i in range(size) for k in range(size - 1)])
     sums = {}
     for i, j in combinations(range(size), 2):
-        a, b = F.get(f"r{i}", F.lit(j)), F.get(f"r{j}", F.lit(i))
-        both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
+        a, b = F.col(f"r{i}_{j - 1}"), F.col(f"r{j}_{i}")
+        both = a.isNotNull() & b.isNotNull()
         sums |= {f"ab_{i}_{j}": F.sum(a * b), f"aa_{i}_{j}": F.sum(F.when(both, a * a)), f"bb_{i}_{j}": F.sum(F.when(both, b * b))}
     return rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
 

@@ -61,6 +61,12 @@ def test_spearman_joins_small_tables_on_values(spark):
     assert D.spearman(df, ["GR", "DTC"]).count() == 2 and D.spearman(df.limit(0), ["GR", "DTC"]).count() == 0
 
 
+def test_ranks_go_back_to_their_rows_as_numbers(spark):
+    df = spark.range(500).select((F.col("id") % 7).cast("double").alias("GR"), F.rand(1).alias("DTC"), F.rand(2).alias("RHOB"))
+    plan = D.spearman(df, ["GR", "DTC", "RHOB"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan  # arrays are sorted before they are grouped
+
+
 def test_curve_quantiles_take_whole_keys_or_cut_them(spark):
     frame = data.frame()
     extra = pd.DataFrame({"WELL": ["w5", "w5", None], "GR": [1.0, -0.0, 5.0]})
