@@ -102,11 +102,10 @@ def curve_quantiles(df: DataFrame, key, curves: dict[str, Column], wanted: dict[
     light, heavy, rows = whole.split_keys(df, key, most)
     outs = {(i, n): f"__q{i}_{j}" for i in range(len(names)) for j, n in enumerate(wanted)}
 
-    def make(group, keys, values, known):
+    def make(group, keys, columns):
         found = {}
-        for i in range(len(names)):
-            at, _ = whole.sorted_cells(group, values[i], known[i])
-            x, n = values[i][at], np.bincount(group[at], minlength=keys)
+        for i, (values, _, at, _) in enumerate(columns):
+            x, n = values[at], np.bincount(group[at], minlength=keys)
             first, there = (np.cumsum(n) - n)[n > 0], n > 0
             for name, q in wanted.items():
                 h = (n[there] - 1) * float(q)

@@ -194,7 +194,7 @@ def spearman(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[s
     if by:
         light, heavy, rows = whole.split_keys(df, by, most)
         sums = ", ".join(f"{s}_{i}_{j} double" for i, j in pairs for s in ("ab", "aa", "bb"))
-        table = whole.per_key(light, by, x, sums, rows, _whole_rank_products)
+        table = whole.per_key(light, by, x, sums, rows, _whole_rank_products())
         if heavy is not None:
             table = table.unionByName(_rank_products(heavy, x, by))
     else:
@@ -207,29 +207,31 @@ def spearman(df: DataFrame, curves: Sequence[str] = INPUT_CURVES, by: Sequence[s
     return table.select(*by, F.inline(F.filter(F.array(*out), lambda p: p.isNotNull())))
 
 
-def _whole_rank_products(group, keys, values, known):
-    """Sums of products of centred ranks for every pair of columns, one per key; NULL where a pair has no complete row."""
-    places = []  # of every known value among the distinct values of all keys, by key and value
-    for x, there in zip(values, known):
-        at, new = whole.sorted_cells(group, x, there)
-        place = np.zeros(len(x), np.int64)
-        place[at] = np.cumsum(new) - 1
-        places.append(place)
-    found = {}
-    for i, j in combinations(range(len(values)), 2):
-        both = np.flatnonzero(known[i] & known[j])
-        g = group[both]
-        total = np.bincount(g, minlength=keys)
-        middle = (np.cumsum(total) - total + total / 2.0)[g]
-
-        def centred(place):
-            n = np.bincount(place)
-            return (np.cumsum(n) - n / 2.0)[place] - middle
-
-        a, b = centred(places[i][both]), centred(places[j][both])
-        for name, product in (("ab", a * b), ("aa", a * a), ("bb", b * b)):
-            found[f"{name}_{i}_{j}"] = pa.array(np.bincount(g, product, keys), pa.float64(), mask=total == 0)
-    return found
+def _whole_rank_products():
+    """Sums of products of centred ranks for every pair of columns, one per key; NULL where a pair has no complete row.
+
+    A function of a function, so that executors get it with the task and need not import it."""
+    def centred(place, middle):
+        n = np.bincount(place)
+        return (np.cumsum(n) - n / 2.0)[place] - middle
+
+    def make(group, keys, columns):
+        places = []  # of every known value among the distinct values of all keys, by key and value
+        for x, _, at, new in columns:
+            place = np.zeros(len(x), np.int64)
+            place[at] = np.cumsum(new) - 1
+            places.append(place)
+        found = {}
+        for i, j in combinations(range(len(columns)), 2):
+            both = np.flatnonzero(columns[i][1] & columns[j][1])
+            g = group[both]
+            total = np.bincount(g, minlength=keys)
+            middle = (np.cumsum(total) - total + total / 2.0)[g]
+            a, b = centred(places[i][both], middle), centred(places[j][both], middle)
+            for name, product in (("ab", a * b), ("aa", a * a), ("bb", b * b)):
+                found[f"{name}_{i}_{j}"] = pa.array(np.bincount(g, product, keys), pa.float64(), mask=total == 0)
+        return found
+    return make
 
 
 def _rank_products(df: DataFrame, x: Sequence[Column], by: Sequence[str]) -> DataFrame:

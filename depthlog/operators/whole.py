@@ -31,12 +31,13 @@ def split_keys(df: DataFrame, key: Sequence[str], most: int = BLOCK_ROWS) -> tup
 
 
 def per_key(df: DataFrame, key: Sequence[str], columns: Sequence, out: str, rows: int,
-            make: Callable[[np.ndarray, int, list[np.ndarray], list[np.ndarray]], dict[str, pa.Array]]) -> DataFrame:
+            make: Callable[[np.ndarray, int, list[tuple]], dict[str, pa.Array]]) -> DataFrame:
     """The key and the columns `out`, one row per key, of which `df` holds `rows` rows in all.
 
-    `make` gets the number of each row's key (ascending from 0), how many keys there are, and of each column the values as
-    doubles and whether they are known; it returns the columns of `out`, one entry per key."""
-    key, size = list(key), len(columns)
+    `make` gets the number of each row's key (ascending from 0), how many keys there are, and of each column: the values as
+    doubles, whether they are known, the places of the known ones by key and value, and which of these differ from the one
+    before (NaN is last and equals NaN). It returns the columns of `out`, one entry per key."""
+    key, size, most = list(key), len(columns), SLAB_ROWS
     slim = df.select(*key, *[(c.cast("double") + 0.0).alias(f"__x{i}") for i, c in enumerate(columns)])
     together = slim.repartition(*enough_tasks(df.sparkSession, rows), *key).sortWithinPartitions(*key)
     fields = [f for f in together.schema.fields if f.name in key]
@@ -51,16 +52,23 @@ def per_key(df: DataFrame, key: Sequence[str], columns: Sequence, out: str, rows
             new[1:] |= codes[1:] != codes[:-1]
         return np.flatnonzero(new)
 
+    def cells(column, group):
+        x, known = column.to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(known)
+        at = at[np.lexsort((x[at], group[at]))]
+        new = np.ones(len(at), bool)
+        g, v = group[at], x[at]
+        new[1:] = (g[1:] != g[:-1]) | ((v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))
+        return x, known, at, new
+
     def made(table, first):
         group = np.repeat(np.arange(len(first)), np.diff([*first, table.num_rows]))
-        cells = [table.column(f"__x{i}").combine_chunks() for i in range(size)]
-        found = make(group, len(first), [c.to_numpy(zero_copy_only=False) for c in cells],
-                     [c.is_valid().to_numpy(zero_copy_only=False) for c in cells])
+        found = make(group, len(first), [cells(table.column(f"__x{i}").combine_chunks(), group) for i in range(size)])
         keys = table.select(key).take(pa.array(first)).combine_chunks()
         return pa.RecordBatch.from_arrays([*[keys.column(k).combine_chunks() for k in key], *found.values()], names=[*key, *found])
 
     def run(batches):
-        held, n, limit = [], 0, SLAB_ROWS
+        held, n, limit = [], 0, most
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
@@ -71,19 +79,9 @@ def per_key(df: DataFrame, key: Sequence[str], columns: Sequence, out: str, rows
                 if last:
                     yield made(table.slice(0, last), first[:-1])
                 held, n = table.slice(last).to_batches(), n - last
-                limit = max(SLAB_ROWS, 2 * n)
+                limit = max(most, 2 * n)
         if n:
             table = pa.Table.from_batches(held)
             yield made(table, begins(table))
 
     return together.mapInArrow(run, schema)
-
-
-def sorted_cells(group: np.ndarray, x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the known values by key and value, and which of them differ from the one before; NaN is last and equals NaN."""
-    at = np.flatnonzero(known)
-    at = at[np.lexsort((x[at], group[at]))]
-    new = np.ones(len(at), bool)
-    g, v = group[at], x[at]
-    new[1:] = (g[1:] != g[:-1]) | ((v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))
-    return at, new

@@ -1,10 +1,16 @@
 """Stored and merged sketches against exact ranks; Spearman against a plain version."""
 
+import contextlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import data
@@ -99,8 +105,8 @@ def test_whole_keys_are_not_cut_by_slabs_or_batches(spark, monkeypatch):
                                   (F.col("id") * 37 % 101).cast("double").alias("x"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        found = whole.per_key(df, ["a", "b"], [F.col("x")], "n long, total double", 3000, lambda group, keys, x, known: {
-            "n": pa.array(np.bincount(group, minlength=keys)), "total": pa.array(np.bincount(group, x[0], keys))}).collect()
+        found = whole.per_key(df, ["a", "b"], [F.col("x")], "n long, total double", 3000, lambda group, keys, columns: {
+            "n": pa.array(np.bincount(group, minlength=keys)), "total": pa.array(np.bincount(group, columns[0][0], keys))}).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(str, found)) == sorted(map(str, df.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("total")).collect()))
@@ -117,3 +123,18 @@ def test_tasks_for_quantiles_of_wells_follow_the_rows(spark, monkeypatch):
         assert plan.count("MapInArrow") == 1 and "Window" not in plan  # values are neither counted nor sorted as rows
     ranked = series.rank_rows(df, "WELL", list(INPUT_CURVES), "at", df.count())
     assert len(ranked.select("GR").inputFiles()) > 30 and sorted(r[0] for r in ranked.filter("WELL = 3").select("at").collect()) == list(range(42))
+
+
+def test_tasks_need_no_package_on_the_executors(spark, monkeypatch, tmp_path):
+    df = spark.range(40).select((F.col("id") % 3).alias("WELL"), *[F.rand(i).alias(c) for i, c in enumerate(INPUT_CURVES)])
+    sent = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: sent.append(cloudpickle.dumps(run)) or self)
+    for make in (lambda: D.spearman(df, by=["WELL"]), lambda: Q.curve_quantiles(df, "WELL", {c: F.col(c) for c in INPUT_CURVES}, {"q": 0.5})):
+        with contextlib.suppress(AnalysisException):
+            make()
+    assert len(sent) == 2
+    for i, task in enumerate(sent):
+        (tmp_path / f"{i}").write_bytes(task)
+        done = subprocess.run([sys.executable, "-c", f"import pickle, sys; from pyspark import cloudpickle; list(pickle.load(open('{i}', 'rb'))([])); "
+                               "sys.exit(any(m.startswith('depthlog') for m in sys.modules))"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        assert done.returncode == 0
