@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from depthlog.operators import learning as L, metrics as M, training as T
-from depthlog.schema import CODES
+from depthlog.schema import CODES, feature_names
 
 CLASSES = (30000, 65000, 65030)
 
@@ -152,3 +152,64 @@ def test_permutation_of_a_forest_looks_up_changes_and_equals_scoring_every_row(s
     monkeypatch.undo()
     monkeypatch.setattr(L, "forest_tables", lambda *_: None)
     assert counts() == now
+
+
+def random_features(spark, n):
+    """Rows of training wells with three classes and the 41 features."""
+    code = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("id") % 3 + 1).cast("int"))
+    values = {f: F.pmod(F.xxhash64("id", F.lit(f)), F.lit(1000)) / 1000.0 + (F.col("id") % 3 if f == "GR" else 0.0) for f in feature_names()}
+    return spark.range(n).select((F.col("id") % 5 + 2).cast("int").alias("well"), F.col("id").cast("int").alias("pos"), code.alias("true_code"),
+                                 F.lit("TRAIN").alias("split"), *[v.alias(f) for f, v in values.items()])
+
+
+def counted_fit(spark, monkeypatch, tmp_path, fit):
+    """The model of a query's fit on 4,000 labelled rows, and how many of them it had."""
+    from depthlog.plans import learning_queries as Q
+    seen, real = [], T.dealt
+    for name, value in {"TREES": 2, "DEPTH": 3, "ROUNDS": 1, "BOOST_DEPTH": 1, "store": lambda _: T.ModelStore(spark, str(tmp_path)), "read": lambda *_: None}.items():
+        monkeypatch.setattr(Q, name, value)
+    monkeypatch.setattr(T, "data_mark", lambda _: "mark")
+    monkeypatch.setattr(T, "dealt", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    model = getattr(Q, fit)(spark, "", random_features(spark, 4000))
+    return model, seen
+
+
+def test_forests_of_queries_are_fitted_on_all_labelled_rows(spark, monkeypatch, tmp_path):
+    model, seen = counted_fit(spark, monkeypatch, tmp_path, "fitted")
+    assert seen == [4000] and model.numFeatures == len(feature_names())
+
+
+def test_a_tree_split_over_tasks_is_the_tree_grown_in_one(spark, labelled, monkeypatch):
+    from depthlog.operators import forest_fit
+    known = labelled.filter("code is not null")
+    out = []
+    for most in (10_000, 150):  # the second cuts upper nodes by sums of all tasks
+        monkeypatch.setattr(forest_fit, "PIECE_ROWS", most)
+        model = L.train_forest(labelled, ["a", "b"], "code", trees=1, depth=12, leaf=3, codes=CLASSES)
+        scored = L.score(model, known, ["a", "b"], "m", CLASSES, probabilities=True).select("SOURCE_ROW", "m_CODE", "m_P").collect()
+        out.append((sorted(map(tuple, scored)), [round(float(i), 9) for i in model.featureImportances.toArray()]))
+    assert out[0] == out[1] and len({str(r[2]) for r in out[0][0]}) > 30
+
+
+def test_forests_do_not_depend_on_the_order_of_rows(spark, labelled, monkeypatch):
+    from depthlog.operators import forest_fit
+    monkeypatch.setattr(forest_fit, "PIECE_ROWS", 800)
+    monkeypatch.setattr(forest_fit, "ROUND_BYTES", 3000 * 20)  # several rounds
+    out = []
+    for df in (labelled, labelled.repartition(5)):
+        model = L.train_forest(L.add_class_weights(df.filter("code is not null"), "code"), ["a", "b"], "code", "weight", trees=5, depth=9, leaf=2,
+                               codes=CLASSES, key=("WELL", "SOURCE_ROW"))
+        out.append(sorted(map(tuple, L.score(model, labelled, ["a", "b"], "m", CLASSES).select("SOURCE_ROW", "m_CODE", "m_CONFIDENCE").collect())))
+    assert out[0] == out[1]
+    assert sum(r["m_CODE"] == r["code"] for r in L.score(model, labelled.filter("code is not null"), ["a", "b"], "m", CLASSES).collect()) > 2400
+
+
+def test_thresholds_come_from_all_values():
+    import numpy as np
+    from depthlog.operators import forest_fit
+    assert forest_fit.cuts(*forest_fit.compressed(np.array([2.0, 0.0, 1.0, 1.0]), np.ones(4), 10)).tolist() == [0.5, 1.5]
+    v, w, exact = forest_fit.compressed(np.arange(10_000.0), np.ones(10_000), 500)
+    assert not exact and w.sum() == 10_000 and np.allclose(forest_fit.cuts(v, w, exact), np.arange(1, 32) * 312.5, atol=21)
+    rare = np.r_[np.zeros(9_990), np.ones(10)]
+    assert forest_fit.cuts(*forest_fit.compressed(rare, np.ones(10_000), 500)).tolist() == [0.5]
+    assert forest_fit.cuts(*forest_fit.compressed(np.full(5, 7.0), np.ones(5), 500)).tolist() == []
