@@ -39,7 +39,7 @@ def time_training(spark, sf_dir: str) -> dict:
     scored.write.format("noop").mode("overwrite").save()
     marks.append(time.perf_counter())
     seconds = dict(zip(("input", "fit", "score"), (round(b - a, 3) for a, b in zip(marks, marks[1:]))))
-    return seconds | {"fit_rows": learning_queries.FIT_ROWS, "scored_rows": learning_queries.unseen(df).count()}
+    return seconds | {"fit_rows": learning_queries.train_rows(df).count(), "scored_rows": learning_queries.unseen(df).count()}
 
 
 def main() -> None:

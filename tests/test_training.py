@@ -179,6 +179,11 @@ def test_forests_of_queries_are_fitted_on_all_labelled_rows(spark, monkeypatch,
     assert seen == [4000] and model.numFeatures == len(feature_names())
 
 
+def test_boosting_of_queries_is_fitted_on_all_labelled_rows(spark, monkeypatch, tmp_path):
+    model, seen = counted_fit(spark, monkeypatch, tmp_path, "boosted")
+    assert seen == [4000] and len(model.models) == 3
+
+
 def test_a_tree_split_over_tasks_is_the_tree_grown_in_one(spark, labelled, monkeypatch):
     from depthlog.operators import forest_fit
     known = labelled.filter("code is not null")
