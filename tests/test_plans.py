@@ -80,6 +80,23 @@ def test_dataset_and_report(spark, stored, tmp_path):
     assert {"overall", "classes", "confusion", "predictions"} <= set(os.listdir(tmp_path / "r"))
 
 
+def test_raw_features_leave_the_disk_while_features_are_written(spark, stored, tmp_path, monkeypatch):
+    from depthlog.plans import dataset
+    manifest = spark.createDataFrame([("w1", "TRAIN"), ("w2", "PUBLIC"), ("w3", "TRAIN"), ("w4", "BLIND_TEST")], "WELL string, SPLIT string")
+    whole = sorted(map(str, build_training_tables(X.clean_curves(stored), manifest, str(tmp_path / "d")).collect()))
+    left, real = [], dataset.write_parquet
+    monkeypatch.setattr(dataset, "PART_BYTES", 1)
+
+    def write(df, path, *args):
+        left.append(len(list((tmp_path / "e" / "raw_features").rglob("*.parquet"))))
+        real(df, path, *args)
+
+    monkeypatch.setattr(dataset, "write_parquet", write)
+    table = build_training_tables(X.clean_curves(stored), manifest, str(tmp_path / "e"))
+    assert sorted(map(str, table.collect())) == whole and not (tmp_path / "e" / "raw_features").exists()
+    assert len(left) > 3 and left[1:] == sorted(left[1:], reverse=True) and left[-1] < left[1]
+
+
 def test_random_split_is_repeatable_and_complete(spark, stored):
     a = {tuple(r) for r in J.random_split(stored, 3, ("x", "y")).collect()}
     assert a == {tuple(r) for r in J.random_split(stored.repartition(9), 3, ("x", "y")).collect()}
