@@ -218,3 +218,12 @@ def test_thresholds_come_from_all_values():
     rare = np.r_[np.zeros(9_990), np.ones(10)]
     assert forest_fit.cuts(*forest_fit.compressed(rare, np.ones(10_000), 500)).tolist() == [0.5]
     assert forest_fit.cuts(*forest_fit.compressed(np.full(5, 7.0), np.ones(5), 500)).tolist() == []
+
+
+def test_fits_leave_no_tables_but_the_model(spark, labelled, tmp_path):
+    from depthlog.operators.staging import staged
+    before = set(staged(spark))
+    store = T.ModelStore(spark, str(tmp_path))
+    model = store.get({"a": 1}, lambda: L.train_forest(labelled, ["a", "b"], "code", trees=3, depth=4, leaf=1, codes=CLASSES), None)
+    assert set(staged(spark)) == before and model.path.startswith(str(tmp_path))
+    assert L.score(model, labelled, ["a", "b"], "m", CLASSES).filter("m_CODE = code").count() > 2400
